@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 256
@@ -24,12 +24,70 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def unnest(df: DataFrame, keep: list[str | Column], arr: Column, name: str = "x") -> DataFrame:
+    """One row per (non-null) array element, ``arr`` evaluated once.
+
+    A plain ``explode`` makes the optimiser add ``size(arr) > 0 AND arr IS NOT NULL`` below it,
+    which evaluates a computed array three times.
+    """
+    return df.select(*keep, F.explode_outer(arr).alias(name)).filter(F.col(name).isNotNull())
+
+
+def unnest_pos(df: DataFrame, keep: list[str | Column], arr: Column, pos: str, name: str) -> DataFrame:
+    """``unnest`` with the 0-based position; null elements are kept."""
+    return df.select(*keep, F.posexplode_outer(arr).alias(pos, name)).filter(F.col(pos).isNotNull())
+
+
+def once(df: DataFrame, *cols: str) -> DataFrame:
+    """Pin computed columns, so that filters on them do not compute them a second time.
+
+    Use it only where every consumer needs the columns: they can no longer be pruned.
+    """
+    rest = [c for c in df.columns if c not in cols]
+    pinned = F.inline_outer(F.array(F.struct(*cols)))
+    return df.select(*rest, pinned).select(*df.columns)
+
+
 def py_slice(text: Column, start: Column, end: Column) -> Column:
     """``text[start:end]`` for ``start >= 0``; a negative ``end`` counts from the back."""
     stop = F.when(end < 0, F.length(text) + end).otherwise(end)
     return F.substring(text, start + 1, F.greatest(stop - start, F.lit(0)))
 
 
+PAGE = 512  # characters
+
+
+def pages(text: Column) -> Column:
+    """Overlapping pieces of a text for ``page_slice``: page k starts at character ``512 k``.
+
+    A substring walks from the first character, so many slices of one long text cost its length
+    each; with pages a slice costs at most two pages.
+    """
+    return let(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0)),
+        lambda base: F.transform(base, lambda p, k: F.concat(p, F.coalesce(F.get(base, k + 1), F.lit("")))),
+    )
+
+
+def page_slice(text: Column, paged: Column, start: Column, end: Column) -> Column:
+    """``py_slice(text, start, end)`` by way of the text's pages."""
+    stop = F.when(end < 0, F.length(text) + end).otherwise(end)
+
+    def cut(size: Column) -> Column:
+        page = F.get(paged, F.floor(start / PAGE).cast("int"))
+        short = F.coalesce(F.substring(page, F.pmod(start, F.lit(PAGE)) + 1, size), F.lit(""))
+        return F.when(size <= PAGE, short).otherwise(F.substring(text, start + 1, size))
+
+    return F.when(start.isNotNull(), let(F.greatest(stop - start, F.lit(0)), cut))
+
+
+def sorted_set(arr: Column) -> Column:
+    """Sorted distinct elements.  ``array_distinct`` compares all pairs when elements are structs."""
+    return let(
+        F.sort_array(arr), lambda a: F.filter(a, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(a, i - 1)))
+    )
+
+
 def literal(text: Column) -> Column:
     """``text`` as a regular expression that matches itself."""
     return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
@@ -48,20 +106,20 @@ def scan(
     emit: Callable[[Column, Column], Column],
     out_type: str,
 ) -> Column:
-    """Ordered scan of ``arr``: concatenates ``emit(state, x)`` (an array) over all elements.
+    """Ordered scan of ``arr``: the array of ``emit(state, x)`` over all elements.
 
-    ``step(state, x)`` is the next state; both functions see the state *before* ``x``.
+    ``step(state, x)`` is the next state; both functions see the state *before* ``x`` and must
+    return exactly ``state_type`` and ``out_type``.
     """
     nothing = F.array().cast(f"array<{out_type}>")
-    start = state.cast(state_type)
 
     def inner(chunk: Column, first: Column) -> Column:
         return F.aggregate(
             chunk,
             F.struct(first.alias("st"), nothing.alias("out")),
             lambda acc, x: F.struct(
-                step(acc["st"], x).cast(state_type).alias("st"),
-                F.concat(acc["out"], emit(acc["st"], x).cast(f"array<{out_type}>")).alias("out"),
+                step(acc["st"], x).alias("st"),
+                F.concat(acc["out"], F.array(emit(acc["st"], x))).alias("out"),
             ),
         )
 
@@ -69,7 +127,7 @@ def scan(
         arr,
         lambda a: F.aggregate(
             _chunks(a, CHUNK),
-            F.struct(start.alias("st"), F.array().cast(f"array<array<{out_type}>>").alias("out")),
+            F.struct(state.cast(state_type).alias("st"), F.array().cast(f"array<array<{out_type}>>").alias("out")),
             lambda acc, chunk: let(
                 inner(chunk, acc["st"]),
                 lambda r: F.struct(
@@ -88,7 +146,7 @@ def running_starts(lengths: Column, gap: int | Column = 0) -> Column:
         F.lit(0),
         "int",
         lambda st, n: st + n + gap,
-        lambda st, n: F.array(st),
+        lambda st, n: st,
         "int",
     )
 
