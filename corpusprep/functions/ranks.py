@@ -29,9 +29,7 @@ def _bucket(key: Column) -> Column:
 def _bucket_offsets(df: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
     """Rows before each bucket; at most 65,536 rows per group reach the window."""
     counts = df.groupBy(*by, _bucket(F.col(key)).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    before = (
-        Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
@@ -54,31 +52,29 @@ def cut_keys(df: DataFrame, key: str, wanted: Column, by: Sequence[str] = ()) ->
     the empty string, groups with ``wanted >= total`` a string above every hex key, so
     ``key <= cut`` selects exactly the wanted rows.
     """
-    slim = df.select(*by, key)
-    offsets = _bucket_offsets(slim, key, by)
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    plan = offsets.withColumn("total", F.sum("_n").over(whole)).withColumn("_want", wanted.cast("bigint"))
+    slim = df.select(*by, key) if by else df.select(F.lit(0).alias("_all"), key)
+    by = list(by) or ["_all"]
+    plan = (
+        _bucket_offsets(slim, key, by)
+        .withColumn("total", F.sum("_n").over(Window.partitionBy(*by)))
+        .withColumn("_want", wanted.cast("bigint"))
+    )
     last = plan.filter(
-        (F.col("_want") >= 1)
-        & (F.col("_want") < F.col("total"))
-        & (F.col("_before") < F.col("_want"))
-        & (F.col("_before") + F.col("_n") >= F.col("_want"))
+        (F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_n") >= F.col("_want"))
     ).select(*by, "_bucket", (F.col("_want") - F.col("_before")).alias("_nth"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(key)
-    inner_cut = (
+    nth_key = (
         slim.withColumn("_bucket", _bucket(F.col(key)))
         .join(last, [*by, "_bucket"])
         .withColumn("_rn", F.row_number().over(inside))
         .filter(F.col("_rn") == F.col("_nth"))
-        .select(*by, F.col(key).alias("cut"))
+        .select(*by, F.col(key).alias("_key_at"))
     )
-    edge = (
-        plan.groupBy(*by)
-        .agg(F.max("total").alias("total"), F.max("_want").alias("_want"))
-        .filter((F.col("_want") < 1) | (F.col("_want") >= F.col("total")))
-        .select(*by, F.when(F.col("_want") < 1, F.lit("")).otherwise(F.lit("~")).alias("cut"))
+    groups = plan.groupBy(*by).agg(F.max("total").alias("total"), F.max("_want").alias("_want"))
+    cut = (
+        F.when(F.col("_want") < 1, "").when(F.col("_want") >= F.col("total"), "~").otherwise(F.col("_key_at"))
     )
-    return inner_cut.unionByName(edge)
+    return groups.join(nth_key, by, "left").select(*by, cut.alias("cut"))
 
 
 def with_cut(df: DataFrame, key: str, wanted: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -86,4 +82,4 @@ def with_cut(df: DataFrame, key: str, wanted: Column, by: Sequence[str] = ()) ->
     cuts = cut_keys(df, key, wanted, by)
     if by:
         return df.join(cuts, list(by)).withColumn("picked", F.col(key) <= F.col("cut")).drop("cut")
-    return df.withColumn("picked", F.col(key) <= F.coalesce(cuts.scalar(), F.lit("")))
+    return df.withColumn("picked", F.col(key) <= F.coalesce(cuts.select("cut").scalar(), F.lit("")))
