@@ -219,13 +219,13 @@ def drop_empty_and_duplicate(df: DataFrame, id_col: str = "item_id") -> DataFram
     """Drop rows without annotations; of equal (annotation set, title) keep the smallest id.
 
     Copies collapse in the map-side combine, so a group of copies of any size costs one row per
-    task.  Columns other than id, title and tagged come from the surviving row.
+    task.  Columns other than id, title and tagged come from the surviving row.  A computed
+    ``tagged`` is evaluated by the filter too: store it first.
     """
     others = [c for c in df.columns if c not in (id_col, "title", "tagged")]
     survivor = F.min_by(F.struct(*others), id_col).alias("_rest") if others else None
     grouped = (
-        A.once(df, "tagged")
-        .filter(F.size("tagged") > 0)
+        df.filter(F.size("tagged") > 0)
         .withColumn("tagged", F.sort_array("tagged"))
         .groupBy("title", "tagged")
         .agg(F.min(id_col).alias(id_col), *([survivor] if others else []))
@@ -380,7 +380,8 @@ def select_rare_values(counts: DataFrame, ratio: float = 0.2, threshold: int = 4
 
     Small types are left out.  The k rarest values of every type are taken, k being the least
     that covers ``int(total * ratio)`` occurrences (or that adds nothing more), and of those the
-    ones occurring fewer than ``threshold`` times.  Equal counts are ordered by the hash of the
+    ones occurring fewer than ``threshold`` times.  Store the counts first: they are read several
+    times.  Equal counts are ordered by the hash of the
     value, so that the rank of millions of once-seen values is spread over hash buckets.
     """
     taking_part = counts.join(small_types(counts, threshold), "attr_type", "left_anti")

@@ -8,28 +8,20 @@ from pyspark.sql import functions as F
 from corpusprep.functions import arrays as A
 
 
-def _grams(text: Column, num: int) -> Column:
-    """All grams of 1..num characters as structs ``gram, i``, sorted by gram and position.
+def _windows(chars: Column, num: int, entry) -> Column:
+    """``entry(gram, i)`` for every gram ``[i, i + j)`` of 1..num characters.
 
-    Gram ``[i, i+j)`` counts only while ``i + j < length - num - 2``, so the tail is left out.
+    A gram counts only while ``i + j < length - num - 2``, so the tail is left out.
     """
+    limit = F.size(chars) - num - 2
 
-    def of_chars(chars: Column) -> Column:
-        limit = F.size(chars) - num - 2
+    def of_length(j: int) -> Column:
+        gram = lambda i: F.concat(*[F.get(chars, i + d) for d in range(j)]) if j > 1 else F.get(chars, i)
+        # An empty range is the slice of length 0.
+        starts = F.slice(F.sequence(F.lit(0), F.greatest(limit - j, F.lit(0))), F.lit(1), F.greatest(limit - j, F.lit(0)))
+        return F.transform(starts, lambda i: entry(gram(i), i))
 
-        def of_length(j: int) -> Column:
-            gram = lambda i: F.concat(*[F.get(chars, i + d) for d in range(j)])
-            return F.when(
-                limit - j > 0,
-                F.transform(
-                    F.sequence(F.lit(0), limit - j - 1),
-                    lambda i: F.struct(gram(i).alias("gram"), i.alias("i")),
-                ),
-            ).otherwise(F.array().cast("array<struct<gram:string,i:int>>"))
-
-        return F.sort_array(F.concat(*[of_length(j) for j in range(1, num + 1)]))
-
-    return A.let(F.split(text, ""), of_chars)
+    return F.concat(*[of_length(j) for j in range(1, num + 1)])
 
 
 def char_ngrams(
@@ -43,7 +35,7 @@ def char_ngrams(
     text, size = F.col(col), F.length(col)
     if not neighbours:
         counted = A.let(
-            _grams(text, num), lambda g: A.run_lengths(F.transform(g, lambda e: e["gram"]))
+            F.split(text, ""), lambda chars: A.run_lengths(F.sort_array(_windows(chars, num, lambda g, i: g)))
         )
         rows = A.unnest(df, [id_col, size.alias("_len")], counted, "r")
         return rows.select(
@@ -58,7 +50,7 @@ def char_ngrams(
             return F.transform(F.slice(g, run["first"] + 1, run["n"]), pick)
 
         return A.let(
-            _grams(text, num),
+            F.sort_array(_windows(chars, num, lambda g, i: F.struct(g.alias("gram"), i.alias("i")))),
             lambda g: F.transform(
                 A.run_lengths(F.transform(g, lambda e: e["gram"])),
                 lambda run: F.struct(

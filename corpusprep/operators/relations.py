@@ -102,6 +102,7 @@ def validate_spans(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     ones; ``clean`` holds the passing relations of samples that have any.
     """
     names = _fields(df, "relation_list")
+    text = F.col("text")
 
     def side(rel: Column, name: str, span: str) -> tuple[Column, Column]:
         ent = rel[name]
@@ -112,35 +113,35 @@ def validate_spans(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
         return F.regexp_replace(ent, P.SPACE_EDGES, ""), moved
 
-    def check(rel: Column) -> Column:
+    def trimmed(rel: Column) -> Column:
         subj, subj_span = side(rel, "subject", "subj_char_span")
         obj, obj_span = side(rel, "object", "obj_char_span")
         new = {"subject": subj, "object": obj, "subj_char_span": subj_span, "obj_char_span": obj_span}
         return F.struct(*[new.get(n, rel[n]).alias(n) for n in names])
 
-    def matches(rel: Column, name: str, span: str) -> Column:
-        return (F.length(rel[name]) > 0) & (
-            rel[name] == A.py_slice(F.col("text"), rel[span]["s"], rel[span]["e"])
-        )
+    def passes(paged: Column, rel: Column) -> Column:
+        def matches(name: str, span: str) -> Column:
+            found = A.page_slice(text, paged, rel[span]["s"], rel[span]["e"])
+            return (F.length(rel[name]) > 0) & (rel[name] == found)
 
-    def passes(rel: Column) -> Column:
-        both = matches(rel, "subject", "subj_char_span") & matches(rel, "object", "obj_char_span")
+        both = matches("subject", "subj_char_span") & matches("object", "obj_char_span")
         return F.coalesce(both, F.lit(False))
 
-    checked = df.withColumn(
-        "relation_list",
-        F.transform(
-            F.transform("relation_list", check),
-            lambda r: F.struct(*[r[n].alias(n) for n in names], F.when(~passes(r), 0).alias("stake")),
-        ),
-    )
+    def staked(paged: Column) -> Column:
+        return F.transform(
+            F.transform("relation_list", trimmed),
+            lambda r: F.struct(*[r[n].alias(n) for n in names], F.when(~passes(paged, r), 0).alias("stake")),
+        )
+
+    # Both outputs filter on the result, so it is pinned instead of evaluated again per filter.
+    checked = A.once(df.withColumn("relation_list", A.let(A.pages(text), staked)), "relation_list")
     bad = checked.filter(F.exists("relation_list", lambda r: r["stake"].isNotNull()))
     good = F.transform(
         F.filter("relation_list", lambda r: r["stake"].isNull()),
         lambda r: F.struct(*[r[n].alias(n) for n in names]),
     )
-    clean = checked.withColumn("relation_list", good).filter(F.size("relation_list") > 0)
-    return clean, bad
+    some_good = checked.filter(F.exists("relation_list", lambda r: r["stake"].isNull()))
+    return some_good.withColumn("relation_list", good), bad
 
 
 # ---------------------------------------------------------------- character spans

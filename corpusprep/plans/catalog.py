@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusprep.functions import arrays as A
+from corpusprep.functions.durable import stored
 from corpusprep.operators import annotate as an
 from corpusprep.operators import chunks, evaluate, knowledge, logs, ngrams, relations, retrieval, sampling, text
 from corpusprep.plans import standins as v
@@ -115,7 +116,7 @@ def truncate_pairs(spark, sf):
 
 @query
 def char_ngrams(spark, sf):
-    return _rounded(ngrams.char_ngrams(_docs(spark, sf), "doc_id", num=3), "freq")
+    return ngrams.char_ngrams(_docs(spark, sf), "doc_id", num=3)
 
 
 @query
@@ -260,7 +261,7 @@ def repair_strict(spark, sf):
 
 @query
 def drop_duplicates(spark, sf):
-    tagged = an.repair_and_deoverlap(v.annotated_lines(spark, sf)).select("item_id", "title", "tagged")
+    tagged = stored(an.repair_and_deoverlap(v.annotated_lines(spark, sf)).select("item_id", "title", "tagged"))
     return an.drop_empty_and_duplicate(tagged).select("item_id", "title", F.size("tagged").alias("n_spans"))
 
 
@@ -299,21 +300,21 @@ def values_by_type(spark, sf):
 
 @query
 def select_rare_values(spark, sf):
-    return an.select_rare_values(v.word_counts(spark, sf), 0.2, 50)
+    return an.select_rare_values(stored(v.word_counts(spark, sf)), 0.2, 50)
 
 
 @query
 def value_count_report(spark, sf):
-    counts = v.word_counts(spark, sf)
+    counts = stored(v.word_counts(spark, sf))
     return an.value_count_report(counts, an.select_rare_values(counts, 0.2, 50))
 
 
 @query
 def new_value_split(spark, sf):
-    tagged = an.repair_and_deoverlap(v.annotated_lines(spark, sf))
-    counts = an.count_type_value(tagged)
+    tagged = stored(an.repair_and_deoverlap(v.annotated_lines(spark, sf)).select("item_id", "tagged"))
+    counts = stored(an.count_type_value(tagged))
     flagged = an.flag_new_value(
-        tagged.select("item_id", "tagged"), an.select_rare_values(counts, 0.2, 40), an.small_types(counts, 40)
+        tagged, an.select_rare_values(counts, 0.2, 40), an.small_types(counts, 40)
     )
     return flagged.select("item_id", "is_test")
 

@@ -144,7 +144,7 @@ g AS (SELECT {key}, len, i, x.gram AS gram, lft, x.rgt AS rgt FROM (
 
 ORACLE["char_ngrams"] = _chain(
     _grams("documents", "doc_id", 3),
-    "SELECT doc_id, gram, count(*) AS cnt, round(count(*) / any_value(len), 6) AS freq FROM g GROUP BY doc_id, gram",
+    "SELECT doc_id, gram, count(*) AS cnt, count(*) / any_value(len) AS freq FROM g GROUP BY doc_id, gram",
 )
 ORACLE["char_ngram_neighbours"] = _chain(
     _grams("(SELECT conv_id * 1000 + turn AS turn_no, text FROM conversations)", "turn_no", 2),
@@ -253,7 +253,7 @@ ORACLE["sample_accuracy"] = _chain(
     "SELECT round(avg(CASE WHEN ok THEN 1.0::double ELSE 0.0::double END), 6) AS sample_acc FROM s",
 )
 _BATCHES = """b AS (SELECT user_id AS run, cast(dayofmonth(ts) AS int) AS epoch, event_id AS batch, value AS loss,
-    value / 500 AS ent_acc FROM events)"""
+    value / 7 AS ent_acc FROM events)"""
 ORACLE["epoch_means"] = _chain(
     _BATCHES,
     "SELECT run, epoch, round(avg(loss), 6) AS loss, round(avg(ent_acc), 6) AS ent_acc FROM b GROUP BY run, epoch",

@@ -198,7 +198,7 @@ def batch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.dayofmonth("ts").alias("epoch"),
         F.col("event_id").alias("batch"),
         F.col("value").alias("loss"),
-        (F.col("value") / 500).alias("ent_acc"),
+        (F.col("value") / 7).alias("ent_acc"),
     )
 
 

@@ -1,4 +1,9 @@
-"""The four annotation jobs: from annotated items to train and test sets, each one lazy plan."""
+"""The four annotation jobs: from annotated items to train and test sets.
+
+Repair is the expensive step and several branches need its result (counts, split, tags), so each
+job stores the repaired items once in the shared folder; the branches then read only the columns
+they use.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.functions import arrays as A
+from corpusprep.functions.durable import stored
 from corpusprep.operators import annotate as an
 from corpusprep.operators.sampling import random_split
 
@@ -20,6 +25,7 @@ def build_single_value_set(
     """Strict repair, tags on the lower-cased title, exact random split; all rows are kept."""
     tagged = an.repair_and_deoverlap(items, types, mode="strict")
     lowered = an.bio_tags(tagged.withColumn("_low", F.lower("title")), title="_low").drop("_low")
+    # No row is dropped, so the split needs the ids alone and nothing has to be stored.
     return random_split(lowered, "item_id", test_ratio, seed)
 
 
@@ -27,14 +33,14 @@ def build_multi_value_set(
     items: DataFrame, types: Sequence[str] | None = None, test_ratio: float = TEST_RATIO, seed: int | str = 0
 ) -> DataFrame:
     """Repair, tags, rows without spans dropped, exact random split."""
-    tagged = A.once(an.repair_and_deoverlap(items, types), "tagged").filter(F.size("tagged") > 0)
+    tagged = stored(an.repair_and_deoverlap(items, types)).filter(F.size("tagged") > 0)
     return random_split(an.bio_tags(tagged), "item_id", test_ratio, seed)
 
 
 def _flag_rare(
     rows: DataFrame, counted: DataFrame, ratio: float, threshold: int, seed: int | str
 ) -> DataFrame:
-    counts = an.count_type_value(counted)
+    counts = stored(an.count_type_value(counted))
     return an.flag_new_value(
         rows,
         an.select_rare_values(counts, ratio, threshold),
@@ -51,9 +57,9 @@ def build_new_value_set(
     seed: int | str = 0,
 ) -> DataFrame:
     """Repair, tags; rows with a rare value (or a lucky draw of a small type) are test rows."""
-    tagged = an.repair_and_deoverlap(items, types)
-    kept = an.bio_tags(A.once(tagged, "tagged").filter(F.size("tagged") > 0))
-    return _flag_rare(kept, tagged, test_ratio, threshold, seed)
+    tagged = stored(an.repair_and_deoverlap(items, types))
+    kept = tagged.filter(F.size("tagged") > 0)
+    return an.bio_tags(_flag_rare(kept, tagged, test_ratio, threshold, seed))
 
 
 def build_training_set(
@@ -70,8 +76,8 @@ def build_training_set(
     """
     if split_way not in ("random", "new-value"):
         raise ValueError(f"unknown split {split_way!r}; random or new-value")
-    tagged = an.repair_and_deoverlap(items, types)
-    kept = an.bio_tags(an.drop_empty_and_duplicate(tagged))
+    tagged = stored(an.repair_and_deoverlap(items, types))
+    kept = an.drop_empty_and_duplicate(tagged)
     if split_way == "random":
-        return random_split(kept, "item_id", test_ratio, seed)
-    return _flag_rare(kept, tagged, test_ratio, threshold, seed)
+        return an.bio_tags(random_split(stored(kept), "item_id", test_ratio, seed))
+    return an.bio_tags(_flag_rare(kept, tagged, test_ratio, threshold, seed))
