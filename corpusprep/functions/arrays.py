@@ -24,16 +24,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def unnest(df: DataFrame, keep: list[str | Column], arr: Column, name: str = "x") -> DataFrame:
+def unnest(df: DataFrame, keep: list[str], arr: Column, name: str = "x", **computed: Column) -> DataFrame:
     """One row per (non-null) array element, ``arr`` evaluated once.
 
     A plain ``explode`` makes the optimiser add ``size(arr) > 0 AND arr IS NOT NULL`` below it,
-    which evaluates a computed array three times.
+    which evaluates a computed array three times.  ``computed`` columns are made before the array
+    is exploded: made after it, they would drag their inputs (a whole text) along every row.
     """
-    return df.select(*keep, F.explode_outer(arr).alias(name)).filter(F.col(name).isNotNull())
+    names = [*keep, *computed]
+    rows = df.withColumns(computed).select(*names, F.explode_outer(arr).alias(name))
+    return rows.filter(F.col(name).isNotNull())
 
 
-def unnest_pos(df: DataFrame, keep: list[str | Column], arr: Column, pos: str, name: str) -> DataFrame:
+def unnest_pos(df: DataFrame, keep: list[str], arr: Column, pos: str, name: str) -> DataFrame:
     """``unnest`` with the 0-based position; null elements are kept."""
     return df.select(*keep, F.posexplode_outer(arr).alias(pos, name)).filter(F.col(pos).isNotNull())
 

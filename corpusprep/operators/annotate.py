@@ -549,9 +549,8 @@ def parse_attribute_pairs(df: DataFrame, id_col: str = "item_id", col: str = "at
             ),
         ),
     )
-    return A.unnest_pos(
-        A.unnest(df, [id_col], last, "p"), [id_col, F.col("p.attr").alias("attr")], F.col("p.vals"), "pos", "value"
-    )
+    pairs_out = A.unnest(df, [id_col], last, "p").select(id_col, "p.attr", "p.vals")
+    return A.unnest_pos(pairs_out, [id_col, "attr"], F.col("vals"), "pos", "value")
 
 
 def explode_description(df: DataFrame, id_col: str = "item_id", col: str = "description") -> DataFrame:

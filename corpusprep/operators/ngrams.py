@@ -8,20 +8,13 @@ from pyspark.sql import functions as F
 from corpusprep.functions import arrays as A
 
 
-def _windows(chars: Column, num: int, entry) -> Column:
-    """``entry(gram, i)`` for every gram ``[i, i + j)`` of 1..num characters.
+def _grams(text: Column, j: int, num: int) -> Column:
+    """The j-character grams by start position, in one pass over the text.
 
-    A gram counts only while ``i + j < length - num - 2``, so the tail is left out.
+    A gram ``[i, i + j)`` counts only while ``i + j < length - num - 2``: the tail is left out.
     """
-    limit = F.size(chars) - num - 2
-
-    def of_length(j: int) -> Column:
-        gram = lambda i: F.concat(*[F.get(chars, i + d) for d in range(j)]) if j > 1 else F.get(chars, i)
-        # An empty range is the slice of length 0.
-        starts = F.slice(F.sequence(F.lit(0), F.greatest(limit - j, F.lit(0))), F.lit(1), F.greatest(limit - j, F.lit(0)))
-        return F.transform(starts, lambda i: entry(gram(i), i))
-
-    return F.concat(*[of_length(j) for j in range(1, num + 1)])
+    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{j}}}))"), F.lit(1))
+    return F.slice(every, F.lit(1), F.greatest(F.length(text) - num - 2 - j, F.lit(0)))
 
 
 def char_ngrams(
@@ -29,45 +22,42 @@ def char_ngrams(
 ) -> DataFrame:
     """Rows ``(id, gram, cnt, freq)``, with neighbour lists ``left`` and ``right`` on request.
 
-    Grams of one text are sorted and counted inside its row, so nothing is shuffled.  The left
-    neighbour of position 0 is the last character of the text.
+    Grams of 1 to ``num`` characters of one text are sorted and counted inside its row, so nothing
+    is shuffled.  The left neighbour of position 0 is the last character of the text.
     """
-    text, size = F.col(col), F.length(col)
+    text = F.col(col)
+    lengths = range(1, num + 1)
+    stats = [
+        F.col("r.value").alias("gram"),
+        F.col("r.n").cast("bigint").alias("cnt"),
+        (F.col("r.n") / F.col("_len")).alias("freq"),
+    ]
     if not neighbours:
-        counted = A.let(
-            F.split(text, ""), lambda chars: A.run_lengths(F.sort_array(_windows(chars, num, lambda g, i: g)))
-        )
-        rows = A.unnest(df, [id_col, size.alias("_len")], counted, "r")
-        return rows.select(
-            id_col,
-            F.col("r.value").alias("gram"),
-            F.col("r.n").cast("bigint").alias("cnt"),
-            (F.col("r.n") / F.col("_len")).alias("freq"),
-        )
+        counted = A.run_lengths(F.sort_array(F.concat(*[_grams(text, j, num) for j in lengths])))
+        return A.unnest(df, [id_col], counted, "r", _len=F.length(text)).select(id_col, *stats)
+
+    def placed(j: int) -> Column:
+        return F.transform(_grams(text, j, num), lambda g, i: F.struct(g.alias("gram"), i.alias("i")))
+
+    def with_neighbours(t: Column) -> Column:
+        grams, chars = t["grams"], t["chars"]
 
-    def with_neighbours(chars: Column) -> Column:
-        def side(g: Column, run: Column, pick) -> Column:
-            return F.transform(F.slice(g, run["first"] + 1, run["n"]), pick)
+        def side(run: Column, char_at) -> Column:
+            return F.transform(F.slice(grams, run["first"] + 1, run["n"]), lambda e: F.get(chars, char_at(e)))
 
-        return A.let(
-            F.sort_array(_windows(chars, num, lambda g, i: F.struct(g.alias("gram"), i.alias("i")))),
-            lambda g: F.transform(
-                A.run_lengths(F.transform(g, lambda e: e["gram"])),
-                lambda run: F.struct(
-                    run["value"].alias("gram"),
-                    run["n"].alias("n"),
-                    side(g, run, lambda e: F.get(chars, F.pmod(e["i"] - 1, F.size(chars)))).alias("left"),
-                    side(g, run, lambda e: F.get(chars, e["i"] + F.length(e["gram"]))).alias("right"),
-                ),
+        return F.transform(
+            A.run_lengths(F.transform(grams, lambda e: e["gram"])),
+            lambda run: F.struct(
+                run["value"].alias("value"),
+                run["n"].alias("n"),
+                side(run, lambda e: F.pmod(e["i"] - 1, F.size(chars))).alias("left"),
+                side(run, lambda e: e["i"] + F.length(e["gram"])).alias("right"),
             ),
         )
 
-    rows = A.unnest(df, [id_col, size.alias("_len")], A.let(F.split(text, ""), with_neighbours), "r")
-    return rows.select(
-        id_col,
-        F.col("r.gram").alias("gram"),
-        F.col("r.n").cast("bigint").alias("cnt"),
-        (F.col("r.n") / F.col("_len")).alias("freq"),
-        F.col("r.left").alias("left"),
-        F.col("r.right").alias("right"),
+    # Sorted by gram, then position: the neighbour lists come out in text order.
+    parts = F.struct(
+        F.sort_array(F.concat(*[placed(j) for j in lengths])).alias("grams"), F.split(text, "").alias("chars")
     )
+    rows = A.unnest(df, [id_col], A.let(parts, with_neighbours), "r", _len=F.length(text))
+    return rows.select(id_col, *stats, F.col("r.left").alias("left"), F.col("r.right").alias("right"))

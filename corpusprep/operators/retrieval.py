@@ -90,7 +90,7 @@ def bm25(
         )
     )
     counted = docs.select("doc_id", _term_counts(F.col("tokens")).alias("counts"))
-    postings = A.unnest(counted, ["doc_id", F.size("counts").alias("dl")], F.col("counts"), "c").select(
+    postings = A.unnest(counted, ["doc_id"], F.col("counts"), "c", dl=F.size("counts")).select(
         "doc_id", "dl", F.col("c.value").alias("term"), F.col("c.n").alias("tf")
     )
     part = F.col("weight") * F.col("tf") / (

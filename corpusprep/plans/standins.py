@@ -344,7 +344,10 @@ def name_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of every word per language, as value counts per type."""
     words = A.unnest(
-        documents(spark, sf_dir), [F.col("lang").alias("attr_type")], F.split("text", "[ \n]"), "value_content"
+        documents(spark, sf_dir).withColumnRenamed("lang", "attr_type"),
+        ["attr_type"],
+        F.split("text", "[ \n]"),
+        "value_content",
     )
     return (
         words.filter(F.length("value_content") >= 4)
