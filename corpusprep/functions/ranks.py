@@ -59,22 +59,27 @@ def cut_keys(df: DataFrame, key: str, wanted: Column, by: Sequence[str] = ()) ->
         .withColumn("total", F.sum("_n").over(Window.partitionBy(*by)))
         .withColumn("_want", wanted.cast("bigint"))
     )
-    last = plan.filter(
-        (F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_n") >= F.col("_want"))
-    ).select(*by, "_bucket", (F.col("_want") - F.col("_before")).alias("_nth"))
+    # One deciding bucket per group: the one with the wanted row, or the first if there is no cut.
+    edge = F.when(F.col("_want") < 1, "").when(F.col("_want") >= F.col("total"), "~")
+    holds = (F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_n") >= F.col("_want"))
+    deciding = (
+        plan.withColumn("_edge", edge)
+        .filter(F.when(F.col("_edge").isNull(), holds).otherwise(F.col("_before") == 0))
+        .select(
+            *by,
+            "_bucket",
+            "_edge",
+            F.when(F.col("_edge").isNull(), F.col("_want") - F.col("_before")).otherwise(1).alias("_nth"),
+        )
+    )
     inside = Window.partitionBy(*by, "_bucket").orderBy(key)
-    nth_key = (
+    return (
         slim.withColumn("_bucket", _bucket(F.col(key)))
-        .join(last, [*by, "_bucket"])
+        .join(deciding, [*by, "_bucket"])
         .withColumn("_rn", F.row_number().over(inside))
         .filter(F.col("_rn") == F.col("_nth"))
-        .select(*by, F.col(key).alias("_key_at"))
-    )
-    groups = plan.groupBy(*by).agg(F.max("total").alias("total"), F.max("_want").alias("_want"))
-    cut = (
-        F.when(F.col("_want") < 1, "").when(F.col("_want") >= F.col("total"), "~").otherwise(F.col("_key_at"))
+        .select(*by, F.coalesce("_edge", key).alias("cut"))
     )
-    return groups.join(nth_key, by, "left").select(*by, cut.alias("cut"))
 
 
 def with_cut(df: DataFrame, key: str, wanted: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -306,24 +306,28 @@ def small_types(counts: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def _rare_depth(hist: DataFrame, ratio: float, threshold: int) -> tuple[DataFrame, Column]:
+def _rare_depth(counts: DataFrame, ratio: float, threshold: int) -> tuple[DataFrame, Column]:
     """How many of the rarest values per type are selected.
 
-    ``hist`` is ``(attr_type, count, n)`` over the types that take part.  S(k), the occurrences of
-    the k rarest values of every type, is piecewise linear in k with breakpoints only where a
-    type moves on to the next count, so at most ``threshold`` rows per type decide it.  Returns
-    the ranges ``(attr_type, count, start, n)`` below the threshold and the depth k.
+    S(k), the occurrences of the k rarest values of every type, is piecewise linear in k with
+    breakpoints only where a type moves on to the next count, so one row per (type, count)
+    decides it.  Returns the ranges ``(attr_type, count, start, n)`` below the threshold, small
+    types left out, and the depth k.
     """
-    in_type = Window.partitionBy("attr_type").orderBy("count").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = hist.filter(F.col("count") < threshold).withColumn(
-        "start", F.coalesce(F.sum("n").over(in_type), F.lit(0))
+    whole = Window.partitionBy("attr_type")
+    rarer = whole.orderBy("count").rowsBetween(Window.unboundedPreceding, -1)
+    hist = (
+        counts.groupBy("attr_type", "count")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("total", F.sum(F.col("count") * F.col("n")).over(whole))
+        .withColumn("start", F.coalesce(F.sum("n").over(rarer), F.lit(0)))
+        .filter(F.col("total") >= 4 * threshold)
     )
-    facts = hist.groupBy("attr_type").agg(
-        F.min("count").alias("first"), F.sum(F.col("count") * F.col("n")).alias("total")
-    ).agg(
+    ranges = hist.filter(F.col("count") < threshold).select("attr_type", "count", "start", "n")
+    facts = hist.agg(
         F.struct(
-            F.sum("first").alias("s1"),
-            F.floor(F.sum("total").cast("double") * F.lit(float(ratio))).alias("target"),
+            F.sum(F.when(F.col("start") == 0, F.col("count"))).alias("s1"),
+            F.floor(F.sum(F.col("count") * F.col("n")).cast("double") * F.lit(float(ratio))).alias("target"),
         ).alias("f")
     )
     steps = (
@@ -384,15 +388,22 @@ def select_rare_values(counts: DataFrame, ratio: float = 0.2, threshold: int = 4
     times.  Equal counts are ordered by the hash of the
     value, so that the rank of millions of once-seen values is spread over hash buckets.
     """
-    taking_part = counts.join(small_types(counts, threshold), "attr_type", "left_anti")
-    hist = taking_part.groupBy("attr_type", "count").agg(F.count(F.lit(1)).alias("n"))
-    ranges, depth = _rare_depth(hist, ratio, threshold)
-    low = counts.filter(F.col("count") < threshold).join(
-        ranges.select("attr_type", "count", "start"), ["attr_type", "count"]
+    ranges, depth = _rare_depth(counts, ratio, threshold)
+    reached = ranges.withColumn("_k", depth - F.col("start")).filter(F.col("_k") >= 1)
+    low = counts.filter(F.col("count") < threshold).join(reached, ["attr_type", "count"])
+    chosen = ["attr_type", "value_content", "count"]
+    whole = low.filter(F.col("n") <= F.col("_k")).select(chosen)
+    # Only a count that the depth cuts through needs an order among its values.
+    partly = low.filter(F.col("n") > F.col("_k")).withColumn("_key", random_key("value", "value_content"))
+    cut = with_cut(partly, "_key", F.col("_k"), by=["attr_type", "count", "_k"]).filter("picked")
+    return whole.unionByName(cut.select(chosen))
+
+
+def small_type_values(counts: DataFrame, threshold: int) -> DataFrame:
+    """``(attr_type, value_content)`` of the small types: fewer than ``4 * threshold`` per type."""
+    return counts.join(small_types(counts, threshold), "attr_type", "left_semi").select(
+        "attr_type", "value_content"
     )
-    keyed = low.withColumn("_key", random_key("value", "value_content"))
-    cut = with_cut(keyed, "_key", depth - F.col("start"), by=["attr_type", "count", "start"])
-    return cut.filter("picked").select("attr_type", "value_content", "count")
 
 
 def flag_new_value(
@@ -403,26 +414,22 @@ def flag_new_value(
     seed: int | str = 0,
     id_col: str = "item_id",
 ) -> DataFrame:
-    """Adds ``is_test``: some span has a rare value, or is of a small type and its draw is below ``p``."""
+    """Adds ``is_test``: some span has a rare value, or is of a small type and its draw is below ``p``.
+
+    ``small`` lists the values of the small types.  Rare and small values are one table joined by
+    (type, value): a type alone would be a join key that holds a third of all spans.
+    """
     limit = f"{int(p * 2**32):08x}"
     draw = random_key(seed, F.concat_ws(":", id_col, "attribute_type", "start_idx", "end_idx"))
+    marked = (
+        rare.select("attr_type", "value_content", F.lit(True).alias("_rare"))
+        .unionByName(small.select("attr_type", "value_content", F.lit(False).alias("_rare")))
+        .withColumnsRenamed({"attr_type": "attribute_type", "value_content": "indexed_text"})
+    )
     hits = (
         spans(df, id_col)
-        .join(
-            rare.select(
-                F.col("attr_type").alias("attribute_type"),
-                F.col("value_content").alias("indexed_text"),
-                F.lit(True).alias("_rare"),
-            ),
-            ["attribute_type", "indexed_text"],
-            "left",
-        )
-        .join(
-            small.select(F.col("attr_type").alias("attribute_type"), F.lit(True).alias("_small")),
-            "attribute_type",
-            "left",
-        )
-        .filter(F.when(F.col("_small"), F.substring(draw, 1, 8) < limit).otherwise(F.col("_rare")))
+        .join(marked, ["attribute_type", "indexed_text"])
+        .filter(F.col("_rare") | (F.substring(draw, 1, 8) < limit))
         .select(id_col, F.lit(True).alias("_hit"))
         .distinct()
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusprep.functions import arrays as A
 from corpusprep.functions import patterns as P
-from corpusprep.functions.blocks import running
+from corpusprep.functions.blocks import BLOCK, running
 
 
 def _has(pattern: str, plain: bool = False) -> Column:
@@ -70,22 +70,40 @@ def slice_sections(lines: DataFrame) -> DataFrame:
     marker inside is an ordinary line.  A section without an end has no epoch.  A line that holds
     both the marker and an end counts as an end.
     """
-    marked = lines.withColumn("_mark", _has(P.RESULTS_MARKER, plain=True)).withColumn("_end", _has(P.EPOCH_END))
-    event = F.when(F.col("_end"), "end").when(F.col("_mark"), "mark")
-    state = running(marked, ["path"], "line_no", {"_last": ("last", event)}, exclusive=True)
-    inside = F.coalesce(F.col("_last") == "mark", F.lit(False))
-    opened = state.withColumn("_in", inside).withColumn(
-        "_opens", ~F.col("_in") & F.col("_mark") & ~F.col("_end")
-    )
-    counted = running(
-        opened, ["path"], "line_no", {"section": ("sum", F.col("_opens").cast("bigint"))}
-    )
-    body = counted.filter("_in")
-    epoch = F.regexp_extract("line", P.EPOCH_END, 1).try_cast("int") - 1
-    ends = body.filter("_end").select("path", "section", epoch.alias("epoch"))
+    event = F.when(_has(P.EPOCH_END), "end").when(_has(P.RESULTS_MARKER, plain=True), "mark")
+    epoch = _group(P.EPOCH_END, 1).try_cast("int") - 1
+    # Sections are worked out on the few marker and end lines alone.
+    events = lines.select("path", "line_no", event.alias("event"), epoch.alias("epoch")).filter(
+        F.col("event").isNotNull()
+    )
+    before = running(events, ["path"], "line_no", {"_prev": ("last", F.col("event"))}, exclusive=True)
+    inside = F.coalesce(F.col("_prev") == "mark", F.lit(False))
+    opens = (F.col("event") == "mark") & ~inside
+    turning = before.withColumn("_opens", opens).filter(F.col("_opens") | ((F.col("event") == "end") & inside))
+    numbered = running(turning, ["path"], "line_no", {"section": ("sum", F.col("_opens").cast("bigint"))})
+    sections = numbered.groupBy("path", "section").agg(
+        F.min("line_no").alias("_from"),
+        F.max(F.when(~F.col("_opens"), F.col("line_no"))).alias("_to"),
+        F.max(F.when(~F.col("_opens"), F.col("epoch"))).alias("epoch"),
+    )
+    ends = lines.groupBy("path").agg(F.max("line_no").alias("_last"))
+    # A section is listed once per block of lines it touches, so lines find theirs by equality.
+    listed = (
+        sections.join(ends, "path")
+        .withColumn("_to", F.coalesce("_to", F.col("_last") + 1))
+        .select(
+            "path",
+            "section",
+            "epoch",
+            "_from",
+            "_to",
+            F.explode(F.sequence(F.floor(F.col("_from") / BLOCK), F.floor(F.col("_to") / BLOCK))).alias("_block"),
+        )
+    )
     return (
-        body.filter(~F.col("_end"))
-        .join(ends, ["path", "section"], "left")
+        lines.withColumn("_block", F.floor(F.col("line_no") / BLOCK))
+        .join(listed, ["path", "_block"])
+        .filter((F.col("line_no") > F.col("_from")) & (F.col("line_no") < F.col("_to")))
         .select("path", "section", "line_no", "line", "epoch")
     )
 

@@ -314,7 +314,7 @@ def new_value_split(spark, sf):
     tagged = stored(an.repair_and_deoverlap(v.annotated_lines(spark, sf)).select("item_id", "tagged"))
     counts = stored(an.count_type_value(tagged))
     flagged = an.flag_new_value(
-        tagged, an.select_rare_values(counts, 0.2, 40), an.small_types(counts, 40)
+        tagged, an.select_rare_values(counts, 0.2, 40), an.small_type_values(counts, 40)
     )
     return flagged.select("item_id", "is_test")
 

@@ -44,7 +44,7 @@ def _flag_rare(
     return an.flag_new_value(
         rows,
         an.select_rare_values(counts, ratio, threshold),
-        an.small_types(counts, threshold),
+        an.small_type_values(counts, threshold),
         seed=seed,
     )
 
