@@ -370,7 +370,7 @@ def _rare_depth(counts: DataFrame, ratio: float, threshold: int) -> tuple[DataFr
         .when(F.col("s2") == F.col("s1"), 2)
         .otherwise(
             F.least(
-                F.coalesce(F.greatest("reach", F.lit(2)), F.col("stall") + 3),
+                F.when(F.col("reach").isNotNull(), F.greatest("reach", F.lit(2))).otherwise(F.col("stall") + 3),
                 F.greatest("stall", F.lit(3)),
             )
         )

@@ -9,11 +9,11 @@ from corpusprep.functions import arrays as A
 
 
 def _grams(text: Column, j: int, num: int) -> Column:
-    """The j-character grams by start position, in one pass over the text.
+    """The j-character grams by start position: look at j characters, move on by one.
 
     A gram ``[i, i + j)`` counts only while ``i + j < length - num - 2``: the tail is left out.
     """
-    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{j}}}))"), F.lit(1))
+    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{j}}}))."), F.lit(1))
     return F.slice(every, F.lit(1), F.greatest(F.length(text) - num - 2 - j, F.lit(0)))
 
 
