@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 256
+CHUNK = 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -75,13 +75,10 @@ def pages(text: Column) -> Column:
 def page_slice(text: Column, paged: Column, start: Column, end: Column) -> Column:
     """``py_slice(text, start, end)`` by way of the text's pages."""
     stop = F.when(end < 0, F.length(text) + end).otherwise(end)
-
-    def cut(size: Column) -> Column:
-        page = F.get(paged, F.floor(start / PAGE).cast("int"))
-        short = F.coalesce(F.substring(page, F.pmod(start, F.lit(PAGE)) + 1, size), F.lit(""))
-        return F.when(size <= PAGE, short).otherwise(F.substring(text, start + 1, size))
-
-    return F.when(start.isNotNull(), let(F.greatest(stop - start, F.lit(0)), cut))
+    size = F.greatest(stop - start, F.lit(0))
+    page = F.get(paged, (start / PAGE).cast("int"))
+    short = F.coalesce(F.substring(page, start % PAGE + 1, size), F.lit(""))
+    return F.when(size <= PAGE, F.when(start.isNotNull(), short)).otherwise(F.substring(text, start + 1, size))
 
 
 def sorted_set(arr: Column) -> Column:
@@ -156,19 +153,22 @@ def running_starts(lengths: Column, gap: int | Column = 0) -> Column:
 
 def space_tokens(text: Column) -> Column:
     """Pieces between single spaces (empty ones kept) as structs ``tok_ind, token, cs, ce``."""
+
+    def placed(pieces: Column, starts: Column) -> Column:
+        return F.transform(
+            pieces,
+            lambda p, i: F.struct(
+                i.alias("tok_ind"),
+                p.alias("token"),
+                F.get(starts, i).alias("cs"),
+                (F.get(starts, i) + F.length(p)).alias("ce"),
+            ),
+        )
+
     return let(
         F.split(text, F.lit(" "), -1),
-        lambda pieces: F.transform(
-            F.arrays_zip(
-                pieces.alias("token"),
-                running_starts(F.transform(pieces, lambda p: F.length(p)), 1).alias("cs"),
-            ),
-            lambda t, i: F.struct(
-                i.cast("int").alias("tok_ind"),
-                t["token"].alias("token"),
-                t["cs"].alias("cs"),
-                (t["cs"] + F.length(t["token"])).cast("int").alias("ce"),
-            ),
+        lambda pieces: let(
+            running_starts(F.transform(pieces, lambda p: F.length(p)), 1), lambda starts: placed(pieces, starts)
         ),
     )
 

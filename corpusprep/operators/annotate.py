@@ -86,7 +86,7 @@ def _whole_word_start(marked: Column, target: Column) -> Column:
 
 
 def _repaired(title: Column, anns: Column, strict: bool) -> Column:
-    """Sorted distinct annotations with repaired offsets; ``ok`` is false for dropped title ones."""
+    """Sorted distinct annotations with repaired offsets, without the title ones beyond repair."""
     # Struct order is the sort order: original line, start, end, then type and value for ties.
     ordered = A.sorted_set(
         F.transform(
@@ -104,42 +104,37 @@ def _repaired(title: Column, anns: Column, strict: bool) -> Column:
     )
 
     def fix(marked: Column, paged: Column, a: Column) -> Column:
-        def span(start: Column, length: Column) -> Column:
-            return F.struct(start.alias("s"), (start + length).alias("e"))
-
-        def with_slice(piece: Column) -> Column:
-            by_slice = A.let(
-                _whole_word_start(marked, piece), lambda p: F.when(p >= 0, span(p, F.length(piece)))
-            )
-            by_value = A.let(
-                _whole_word_start(marked, a["val"]),
-                lambda v: F.when(v >= 0, span(v, F.length(a["val"]))).when(F.length(a["val"]) > 0, by_slice),
-            )
-            as_given = (a["src"] != "title") | (a["val"] == piece)
-            return F.when(as_given, F.struct(a["s"].alias("s"), a["e"].alias("e"))).otherwise(by_value)
-
-        def result(sp: Column, txt: Column) -> Column:
-            ok = sp.isNotNull()
-            if not strict:
-                ok = ok & ((a["src"] != "title") | (F.length(txt) > 0))
+        def at(txt: Column, start: Column, end: Column) -> Column:
             return F.struct(
                 txt.alias("txt"),
                 a["typ"].alias("typ"),
-                sp["s"].cast("int").alias("s"),
-                sp["e"].cast("int").alias("e"),
+                start.alias("s"),
+                end.alias("e"),
                 a["line"].alias("line"),
-                ok.alias("ok"),
                 a["src"].alias("src"),
             )
 
-        return A.let(
-            A.let(A.page_slice(title, paged, a["s"], a["e"]), with_slice),
-            lambda sp: A.let(A.page_slice(title, paged, sp["s"], sp["e"]), lambda txt: result(sp, txt)),
-        )
+        def hit(target: Column, otherwise: Column | None = None) -> Column:
+            def placed(start: Column) -> Column:
+                found = F.when(start >= 0, at(target, start, start + F.length(target)))
+                return found if otherwise is None else found.when(F.length(target) > 0, otherwise)
+
+            return A.let(_whole_word_start(marked, target), placed)
+
+        def with_slice(piece: Column) -> Column:
+            as_given = (a["src"] != "title") | (a["val"] == piece)
+            return F.when(as_given, at(piece, a["s"], a["e"])).otherwise(hit(a["val"], hit(piece)))
+
+        return A.let(A.page_slice(title, paged, a["s"], a["e"]), with_slice)
+
+    def usable(x: Column) -> Column:
+        if strict:
+            return x.isNotNull()
+        return x.isNotNull() & ((x["src"] != "title") | (F.length(x["txt"]) > 0))
 
     return A.let(
         F.struct(_word_marked(title).alias("marked"), A.pages(title).alias("paged")),
-        lambda t: F.transform(ordered, lambda a: fix(t["marked"], t["paged"], a)),
+        lambda t: F.filter(F.transform(ordered, lambda a: fix(t["marked"], t["paged"], a)), usable),
     )
 
 
@@ -193,9 +188,7 @@ def repair_and_deoverlap(
     still moves the end.
     """
     strict = _mode_is_strict(mode)
-    fixed = F.filter(
-        _repaired(F.col(title), _title_only(_valid(F.col(anns), types, strict)), strict), lambda a: a["ok"]
-    )
+    fixed = _repaired(F.col(title), _title_only(_valid(F.col(anns), types, strict)), strict)
 
     by_position = A.sorted_set(
         F.transform(
@@ -268,7 +261,7 @@ def count_source_type(
     counted; in ``strict`` mode dropped overlaps are.
     """
     strict = _mode_is_strict(mode)
-    fixed = F.filter(_repaired(F.col(title), _valid(F.col(anns), types, strict), strict), lambda a: a["ok"])
+    fixed = _repaired(F.col(title), _valid(F.col(anns), types, strict), strict)
     label = lambda x: F.concat_ws("-", x["src"], x["typ"])
     counted = fixed if strict else _deoverlapped(fixed, mode)
     return A.unnest(df, [], F.transform(counted, label), "source_type").groupBy("source_type").agg(
