@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local session may do without."""
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    A local session without one gets a temporary folder; a cluster without one gets None, because
+    a machine-local folder is no place for a shared table.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        return None
     folder = tempfile.mkdtemp(prefix="corpusprep-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -25,7 +29,11 @@ def stored(df: DataFrame) -> DataFrame:
 
     This runs a job.  What follows starts from the files: nothing is computed again when several
     branches read the frame or an executor is lost, and each branch reads only its columns.
+    Without a shared folder the frame is returned as it is and computed per branch.
     """
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
