@@ -32,7 +32,11 @@ def _without_accents(texts: pd.Series) -> pd.Series:
     def one(text):
         if text is None or text.isascii():
             return text
-        return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+        bare = unicodedata.normalize("NFD", text)
+        # A text has few distinct marks: one pass per mark, not one step per character.
+        for mark in {c for c in set(bare) if unicodedata.category(c) == "Mn"}:
+            bare = bare.replace(mark, "")
+        return bare
 
     return texts.map(one)
 
@@ -50,15 +54,12 @@ def words_and_punctuation(text: Column) -> Column:
 def squeezed(text: Column, separate: bool = False) -> Column:
     """Whitespace runs become one space and the ends are trimmed.
 
-    ``separate`` also sets off every character outside ``[A-Za-z0-9]`` with spaces.
+    ``separate`` also sets off every character outside ``[A-Za-z0-9]`` with spaces; squeezed, that
+    is the ASCII runs and the single other characters joined by one space each.
     """
-
-    def squeeze(col: Column) -> Column:
-        return F.trim(F.regexp_replace(col, P.SPACE_RUN, " "))
-
-    if not separate:
-        return squeeze(text)
-    return squeeze(F.regexp_replace(squeeze(text), "([^A-Za-z0-9])", " $1 "))
+    if separate:
+        return F.array_join(F.regexp_extract_all(text, F.lit(P.ASCII_RUN_OR_OTHER), F.lit(0)), " ")
+    return F.trim(F.regexp_replace(text, P.SPACE_RUN, " "))
 
 
 def stripped(text: Column) -> Column:

@@ -1,6 +1,7 @@
 import base64
 import math
 import random
+import re
 import unicodedata
 from collections import Counter
 
