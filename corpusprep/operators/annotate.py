@@ -77,8 +77,14 @@ def _whole_word_start(marked: Column, target: Column) -> Column:
     """0-based start of the first whole-word hit of ``target`` in the marked text, -1 if none."""
 
     def find(runs: Column) -> Column:
-        before = F.substring(marked, F.lit(1), F.instr(marked, runs) - 1)
-        return F.when(F.contains(marked, runs), F.length(F.replace(before, F.lit(_SEP), F.lit("")))).otherwise(-1)
+        # A byte search that returns what precedes the hit, or the whole text if there is none.
+        return A.let(
+            F.call_function("substring_index", marked, runs, F.lit(1)),
+            lambda before: F.when(
+                F.octet_length(before) < F.octet_length(marked),
+                F.length(F.replace(before, F.lit(_SEP), F.lit(""))),
+            ).otherwise(-1),
+        )
 
     return F.when(
         F.length(target) > 0, A.let(F.concat(F.lit(_SEP), _run_marked(target)), find)
