@@ -52,43 +52,63 @@ def tag_names(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- repair
 _RUNS = f"([{P.PY_WORD}]+|[^{P.PY_WORD}]+)"
-_SEP = "\uFDD0"  # a Unicode noncharacter
+_SEP = "\x1f"  # ASCII, so that plain texts stay plain; one in the text counts as a space
 
 
 def _run_marked(text: Column) -> Column:
     """``text`` with a separator behind every run of word or of other characters."""
-    return F.regexp_replace(F.translate(text, _SEP, " "), _RUNS, f"$1{_SEP}")
+    return F.regexp_replace(F.replace(text, F.lit(_SEP), F.lit(" ")), _RUNS, f"$1{_SEP}")
+
+
+def _separators(piece: Column) -> Column:
+    return F.length(piece) - F.length(F.replace(piece, F.lit(_SEP), F.lit("")))
 
 
 def _word_marked(text: Column) -> Column:
-    """Run-marked text in which separators stand exactly at the word edges.
+    """Run-marked text in which separators stand exactly at the word edges, with page counts.
 
     A whole-word hit of a target is then a literal hit of the target's own runs between
-    separators, so no pattern is compiled per annotation.
+    separators.  ``pages`` are 512 characters each, ``seps`` the separators before each page.
     """
     lead = F.when(text.rlike(f"^[{P.PY_WORD}]"), _SEP).otherwise("")
-    marked = F.concat(lead, _run_marked(text))
-    return F.when(text.rlike(f"[^{P.PY_WORD}]\\z"), F.substring(marked, F.lit(1), F.length(marked) - 1)).otherwise(
-        marked
+    ends_other = text.rlike(f"[^{P.PY_WORD}]\\z")
+
+    def counted(marked: Column) -> Column:
+        return A.let(
+            F.regexp_extract_all(marked, F.lit(f"(?s).{{1,{A.PAGE}}}"), F.lit(0)),
+            lambda pages: F.struct(
+                marked.alias("text"),
+                pages.alias("pages"),
+                A.running_starts(F.transform(pages, _separators)).alias("seps"),
+            ),
+        )
+
+    return A.let(
+        A.let(
+            F.concat(lead, _run_marked(text)),
+            lambda m: F.when(ends_other, F.substring(m, F.lit(1), F.length(m) - 1)).otherwise(m),
+        ),
+        counted,
     )
 
 
 def _whole_word_start(marked: Column, target: Column) -> Column:
     """0-based start of the first whole-word hit of ``target`` in the marked text, -1 if none."""
 
-    def find(runs: Column) -> Column:
-        # A byte search that returns what precedes the hit, or the whole text if there is none.
+    def unmarked(at: Column) -> Column:
+        """Characters of the text before position ``at`` of the marked text."""
+        page = (at / A.PAGE).cast("int")
+        inside = F.substring(F.get(marked["pages"], page), F.lit(1), at % A.PAGE)
+        return at - F.coalesce(F.get(marked["seps"], page), F.lit(0)) - F.coalesce(_separators(inside), F.lit(0))
+
+    def find(pattern: Column) -> Column:
         return A.let(
-            F.call_function("substring_index", marked, runs, F.lit(1)),
-            lambda before: F.when(
-                F.octet_length(before) < F.octet_length(marked),
-                F.length(F.replace(before, F.lit(_SEP), F.lit(""))),
-            ).otherwise(-1),
+            F.get(A.let(F.split(marked["text"], pattern, 2), lambda p: F.when(F.size(p) == 2, p)), F.lit(0)),
+            lambda before: F.when(before.isNotNull(), A.let(F.length(before), unmarked)).otherwise(-1),
         )
 
-    return F.when(
-        F.length(target) > 0, A.let(F.concat(F.lit(_SEP), _run_marked(target)), find)
-    ).otherwise(-1)
+    pattern = A.literal(F.concat(F.lit(_SEP), _run_marked(target)))
+    return F.when(F.length(target) > 0, find(pattern)).otherwise(-1)
 
 
 def _repaired(title: Column, anns: Column, strict: bool) -> Column:

@@ -51,12 +51,16 @@ def _annotations(cell: Column) -> Column:
     )
 
 
-def read_annotations(spark: SparkSession, path: str, cells: str = "json") -> DataFrame:
+def read_annotations(
+    spark: SparkSession, path: str, cells: str = "json", multi_line: bool = True
+) -> DataFrame:
     """The seven used columns of the annotation CSV; ``cells`` is ``json`` or ``literal``.
 
-    The file may have any further columns, in any order; quoted cells may span lines.
+    The file may have any further columns, in any order.  With ``multi_line`` quoted cells may
+    hold line breaks and a file is read by one task, so keep files moderate; without it large
+    files are split.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', enforceSchema=False)
     picked = raw.select(*[F.col(f"`{src}`").alias(dst) for src, dst in ANNOTATION_COLUMNS.items()])
     cell = F.col("anns") if cells == "json" else _literal_to_json("anns")
     return picked.withColumns({c: F.col(c).cast("bigint") for c in _IDS}).withColumn("anns", _annotations(cell))
