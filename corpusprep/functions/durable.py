@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    A local session without one gets a temporary folder; a cluster without one gets None, because
-    a machine-local folder is no place for a shared table.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; without one, a folder in the
+    warehouse, which driver and executors share as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    folder = tempfile.mkdtemp(prefix="corpusprep-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -29,11 +19,12 @@ def stored(df: DataFrame) -> DataFrame:
 
     This runs a job.  What follows starts from the files: nothing is computed again when several
     branches read the frame or an executor is lost, and each branch reads only its columns.
-    Without a shared folder the frame is returned as it is and computed per branch.
+    The files of a session stand in one folder of its own, which goes when the session's JVM ends.
     """
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    own = f"{shared_folder(spark)}/stored-{spark.sparkContext.applicationId}"
+    path = f"{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
