@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from corpusprep.plans import catalog, oracle
 
 SF_DIR = Path("/root/testdata/sf0.001")
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = catalog.QUERIES, oracle.ORACLE
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -27,6 +28,8 @@ def _sorted(rows, columns):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.keys() <= contract.queries().keys()
+    assert ORACLE.keys() <= contract.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
