@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusprep.functions.arrays import let, unnest
 from corpusprep.functions.durable import stored
+from corpusprep.llm.bitmap import bitmap, listed
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,38 +40,13 @@ def windows(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
     )
 
 
-def _bit(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BITS))
-
-
-def word_filter(tokens: DataFrame, word: str) -> Column:
-    """A scalar: ``BITS`` bits as an array of longs, with a bit set for every word of the column.
-
-    Its size is fixed; with more words it only lets more through, and the join decides.
-    """
-    at = _bit(F.col(word))
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))
-    pages = tokens.groupBy(F.shiftright(at, 6).alias("page")).agg(F.bit_or(one).alias("bits"))
-    every = tokens.sparkSession.range(BITS // 64).withColumnRenamed("id", "page")
-    rows = every.join(pages, "page", "left").agg(
-        F.sort_array(F.collect_list(F.struct("page", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("rows")
-    )
-    return stored(rows.select(F.col("rows.bits").alias("bits"))).scalar()
-
-
-def _listed(word: Column, bits: Column) -> Column:
-    page = F.get(bits, F.shiftright(_bit(word), 6).cast("int"))
-    return F.getbit(page, _bit(word).bitwiseAND(63).cast("int")) == 1
-
-
 def prefix_windows(docs: DataFrame, text: str, found: DataFrame) -> DataFrame:
     """Adds ``prefix``, the window's rarest word in the documents (ties by the word), and ``offset``,
     its first place in the window; windows with a word that no document has are left out."""
     vocabulary = found.select(F.explode("words").alias("word")).distinct()
-    bits = F.col("_bits")
-    marked = docs.withColumn("_bits", word_filter(vocabulary, "word"))
-    listed = unnest(marked, [], F.filter(words(F.col(text)), lambda w: _listed(w, bits)), "word")
-    counts = listed.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    marked = docs.withColumn("_bits", bitmap(vocabulary, "word", BITS)[0])
+    known = unnest(marked, [], F.filter(words(F.col(text)), lambda w: listed(w, F.col("_bits"), BITS)), "word")
+    counts = known.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     tokens = found.select("window", "size", F.posexplode("words").alias("at", "word"))
     rarest = (
         tokens.join(counts, "word")
@@ -99,7 +75,6 @@ def hits(
     """
     found = stored(windows(items, item_id, item_text, width))
     tokens = stored(prefix_windows(docs, text, found))
-    bits = F.col("_bits")
     reach = width - 1
 
     def places(ws: Column) -> Column:
@@ -108,14 +83,14 @@ def hits(
             around = F.slice(ws, first + 1, 2 * reach + 1)
             return F.struct(w.alias("prefix"), i.alias("at"), (i - first).alias("before"), around.alias("around"))
 
-        chosen = F.filter(F.transform(ws, lambda w, i: F.when(_listed(w, bits), i)), lambda i: i.isNotNull())
+        chosen = F.filter(F.transform(ws, lambda w, i: F.when(listed(w, F.col("_bits"), BITS), i)), lambda i: i.isNotNull())
         return F.struct(
             F.size(ws).cast("bigint").alias("n"),
             F.transform(chosen, lambda i: one(F.get(ws, i), i)).alias("places"),
         )
 
     slim = stored(
-        docs.withColumn("_bits", word_filter(tokens.select("prefix"), "prefix")).select(
+        docs.withColumn("_bits", bitmap(tokens, "prefix", BITS)[0]).select(
             F.col(doc_id).alias("_id"),
             F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_fp"),
             let(words(F.col(text)), places).alias("w"),

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusprep.functions.durable import stored
+from corpusprep.llm.bitmap import likely
 from corpusprep.llm.components import smallest_reachable
 from corpusprep.llm.words import chunks, mix, shingles, words_of
 
@@ -156,7 +157,7 @@ def _filtered(pairs: DataFrame, columns: list[str], keep: Callable[[pa.RecordBat
 def estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``a, b`` that may reach the threshold by their registers, with the estimate."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    joined = pairs.join(likely(side("a"), "a", pairs, "a"), "a").join(likely(side("b"), "b", pairs, "b"), "b")
 
     def keep(part: pa.RecordBatch) -> np.ndarray:
         regs = [
@@ -172,7 +173,8 @@ def estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` whose sets have ``100 * intersection >= percent * union``."""
     side = lambda x: sets.select(F.col("_id").alias(x), F.col("_set").alias(f"s_{x}"))
-    joined = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    pairs = pairs.select("a", "b")
+    joined = pairs.join(likely(side("b"), "b", pairs, "b"), "b").join(likely(side("a"), "a", pairs, "a"), "a")
 
     def one(a: bytes, b: bytes) -> float:
         x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -203,7 +205,8 @@ def rare_shingle_pairs(members: DataFrame, sets: DataFrame, percent: int) -> Dat
                 same = lambda c: pa.array(np.full(len(token), batch.column(c)[i].as_py()), batch.column(c).type)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([same("_id"), same("n"), same("group"), pa.array(token)], names=["_id", "n", "group", "token"])
 
-    rows = members.join(sets, "_id").select("_id", "n", "group", "_set").mapInArrow(
+    members = stored(members)
+    rows = members.join(likely(sets, "_id", members, "_id"), "_id").select("_id", "n", "group", "_set").mapInArrow(
         tokens, "_id bigint, n bigint, group bigint, token bigint"
     )
     rows = stored(rows)
@@ -262,9 +265,9 @@ def class_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], perc
 
     ``sets`` gives ``_id, _set`` for a frame of ``rep``.
     """
-    rows = stored(bands(classes))
-    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = stored(rows.join(size, "key"))
+    rows = bands(classes)
+    size = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    shared = stored(likely(rows, "key", size, "key").join(size, "key"))
     small, large = shared.filter(F.col("size") <= SMALL), shared.filter(F.col("size") > SMALL)
     weight = stored(shared.groupBy("rep").agg(F.sum("size").alias("w"), F.max("size").alias("widest")))
     # Of a large bucket the class that meets most others in all its buckets.
@@ -273,15 +276,15 @@ def class_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], perc
     ).select("key", "c.rep", "c.n")
     near = _pairs(small, small, "key", percent)
     star = _pairs(large, central, "key", percent).unionAll(_pairs(central, large, "key", percent))
-    found = estimated(near.unionAll(star).distinct(), classes, percent / 100)
+    found = estimated(stored(near.unionAll(star).distinct()), classes, percent / 100)
     side = lambda x: weight.select(F.col("rep").alias(x), F.struct("w", -F.col("rep")).alias(f"w_{x}"))
     found = stored(found.join(side("a"), "a").join(side("b"), "b"))
     up = F.col("w_a") > F.col("w_b")
     members = weight.filter(F.col("widest") > SMALL).select("rep")
     held = found.select(F.col("a").alias("rep")).unionAll(found.select(F.col("b").alias("rep"))).unionAll(members)
-    full = stored(sets(held.distinct()))
+    full = stored(sets(stored(held.distinct())))
     # First every class with its likeliest partner of more weight: that joins most copies.
-    first = (
+    first = stored(
         found.select(F.when(up, F.col("b")).otherwise(F.col("a")).alias("low"), F.when(up, F.col("a")).otherwise(F.col("b")).alias("high"), F.when(up, F.col("w_a")).otherwise(F.col("w_b")).alias("w"), "score")
         .groupBy("low").agg(F.max_by("high", F.struct("score", "w")).alias("high"))
         .select(F.col("low").alias("a"), F.col("high").alias("b"))
@@ -297,7 +300,7 @@ def class_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], perc
         .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select(F.col("rep").alias("_id"), "n", F.coalesce("component", "rep").alias("group"))
     )
-    rest = apart.unionAll(rare_shingle_pairs(open_members, full, percent)).distinct()
+    rest = stored(apart.unionAll(rare_shingle_pairs(open_members, full, percent)).distinct())
     return links.unionAll(confirmed(rest, full, percent))
 
 
@@ -323,7 +326,8 @@ def near_duplicates(
     )
 
     def sets(reps: DataFrame) -> DataFrame:
-        return shingle_sets(docs.join(reps.withColumnRenamed("rep", "_id"), "_id", "left_semi"), width)
+        reps = reps.withColumnRenamed("rep", "_id")
+        return shingle_sets(likely(docs, "_id", reps, "_id").join(reps, "_id", "left_semi"), width)
 
     links = class_links(classes, sets, percent)
     groups = smallest_reachable(links).withColumnRenamed("node", "rep")
