@@ -1,6 +1,6 @@
 """Documents packed into token sequences along a Hilbert curve.
 
-A document's tokens are hashed to directions in a space of few dimensions; the mean direction is
+A document's words are hashed to directions in a space of few dimensions; the mean direction is
 its place, and the place's Hilbert key its order.  Documents are range-sorted by that key, laid
 end to end and cut every ``length`` tokens, so neighbours share sequences and only the very last
 sequence is short.
@@ -20,11 +20,16 @@ from pyspark.sql import functions as F
 
 from corpusprep.functions.durable import stored
 from corpusprep.llm.span_cache import SpanCache
-from corpusprep.llm.words import chunks, mix, words_of
+from corpusprep.llm.words import LOWER, SPACES, chunks, mix, text_bytes, word_hashes, word_spans
 
 DIMS = 3
 KEY_BITS = 16  # bits of the Hilbert key for each dimension
 LENGTH = 4096
+# Kinds of bytes: 0 blanks, 1 letters and digits, 2 signs, 3 what stays with all it touches but blanks.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[SPACES] = 0
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+_KIND[[39, *range(128, 256)]] = 3
 _CACHES: dict[str, SpanCache] = {}
 
 
@@ -43,20 +48,55 @@ def word_ids(path: str) -> SpanCache:
     mark, token = min((i, t.content) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special)
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [i for i, w in enumerate(words) if "<|" not in w]
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(tokenizer.encode(f" {token} ".join(words[i] for i in some), add_special_tokens=False).ids, np.uint32)
-            for i, found in zip(some, np.split(ids, np.flatnonzero(ids == mark))):
-                out[i] = found[1:] if len(found) and found[0] == mark else found
-        for i in set(range(len(words))) - set(plain):
-            out[i] = np.array(tokenizer.encode(words[i], add_special_tokens=False).ids, np.uint32)
-        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+        flat, sizes, run = [], [], []
+
+        def together() -> None:
+            ids = np.array(tokenizer.encode_batch_fast([f" {token} ".join(run)], add_special_tokens=False)[0].ids, np.uint32)
+            marks = ids == mark
+            flat.append(ids[~marks])
+            sizes.append(np.diff(np.flatnonzero(marks), prepend=-1, append=len(ids)) - 1)
+            run.clear()
+
+        for word in words:
+            if "<|" in word:
+                if run:
+                    together()
+                flat.append(np.array(tokenizer.encode(word, add_special_tokens=False).ids, np.uint32))
+                sizes.append([len(flat[-1])])
+            else:
+                run.append(word)
+                if len(run) == 2000:
+                    together()
+        if run:
+            together()
+        return np.concatenate(flat), np.concatenate(sizes)
 
     return _CACHES.setdefault(path, SpanCache(encode, np.uint32))
 
 
+def tokenizer_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(data, starts, ends, rows)``: spans whose tokens, end to end, are those of the texts.
+
+    The tokenizer lowers letters, drops blanks, and parts letters and digits from signs, but for
+    an apostrophe before letters; so do the spans, within ASCII.  Texts that may hold a special
+    token's string are cut at blanks only.
+    """
+    data, offsets = text_bytes(column)
+    if len(data) and not ((data[:-1] == 60) & (data[1:] == 124)).any():
+        data = LOWER[data]
+        kind = _KIND[data]
+        edge = np.ones(len(data) + 1, bool)
+        edge[1:-1] = ((kind[1:] == 0) != (kind[:-1] == 0)) | (kind[1:] * kind[:-1] == 2)
+        edge[offsets] = True
+        cuts = np.flatnonzero(edge)
+        starts, ends = cuts[:-1], cuts[1:]
+        seen = kind[starts] != 0
+        starts, ends = starts[seen], ends[seen]
+    else:
+        starts, ends = word_spans(data, offsets)
+    return data, starts, ends, np.searchsorted(starts, offsets)
+
+
 def hilbert_keys(coords: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
     """Hilbert curve index of integer points (rows of ``coords``), by Gray-code rotations."""
     x = [coords[:, i].astype(np.int64) for i in range(coords.shape[1])]
@@ -100,14 +140,15 @@ def tokenized(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int) -
         cache, slots = word_ids(path), _directions(1 << 12)
         for batch in batches:
             for part in chunks(batch, "_text"):
-                data, starts, ends, hashes, rows = words_of(part.column("_text"), lower=False)
+                data, starts, ends, rows = tokenizer_spans(part.column("_text"))
+                hashes = word_hashes(data, starts, ends)
                 flat, sizes = cache.of(data, starts, ends, hashes)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])[rows]
                 n = np.diff(bounds)
-                # The place of a document: the mean of its tokens' directions, widened by sqrt(n).
-                place = slots[(mix(flat.astype(np.uint64)) & np.uint64(4095)).astype(np.int64)]
-                sums = np.vstack([np.zeros(DIMS), np.cumsum(place, 0)])[bounds]
-                mean = np.diff(sums, axis=0) / np.maximum(n, 1)[:, None]
+                # The place of a document: the mean of its words' directions.
+                place = slots[(hashes & np.uint64(len(slots) - 1)).astype(np.int64)]
+                sums = np.vstack([np.zeros(DIMS), np.cumsum(place, 0)])[rows]
+                mean = np.diff(sums, axis=0) / np.maximum(np.diff(rows), 1)[:, None]
                 grid = np.clip((mean * 2 + 1) / 2, 0, 1 - 2.0**-KEY_BITS) * (1 << KEY_BITS)
                 ids = np.insert(flat, bounds[1:], end_id).astype("<u4")
                 bounds = bounds + np.arange(len(bounds))
