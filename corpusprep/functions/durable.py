@@ -24,7 +24,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     own = f"{shared_folder(spark)}/stored-{spark.sparkContext.applicationId}"
     path = f"{own}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(own)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
