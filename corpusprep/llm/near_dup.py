@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.functions.durable import stored
@@ -26,6 +26,7 @@ BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS
 MANTISSA = 10  # bits kept after the leading-zero count
 ROWS = 4  # registers in a band: at a similarity of 0.8 all 32 bands miss with a chance of 5e-8
+SKETCH = 1 << 16  # slots
 SMALL = 32  # members of a bucket whose pairs are all compared
 
 
@@ -190,32 +191,57 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _filtered(joined, ["a", "b"], keep).select("a", "b")
 
 
+def shingle_sketch(sets: DataFrame) -> np.ndarray:
+    """Sets that hold each of ``SKETCH`` slots of shingle hashes: no count is below a shingle's own."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for raw in batch.column("_set"):
+                total[np.unique(np.frombuffer(raw.as_py(), np.uint64) % np.uint64(SKETCH))] += 1
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "c"])
+
+    table = sets.select("_set").mapInArrow(work, "slot bigint, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(SKETCH, np.int64)
+    out[table["slot"].to_numpy()] = table["c"].to_numpy()
+    return out
+
+
 def rare_shingle_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of ``members`` (``_id, n, group``) of different groups that can reach the threshold.
 
-    Exact: sets ordered by rarity among the members share a shingle in their prefixes of
-    n - ceil(t n) + 1, at places that leave room for the overlap.  Of a shingle's holders, those of
-    its most frequent group are not paired with each other.
+    Exact: sets in one common order share a shingle in their prefixes of n - ceil(t n) + 1, at places
+    that leave room for the overlap.  The order is by a sketch of how many members hold a shingle,
+    rarest first, and those that only one holds go.  Of a shingle's holders, those of its most
+    frequent group are not paired with each other.
     """
+    members = stored(members)
+    rows = stored(members.join(likely(sets, "_id", members, "_id"), "_id").select("_id", "n", "group", "_set"))
+    given = members.sparkSession.sparkContext.broadcast(shingle_sketch(rows))
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = given.value
         for batch in batches:
-            for i in range(batch.num_rows):
-                token = np.frombuffer(batch.column("_set")[i].as_py(), np.int64)
-                same = lambda c: pa.array(np.full(len(token), batch.column(c)[i].as_py()), batch.column(c).type)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([same("_id"), same("n"), same("group"), pa.array(token)], names=["_id", "n", "group", "token"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                tokens, places, times = [], [], []
+                for raw in part.column("_set"):
+                    token = np.frombuffer(raw.as_py(), np.uint64)
+                    held = counts[(token % np.uint64(SKETCH)).astype(np.int64)]
+                    first = np.lexsort((token, held))[: len(token) + (-percent * len(token)) // 100 + 1]
+                    place = np.flatnonzero(held[first] > 1)
+                    tokens.append(token[first[place]].view(np.int64))
+                    places.append(place)
+                    times.append(len(place))
+                took = pa.array(np.repeat(np.arange(len(times)), times))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens)), *[part.column(c).take(took) for c in ("_id", "n", "group")], pa.array(np.concatenate(places))],
+                    names=["token", "_id", "n", "group", "at"],
+                )
 
-    members = stored(members)
-    rows = members.join(likely(sets, "_id", members, "_id"), "_id").select("_id", "n", "group", "_set").mapInArrow(
-        tokens, "_id bigint, n bigint, group bigint, token bigint"
-    )
-    rows = stored(rows)
-    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("_id").orderBy("df", "token")) - 1
     t = percent
-    prefix = F.col("n") - F.ceil(F.col("n") * t / 100).cast("bigint") + 1
-    placed = rows.join(counts, "token").withColumn("at", place)
-    placed = stored(placed.filter((F.col("at") < prefix) & (F.col("df") > 1)).select("token", "_id", "n", "group", "at"))
+    placed = stored(rows.mapInArrow(prefixes, "token bigint, _id bigint, n bigint, group bigint, at bigint"))
     per_group = placed.groupBy("token", "group").agg(F.count(F.lit(1)).alias("c"))
     main = per_group.groupBy("token").agg(
         F.max_by("group", F.struct("c", "group")).alias("main"), F.count(F.lit(1)).alias("groups")

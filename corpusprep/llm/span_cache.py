@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-KEPT = 800_000  # distinct spans held between batches
-VALUES = 8_000_000  # values of their arrays
+KEPT = 500_000  # distinct spans held between batches
+VALUES = 4_000_000  # values of their arrays
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
