@@ -28,8 +28,10 @@ def words(text: Column) -> Column:
 
 
 def windows(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
-    """Distinct windows: ``(window, words, size, item_ids)``; an item of fewer words is one."""
-    tokens = items.select(F.col(item_id).alias("item"), words(F.col(text)).alias("ws")).filter(F.size("ws") > 0)
+    """Distinct windows: ``(window, words, size, item_ids)``, ids as strings; an item of fewer words
+    is one."""
+    name = F.coalesce(F.col(item_id).cast("string"), F.lit("null"))
+    tokens = items.select(name.alias("item"), words(F.col(text)).alias("ws")).filter(F.size("ws") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("ws") - width, F.lit(0)))
     each = tokens.select("item", "ws", F.explode(starts).alias("s")).select(
         "item", F.slice("ws", F.col("s") + 1, width).alias("words")
@@ -141,7 +143,7 @@ def contamination(
         occurrences.select("_id", "_fp", "window").distinct().join(found, "window")
         .select("_id", "_fp", F.explode("item_ids").alias("item"))
         .groupBy("_id", "_fp")
-        .agg(F.sort_array(F.collect_set(F.coalesce(F.col("item").cast("string"), F.lit("null")))).alias("item_ids"))
+        .agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
     )
     facts = merged.join(names.withColumnsRenamed({"_id": "_i", "_fp": "_f"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_fp") == F.col("_f")))
     facts = facts.select(F.col("_id").alias("_i"), F.col("_fp").alias("_f"), "hit_runs", "item_ids")

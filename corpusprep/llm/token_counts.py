@@ -208,8 +208,7 @@ def prefix_counts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
 
 def budget_prefix(steps: bytes, budget: int) -> int:
-    """The most code points of a text whose tokens stay within ``budget``, for every longer prefix
-    counted as well: the longest prefix with at most ``budget`` tokens."""
+    """Code points of the longest prefix with at most ``budget`` tokens."""
     counts = np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)[1:]
     fits = np.flatnonzero(counts <= budget)
     return int(fits[-1]) + 1 if len(fits) else 0
@@ -219,8 +218,8 @@ def truncated(table: DataFrame, budget: int, text: str = "text") -> DataFrame:
     """Adds ``fit_text``, the longest prefix of the text with at most ``budget`` tokens, to the
     result of ``prefix_counts`` without encoding anything."""
 
-    @F.pandas_udf("int")
-    def fit(steps: "pd.Series") -> "pd.Series":  # noqa: F821
-        return steps.map(lambda x: budget_prefix(bytes(x), budget))
+    @F.arrow_udf("int")
+    def fit(steps: pa.Array) -> pa.Array:
+        return pa.array([budget_prefix(x.as_py(), budget) for x in steps], pa.int32())
 
     return table.withColumn("fit_text", F.substring(F.coalesce(F.col(text), F.lit("")), F.lit(1), fit("prefix_steps")))
