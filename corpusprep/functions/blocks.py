@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 BLOCK = 65536
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, null equal to null; the keys come from the left."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def running(
     df: DataFrame,
     by: Sequence[str],
@@ -72,6 +79,6 @@ def running(
         return F.coalesce(here, F.lit(0)) + F.coalesce(c, F.lit(0))
 
     names = [c for c in df.columns if c not in values]
-    return src.join(carry, [*by, "_block"]).select(
+    return join_null_safe(src, carry, [*by, "_block"]).select(
         *names, *[combined(n, k).alias(n) for n, (k, _) in values.items()]
     )

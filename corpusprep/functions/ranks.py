@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusprep.functions.blocks import join_null_safe
+
 BUCKET_DIGITS = 4
 
 
@@ -38,8 +40,7 @@ def ranked(df: DataFrame, key: str, by: Sequence[str] = (), out: str = "rank") -
     offsets = _bucket_offsets(df.select(*by, key), key, by).drop("_n")
     inside = Window.partitionBy(*by, "_bucket").orderBy(key)
     return (
-        df.withColumn("_bucket", _bucket(F.col(key)))
-        .join(offsets, [*by, "_bucket"])
+        join_null_safe(df.withColumn("_bucket", _bucket(F.col(key))), offsets, [*by, "_bucket"])
         .withColumn(out, F.col("_before") + F.row_number().over(inside))
         .drop("_bucket", "_before")
     )
@@ -74,8 +75,7 @@ def cut_keys(df: DataFrame, key: str, wanted: Column, by: Sequence[str] = ()) ->
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy(key)
     return (
-        slim.withColumn("_bucket", _bucket(F.col(key)))
-        .join(deciding, [*by, "_bucket"])
+        join_null_safe(slim.withColumn("_bucket", _bucket(F.col(key))), deciding, [*by, "_bucket"])
         .withColumn("_rn", F.row_number().over(inside))
         .filter(F.col("_rn") == F.col("_nth"))
         .select(*by, F.coalesce("_edge", key).alias("cut"))
@@ -86,5 +86,5 @@ def with_cut(df: DataFrame, key: str, wanted: Column, by: Sequence[str] = ()) ->
     """Adds ``picked``: true for the ``wanted`` rows with the smallest keys (of each group)."""
     cuts = cut_keys(df, key, wanted, by)
     if by:
-        return df.join(cuts, list(by)).withColumn("picked", F.col(key) <= F.col("cut")).drop("cut")
+        return join_null_safe(df, cuts, by).withColumn("picked", F.col(key) <= F.col("cut")).drop("cut")
     return df.withColumn("picked", F.col(key) <= F.coalesce(cuts.select("cut").scalar(), F.lit("")))

@@ -438,7 +438,7 @@ def flag_new_value(
     ``small`` lists the values of the small types.  Rare and small values are one table joined by
     (type, value): a type alone would be a join key that holds a third of all spans.
     """
-    limit = f"{int(p * 2**32):08x}"
+    limit = F.lit(int(p * 2**32)).cast("bigint")
     draw = random_key(seed, F.concat_ws(":", id_col, "attribute_type", "start_idx", "end_idx"))
     marked = (
         rare.select("attr_type", "value_content", F.lit(True).alias("_rare"))
@@ -448,7 +448,7 @@ def flag_new_value(
     hits = (
         spans(df, id_col)
         .join(marked, ["attribute_type", "indexed_text"])
-        .filter(F.col("_rare") | (F.substring(draw, 1, 8) < limit))
+        .filter(F.col("_rare") | (F.conv(F.substring(draw, 1, 8), 16, 10).cast("bigint") < limit))
         .select(id_col, F.lit(True).alias("_hit"))
         .distinct()
     )

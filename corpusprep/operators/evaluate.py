@@ -83,8 +83,9 @@ def prf(counts: DataFrame, mode: str = "eps") -> DataFrame:
 
 def sample_accuracy(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """One row ``sample_acc``: the share of samples whose tags all agree; inputs ``(sample_id, pos, tag)``."""
-    both = gold.select("sample_id", "pos", F.col("tag").alias("g"), F.lit(None).cast("int").alias("p")).unionByName(
-        pred.select("sample_id", "pos", F.lit(None).cast("int").alias("g"), F.col("tag").alias("p"))
+    none = F.lit(None).cast(gold.schema["tag"].dataType)
+    both = gold.select("sample_id", "pos", F.col("tag").alias("g"), none.alias("p")).unionByName(
+        pred.select("sample_id", "pos", none.alias("g"), F.col("tag").alias("p"))
     )
     per_tag = both.groupBy("sample_id", "pos").agg(F.max("g").alias("g"), F.max("p").alias("p"))
     same = F.coalesce(F.col("g") == F.col("p"), F.lit(False))

@@ -17,8 +17,8 @@ from corpusprep.functions.ranks import random_key
 
 # ---------------------------------------------------------------- column forms
 def clean(text: Column) -> Column:
-    """Drop NUL, U+FFFD and every control-category character; tab, LF, CR and Zs become a space."""
-    kept = F.regexp_replace(text, r"[\p{C}\x{FFFD}&&[^\t\n\r]]", "")
+    """Drop NUL, U+FFFD and every character of the categories Cc, Cf, Co and Cs; tab, LF, CR and Zs become a space."""
+    kept = F.regexp_replace(text, r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}\x{FFFD}&&[^\t\n\r]]", "")
     return F.regexp_replace(kept, r"[\t\n\r\p{Zs}]", " ")
 
 

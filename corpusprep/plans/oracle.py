@@ -603,7 +603,7 @@ FROM win JOIN documents USING (doc_id) WHERE c1 > c0""",
 ORACLE["extract_series"] = r"""SELECT path, cast(generate_subscripts(m, 1) - 1 AS int) AS i, unnest(m) AS value FROM (
   SELECT cast(doc_id AS varchar) AS path, regexp_extract_all(array_to_string(list_transform(
     CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END, lambda x: 'eval f1 = ' || length(x) || chr(10)), ''),
-    '[\s]f1[\s]=([\s\d.]+)\n', 1) AS m
+    '\sf1\s=([\s\d.]+)\n', 1) AS m
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
 ORACLE["third_decimal"] = r"""SELECT cast(l_orderkey AS varchar) AS path, cast(l_linenumber AS bigint) AS line_no,
   regexp_extract_all(l_quantity || ' ' || l_tax || ' ' || l_extendedprice, '\d+\.\d+')[3] AS value
