@@ -51,64 +51,140 @@ def tag_names(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- repair
-_RUNS = f"([{P.PY_WORD}]+|[^{P.PY_WORD}]+)"
-_SEP = "\x1f"  # ASCII, so that plain texts stay plain; one in the text counts as a space
+_RUNS = f"[{P.PY_WORD}]+|[^{P.PY_WORD}]+"
+_SEP = "\x1f"
+_SCANNED = 4096  # longest title, in characters, in which a value is searched from its start
+_TRIED = 16  # occurrences of a run that are compared at a time
 
 
 def _run_marked(text: Column) -> Column:
     """``text`` with a separator behind every run of word or of other characters."""
-    return F.regexp_replace(F.replace(text, F.lit(_SEP), F.lit(" ")), _RUNS, f"$1{_SEP}")
+    return F.regexp_replace(text, f"({_RUNS})", f"$1{_SEP}")
 
 
 def _separators(piece: Column) -> Column:
     return F.length(piece) - F.length(F.replace(piece, F.lit(_SEP), F.lit("")))
 
 
-def _word_marked(text: Column) -> Column:
-    """Run-marked text in which separators stand exactly at the word edges, with page counts.
+def _searchable(text: Column) -> Column:
+    """A title ready for ``_whole_word_start``, evaluated once per title.
 
-    A whole-word hit of a target is then a literal hit of the target's own runs between
-    separators.  ``pages`` are 512 characters each, ``seps`` the separators before each page.
+    A short title is ``marked``: separators stand exactly at its word edges, and a whole-word hit
+    of a target is a literal hit of the target's own runs between separators.  A long one, or one
+    that holds the separator itself, gets a run ``index``, so that a search does not walk through
+    the title.  Both find the same hits.
     """
     lead = F.when(text.rlike(f"^[{P.PY_WORD}]"), _SEP).otherwise("")
     ends_other = text.rlike(f"[^{P.PY_WORD}]\\z")
+    marked = A.let(
+        F.concat(lead, _run_marked(text)),
+        lambda m: F.when(ends_other, F.substring(m, F.lit(1), F.length(m) - 1)).otherwise(m),
+    )
+    short = (F.length(text) <= _SCANNED) & ~F.contains(text, F.lit(_SEP))
+    return F.struct(
+        F.when(short, marked).alias("marked"),
+        F.when(~short, _run_index(text)).alias("index"),
+        A.pages(text).alias("paged"),
+    )
+
+
+def _whole_word_start(text: Column, searchable: Column, target: Column) -> Column:
+    """0-based start of the first whole-word hit of ``target`` in the title, -1 if none."""
+    marked = searchable["marked"]
+
+    def unmarked(at: Column) -> Column:
+        return F.when(at >= 0, at - _separators(F.substring(marked, F.lit(1), at)))
+
+    scanned = A.let(F.instr(marked, F.concat(F.lit(_SEP), _run_marked(target))) - 1, unmarked)
+    found = F.when(marked.isNotNull(), scanned).otherwise(
+        _indexed_start(text, searchable["paged"], searchable["index"], target)
+    )
+    return F.when(F.length(target) > 0, F.coalesce(found, F.lit(-1))).otherwise(-1)
+
 
-    def counted(marked: Column) -> Column:
+def _run_index(text: Column) -> Column:
+    """The runs of word and of other characters of a text, sorted.
+
+    ``starts`` holds the start of every run and the length of the text; ``keys`` are the runs in
+    sorted order and ``at`` their numbers; ``halves`` are the steps of a binary search in ``keys``.
+    """
+
+    def indexed(runs: Column) -> Column:
+        lengths = F.concat(F.transform(runs, lambda r: F.length(r)), F.array(F.lit(0)))
+        ordered = F.sort_array(F.transform(runs, lambda r, i: F.struct(r.alias("run"), i.alias("i"))))
+        bits = F.length(F.bin(F.size(runs)))
         return A.let(
-            F.regexp_extract_all(marked, F.lit(f"(?s).{{1,{A.PAGE}}}"), F.lit(0)),
-            lambda pages: F.struct(
-                marked.alias("text"),
-                pages.alias("pages"),
-                A.running_starts(F.transform(pages, _separators)).alias("seps"),
+            ordered,
+            lambda o: F.struct(
+                A.running_starts(lengths).alias("starts"),
+                F.transform(o, lambda x: x["run"]).alias("keys"),
+                F.transform(o, lambda x: x["i"]).alias("at"),
+                F.transform(F.sequence(F.lit(1), bits), lambda k: F.pow(F.lit(2), bits - k).cast("int")).alias("halves"),
+                text.rlike(f"^[{P.PY_WORD}]").alias("word_first"),
+                text.rlike(f"[{P.PY_WORD}]\\z").alias("word_last"),
             ),
         )
 
-    return A.let(
-        A.let(
-            F.concat(lead, _run_marked(text)),
-            lambda m: F.when(ends_other, F.substring(m, F.lit(1), F.length(m) - 1)).otherwise(m),
-        ),
-        counted,
-    )
+    return A.let(F.regexp_extract_all(text, F.lit(_RUNS), F.lit(0)), indexed)
 
 
-def _whole_word_start(marked: Column, target: Column) -> Column:
-    """0-based start of the first whole-word hit of ``target`` in the marked text, -1 if none."""
+def _before(index: Column, key: Column, equal: bool) -> Column:
+    """Number of keys smaller than (or equal to) ``key``."""
 
-    def unmarked(at: Column) -> Column:
-        """Characters of the text before position ``at`` of the marked text."""
-        page = (at / A.PAGE).cast("int")
-        inside = F.substring(F.get(marked["pages"], page), F.lit(1), at % A.PAGE)
-        return at - F.coalesce(F.get(marked["seps"], page), F.lit(0)) - F.coalesce(_separators(inside), F.lit(0))
+    def step(pos: Column, half: Column) -> Column:
+        probe = F.get(index["keys"], pos + half - 1)
+        return F.when(probe <= key if equal else probe < key, pos + half).otherwise(pos)
+
+    return F.aggregate(index["halves"], F.lit(0), step)
+
+
+def _indexed_start(text: Column, paged: Column, index: Column, target: Column) -> Column:
+    """0-based start of the first whole-word hit of ``target`` in the indexed text, null if none.
+
+    A hit begins and ends at run boundaries that are word edges, so its runs are the target's.
+    The occurrences of the target's longest run are looked up and compared in their order; a
+    target of one run needs three of them at most, because only the outer runs can lack an edge.
+    """
+    n = F.length(target)
+    last = F.size(index["keys"])
 
-    def find(pattern: Column) -> Column:
+    def search(runs: Column) -> Column:
+        lengths = F.transform(runs, lambda r: F.length(r))
         return A.let(
-            F.get(A.let(F.split(marked["text"], pattern, 2), lambda p: F.when(F.size(p) == 2, p)), F.lit(0)),
-            lambda before: F.when(before.isNotNull(), A.let(F.length(before), unmarked)).otherwise(-1),
+            A.let(
+                F.array_position(lengths, F.array_max(lengths)).cast("int") - 1,
+                lambda j: F.struct(j.alias("j"), F.get(runs, j).alias("key"), F.size(runs).alias("m")),
+            ),
+            lambda t: A.let(_before(index, t["key"], equal=False), lambda low: from_key(t, low)),
         )
 
-    pattern = A.literal(F.concat(F.lit(_SEP), _run_marked(target)))
-    return F.when(F.length(target) > 0, find(pattern)).otherwise(-1)
+    def from_key(t: Column, low: Column) -> Column:
+        def start(i: Column) -> Column:
+            """Start of the hit whose looked-up run has number ``i``, null if there is none."""
+            first, stop = i - t["j"], i - t["j"] + t["m"]
+            begin = F.get(index["starts"], first)
+            edges = ((first > 0) | index["word_first"]) & ((stop < last) | index["word_last"])
+            fits = (first >= 0) & (F.get(index["starts"], stop) - begin == n) & edges
+            return F.when(fits & (A.page_slice(text, paged, begin, begin + n) == target), begin)
+
+        def hits(pos: Column, count: Column) -> Column:
+            return F.get(
+                F.filter(F.transform(F.slice(index["at"], pos + 1, count), start), lambda x: x.isNotNull()), F.lit(0)
+            )
+
+        def compared(high: Column) -> Column:
+            tries = F.sequence(F.lit(0), F.floor((high - low - 1) / _TRIED).cast("int"))
+            found = F.aggregate(
+                tries,
+                F.lit(None).cast("int"),
+                lambda hit, k: F.coalesce(hit, hits(low + k * _TRIED, F.least(F.lit(_TRIED), high - low - k * _TRIED))),
+            )
+            return F.when(high > low, found)
+
+        one = F.when(F.get(index["keys"], low) == t["key"], hits(low, F.lit(3)))
+        return F.when(t["m"] == 1, one).otherwise(A.let(_before(index, t["key"], equal=True), compared))
+
+    return A.let(F.regexp_extract_all(target, F.lit(_RUNS), F.lit(0)), search)
 
 
 def _repaired(title: Column, anns: Column, strict: bool) -> Column:
@@ -129,7 +205,7 @@ def _repaired(title: Column, anns: Column, strict: bool) -> Column:
         )
     )
 
-    def fix(marked: Column, paged: Column, a: Column) -> Column:
+    def fix(searchable: Column, a: Column) -> Column:
         def at(txt: Column, start: Column, end: Column) -> Column:
             return F.struct(
                 txt.alias("txt"),
@@ -145,13 +221,13 @@ def _repaired(title: Column, anns: Column, strict: bool) -> Column:
                 found = F.when(start >= 0, at(target, start, start + F.length(target)))
                 return found if otherwise is None else found.when(F.length(target) > 0, otherwise)
 
-            return A.let(_whole_word_start(marked, target), placed)
+            return A.let(_whole_word_start(title, searchable, target), placed)
 
         def with_slice(piece: Column) -> Column:
             as_given = (a["src"] != "title") | (a["val"] == piece)
             return F.when(as_given, at(piece, a["s"], a["e"])).otherwise(hit(a["val"], hit(piece)))
 
-        return A.let(A.page_slice(title, paged, a["s"], a["e"]), with_slice)
+        return A.let(A.page_slice(title, searchable["paged"], a["s"], a["e"]), with_slice)
 
     def usable(x: Column) -> Column:
         if strict:
@@ -159,8 +235,8 @@ def _repaired(title: Column, anns: Column, strict: bool) -> Column:
         return x.isNotNull() & ((x["src"] != "title") | (F.length(x["txt"]) > 0))
 
     return A.let(
-        F.struct(_word_marked(title).alias("marked"), A.pages(title).alias("paged")),
-        lambda t: F.filter(F.transform(ordered, lambda a: fix(t["marked"], t["paged"], a)), usable),
+        _searchable(title),
+        lambda t: F.filter(F.transform(ordered, lambda a: fix(t, a)), usable),
     )
 
 

@@ -43,16 +43,18 @@ def test_repair_counts_code_points_and_respects_word_edges(spark):
     assert tagged(df) == [[("A", 11, 14)], [("A", 1, 3)], [("A", 3, 4), ("B", 3, 4)], []]
 
 
-def test_whole_word_search_equals_python(spark):
+@pytest.mark.parametrize("scanned", [4096, 0])
+def test_whole_word_search_equals_python(spark, monkeypatch, scanned):
+    monkeypatch.setattr(an, "_SCANNED", scanned)  # 0: every title gets a run index
     rng = random.Random(1)
-    alphabet = "ab1_é .-+́字²"
+    alphabet = "ab1_é .-+́字²\x1f"
     rows = [
         ("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))), "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 3))))
         for _ in range(3000)
     ]
     got = (
         spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, v string")
-        .select("i", an._whole_word_start(an._word_marked(F.col("t")), F.col("v")).alias("p"))
+        .select("i", A.let(an._searchable(F.col("t")), lambda x: an._whole_word_start(F.col("t"), x, F.col("v"))).alias("p"))
         .orderBy("i")
         .collect()
     )
