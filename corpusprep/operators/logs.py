@@ -7,12 +7,14 @@ tasks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.functions import arrays as A
 from corpusprep.functions import patterns as P
-from corpusprep.functions.blocks import BLOCK, running
+from corpusprep.functions.blocks import BLOCK, join_null_safe, running
 
 
 def _has(pattern: str, plain: bool = False) -> Column:
@@ -39,7 +41,7 @@ def extract_series(logs: DataFrame, pattern: str = P.SERIES) -> DataFrame:
 
 def third_decimal(lines: DataFrame, skip: int = 2) -> DataFrame:
     """``(path, line_no, value)``: the third decimal number of every line after the first two."""
-    third = F.get(F.regexp_extract_all(F.col("line"), F.lit(r"\d+\.\d+"), F.lit(0)), F.lit(2))
+    third = F.get(F.regexp_extract_all(F.col("line"), F.lit(r"\p{Nd}+\.\p{Nd}+"), F.lit(0)), F.lit(2))
     return lines.filter(F.col("line_no") >= skip).select("path", "line_no", third.alias("value"))
 
 
@@ -50,9 +52,9 @@ def block_pick(lines: DataFrame, size: int = 6, offset: int = 5) -> DataFrame:
     fourth last; the first pick is left out.  Blocks are counted by ``line_no``.
     """
     picks = lines.filter(F.pmod(F.col("line_no"), F.lit(size)) == offset).select(
-        "path", F.floor(F.col("line_no") / size).alias("k"), _group(r"([\d.]+)[,)]", 1).alias("value")
+        "path", F.floor(F.col("line_no") / size).alias("k"), _group(r"([\p{Nd}.]+)[,)]", 1).alias("value")
     )
-    sized = picks.join(picks.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path")
+    sized = join_null_safe(picks, picks.groupBy("path").agg(F.count(F.lit(1)).alias("n")), ["path"])
     from_end = F.col("n") - F.col("k")
     pos = (
         F.when(from_end == 3, 2)
@@ -67,19 +69,25 @@ def slice_sections(lines: DataFrame) -> DataFrame:
     """``(path, section, line_no, line, epoch)``: lines after a results marker.
 
     A section ends at the next ``Total epoch`` line, which gives its epoch minus one; a repeated
-    marker inside is an ordinary line.  A section without an end has no epoch.  A line that holds
-    both the marker and an end counts as an end.
+    marker inside is an ordinary line.  A section without an end has no epoch.  Outside a section
+    only the marker counts and inside only the end, so a line that holds both switches.
     """
-    event = F.when(_has(P.EPOCH_END), "end").when(_has(P.RESULTS_MARKER, plain=True), "mark")
+    is_end, is_mark = _has(P.EPOCH_END), _has(P.RESULTS_MARKER, plain=True)
+    event = F.when(is_end & is_mark, "both").when(is_end, "end").when(is_mark, "mark")
     epoch = _group(P.EPOCH_END, 1).try_cast("int") - 1
     # Sections are worked out on the few marker and end lines alone.
     events = lines.select("path", "line_no", event.alias("event"), epoch.alias("epoch")).filter(
         F.col("event").isNotNull()
     )
-    before = running(events, ["path"], "line_no", {"_prev": ("last", F.col("event"))}, exclusive=True)
-    inside = F.coalesce(F.col("_prev") == "mark", F.lit(False))
-    opens = (F.col("event") == "mark") & ~inside
-    turning = before.withColumn("_opens", opens).filter(F.col("_opens") | ((F.col("event") == "end") & inside))
+    # Whether a line is inside: the last marker or end says so, turned by every "both" since.
+    both = F.col("event") == "both"
+    switched = running(events, ["path"], "line_no", {"_turns": ("sum", both.cast("bigint"))})
+    state = F.when(~both, F.struct(F.col("event").alias("event"), F.col("_turns").alias("turns")))
+    before = running(switched, ["path"], "line_no", {"_prev": ("last", state)}, exclusive=True)
+    turns = F.col("_turns") - both.cast("bigint") - F.coalesce("_prev.turns", F.lit(0))
+    inside = F.coalesce(F.col("_prev.event") == "mark", F.lit(False)) != (turns % 2 == 1)
+    opens = (F.col("event") != "end") & ~inside
+    turning = before.withColumn("_opens", opens).filter(F.col("_opens") | ((F.col("event") != "mark") & inside))
     numbered = running(turning, ["path"], "line_no", {"section": ("sum", F.col("_opens").cast("bigint"))})
     sections = numbered.groupBy("path", "section").agg(
         F.min("line_no").alias("_from"),
@@ -89,7 +97,7 @@ def slice_sections(lines: DataFrame) -> DataFrame:
     ends = lines.groupBy("path").agg(F.max("line_no").alias("_last"))
     # A section is listed once per block of lines it touches, so lines find theirs by equality.
     listed = (
-        sections.join(ends, "path")
+        join_null_safe(sections, ends, ["path"])
         .withColumn("_to", F.coalesce("_to", F.col("_last") + 1))
         .select(
             "path",
@@ -101,20 +109,19 @@ def slice_sections(lines: DataFrame) -> DataFrame:
         )
     )
     return (
-        lines.withColumn("_block", F.floor(F.col("line_no") / BLOCK))
-        .join(listed, ["path", "_block"])
+        join_null_safe(lines.withColumn("_block", F.floor(F.col("line_no") / BLOCK)), listed, ["path", "_block"])
         .filter((F.col("line_no") > F.col("_from")) & (F.col("line_no") < F.col("_to")))
         .select("path", "section", "line_no", "line", "epoch")
     )
 
 
 def run_blocks(
-    lines: DataFrame, marker: str = "3YF2qsDm", block_marker: str = "test_triples", drop_last: bool = False
+    lines: DataFrame, marker: str, block_marker: str = "test_triples", drop_last: bool = False
 ) -> DataFrame:
     """``(path, run, idx, value)``: first ``0.ddd`` of the third line of every test block.
 
-    A marker line starts a run, a block marker line starts a block and is its line 1.
-    ``drop_last`` leaves the last run of a log out.
+    A marker line starts a run, a block marker line starts a block and is its line 1.  ``idx``
+    numbers the values of a run from 0.  ``drop_last`` leaves the last run of a log out.
     """
     marked = running(
         lines,
@@ -122,16 +129,16 @@ def run_blocks(
         "line_no",
         {
             "run": ("sum", _has(marker, plain=True).cast("bigint")),
-            "idx": ("sum", _has(block_marker, plain=True).cast("bigint")),
             "_head": ("last", F.when(_has(block_marker, plain=True), F.col("line_no"))),
         },
     )
     third = marked.filter((F.col("run") >= 1) & (F.col("line_no") - F.col("_head") == 2))
-    values = third.select("path", "run", "idx", F.regexp_extract("line", r"0\.\d+", 0).alias("value"))
+    numbered = running(third, ["path", "run"], "line_no", {"idx": ("count", F.lit(1))}, exclusive=True)
+    values = numbered.select("path", "run", "idx", F.regexp_extract("line", r"0\.\p{Nd}+", 0).alias("value"))
     if not drop_last:
         return values
     last = lines.filter(_has(marker, plain=True)).groupBy("path").agg(F.count(F.lit(1)).alias("_runs"))
-    return values.join(last, "path").filter(F.col("run") < F.col("_runs")).drop("_runs")
+    return join_null_safe(values, last, ["path"]).filter(F.col("run") < F.col("_runs")).drop("_runs")
 
 
 def training_accuracy(lines: DataFrame) -> DataFrame:
@@ -209,9 +216,11 @@ def pair_metrics(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = _paired_groups(lines)
     errors = groups.filter(F.col("n_acc") > 1).select("path", "grp", "n_acc")
     good = groups.filter(F.col("n_acc") == 1)
-    first = good.filter(F.col("kind") == "student").groupBy("path").agg(F.min("grp").alias("_first"))
+    first = good.filter(F.col("kind") == "student").groupBy("path").agg(
+        F.min("grp").alias("_first")
+    ).withColumnRenamed("path", "_path")
     pairs = (
-        good.join(first, "path", "left")
+        good.join(first, good["path"].eqNullSafe(first["_path"]), "left")
         .filter((F.col("kind") == "teacher") | (F.col("grp") > F.col("_first")))
         .select(
             "path",
@@ -227,25 +236,32 @@ def pair_metrics(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, errors
 
 
-def pairwise_max(matrix: DataFrame) -> DataFrame:
+def pairwise_max(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(epoch, col, value)`` to the maximum of neighbouring columns ``col`` and ``col + 1``.
 
-    Only the first half of the columns is kept, the first epoch is dropped and epochs are
-    labelled from 2.  Every cell is offered to its own column and the one before it, so no pivot
-    is needed.
+    Only the first half of the columns is kept, the first epoch is dropped and the others are
+    labelled 2, 3, ... in their order, whatever their numbers.  ``by`` names the columns that tell
+    several matrices apart.  Every cell is offered to its own column and the one before it, so no
+    pivot is needed.
     """
-    bounds = matrix.agg(
-        F.struct(F.min("epoch").alias("first"), (F.max("col") + 1).alias("width")).alias("b")
-    )
-    offered = matrix.withColumn("_b", bounds.scalar()).filter(F.col("epoch") > F.col("_b.first"))
+    by = list(by)
+    one = [] if by else [F.lit(0).alias("_one")]
+    keys = by or ["_one"]
+    cells = matrix.select(*by, *one, "epoch", "col", "value")
+    widths = cells.groupBy(*keys).agg(F.floor((F.max("col") + 1) / 2).alias("_half"))
+    epochs = running(
+        cells.select(*keys, "epoch").distinct(), keys, "epoch", {"_label": ("count", F.lit(1))}
+    ).filter(F.col("_label") > 1)
+    offered = join_null_safe(join_null_safe(cells, epochs, [*keys, "epoch"]), widths, keys)
     return (
         offered.select(
-            (F.col("epoch") - F.col("_b.first") + 1).alias("epoch"),
+            *by,
+            F.col("_label").alias("epoch"),
             F.explode(F.array(F.col("col"), F.col("col") - 1)).alias("col"),
             "value",
-            F.floor(F.col("_b.width") / 2).alias("_half"),
+            "_half",
         )
         .filter((F.col("col") >= 0) & (F.col("col") < F.col("_half")))
-        .groupBy("epoch", "col")
+        .groupBy(*by, "epoch", "col")
         .agg(F.max("value").alias("value"))
     )

@@ -487,7 +487,14 @@ def slice_sections(spark, sf):
 
 @query
 def run_blocks(spark, sf):
-    return logs.run_blocks(v.test_log(spark, sf))
+    return logs.run_blocks(v.test_log(spark, sf), v.RUN_MARKER)
+
+
+@query
+def run_blocks_max(spark, sf):
+    blocks = logs.run_blocks(v.test_log(spark, sf), v.RUN_MARKER, drop_last=True)
+    cells = blocks.select("path", F.col("run").alias("epoch"), F.col("idx").alias("col"), F.col("value").try_cast("double").alias("value"))
+    return logs.pairwise_max(cells, ["path"])
 
 
 @query

@@ -476,7 +476,8 @@ _SPLIT = "row_number() OVER (ORDER BY md5('0:' || item_id)) <= ceil(count(*) OVE
 ORACLE["build_single_value_set"] = _chain(
     *_STRICT,
     *_bio(_BY_TYPE, "BIO", "lower(title)"),
-    f"SELECT item_id, bio, num_overlap, {_SPLIT} AS is_test FROM bio JOIN dropped USING (item_id)",
+    f"""SELECT item_id, CASE WHEN item_id IN (SELECT item_id FROM tagged) THEN bio END AS bio, num_overlap, {_SPLIT} AS is_test
+FROM bio JOIN dropped USING (item_id)""",
 )
 ORACLE["build_multi_value_set"] = _chain(
     *_TAGGED,
@@ -543,21 +544,23 @@ ORACLE["token_spans"] = _chain(
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS int) AS s
   FROM (SELECT doc_id, unnest(l) AS line, cast(generate_subscripts(l, 1) - 1 AS int) AS span_no
         FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))""",
-    """SELECT doc_id, span_no,
-  coalesce(min(tok_ind) FILTER (ln.s >= cs AND ln.s < cs + length(token)), -1) AS ts,
-  coalesce(max(tok_ind) FILTER (ln.s + length(line) - 1 >= cs AND ln.s + length(line) - 1 < cs + length(token)) + 1, -1) AS te
-FROM ln JOIN toks USING (doc_id) WHERE line <> '' GROUP BY doc_id, span_no""",
+    "cover AS (SELECT doc_id, tok_ind, cs, cs + length(token) AS ce FROM toks WHERE token <> '')",
+    # The only token that can cover a character is the last one that starts at or before it.
+    """SELECT ln.doc_id, span_no, CASE WHEN s < a.ce THEN a.tok_ind ELSE -1 END AS ts,
+  CASE WHEN s + length(line) - 1 < b.ce THEN b.tok_ind + 1 ELSE -1 END AS te
+FROM ln ASOF LEFT JOIN cover a ON a.doc_id = ln.doc_id AND ln.s >= a.cs
+ASOF LEFT JOIN cover b ON b.doc_id = ln.doc_id AND ln.s + length(line) - 1 >= b.cs WHERE line <> ''""",
 )
 ORACLE["attach_token_spans"] = _chain(
     *_CHAR_SPANS,
     _space_tokens("toks", "smp", "id", "text"),
     "cover AS (SELECT id, tok_ind, cs, cs + length(token) AS ce FROM toks WHERE token <> '')",
-    """SELECT r.id, subj_s AS subj_cs, obj_s AS obj_cs, coalesce(a.tok_ind, -1) AS subj_ts, coalesce(b.tok_ind + 1, -1) AS subj_te,
+    # Subject and object are whole words here, so a span's ends are ends of tokens.
+    """SELECT r.id, subj_s AS subj_cs, obj_s AS obj_cs,
+  coalesce(a.tok_ind, -1) AS subj_ts, coalesce(b.tok_ind + 1, -1) AS subj_te,
   coalesce(c.tok_ind, -1) AS obj_ts, coalesce(d.tok_ind + 1, -1) AS obj_te
-FROM rels r LEFT JOIN cover a ON a.id = r.id AND subj_s >= a.cs AND subj_s < a.ce
-LEFT JOIN cover b ON b.id = r.id AND subj_e - 1 >= b.cs AND subj_e - 1 < b.ce
-LEFT JOIN cover c ON c.id = r.id AND obj_s >= c.cs AND obj_s < c.ce
-LEFT JOIN cover d ON d.id = r.id AND obj_e - 1 >= d.cs AND obj_e - 1 < d.ce""",
+FROM rels r LEFT JOIN cover a ON a.id = r.id AND a.cs = subj_s LEFT JOIN cover b ON b.id = r.id AND b.ce = subj_e
+LEFT JOIN cover c ON c.id = r.id AND c.cs = obj_s LEFT JOIN cover d ON d.id = r.id AND d.ce = obj_e""",
 )
 
 
@@ -624,31 +627,48 @@ FROM picks WHERE n - k <= 3 OR k >= 1""",
 )
 ORACLE["slice_sections"] = _chain(
     _log(
-        """CASE event_type WHEN 'signup' THEN '---------------- Results -----------------------'
-      WHEN 'error' THEN 'Total epoch' || (event_id % 50 + 1) || ':' ELSE event_type || ' f1 = ' || value END"""
+        """CASE WHEN event_type = 'signup' THEN '---------------- Results -----------------------'
+        || CASE WHEN event_id % 3 = 0 THEN ' Total epoch7:' ELSE '' END
+      WHEN event_type = 'error' THEN 'Total epoch' || (event_id % 50 + 1) || ':' ELSE event_type || ' f1 = ' || value END"""
     ),
-    r"""ev AS (SELECT *, CASE WHEN regexp_matches(line, 'Total epoch(\d*):') THEN 'end'
-    WHEN contains(line, '---------------- Results') THEN 'mark' END AS event FROM log)""",
-    """st AS (SELECT *, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'mark', false) AS ins FROM ev)""",
-    """sec AS (SELECT *, sum(CASE WHEN NOT ins AND event = 'mark' THEN 1 ELSE 0 END)
-    OVER (PARTITION BY path ORDER BY line_no) AS section FROM st)""",
-    r"""ends AS (SELECT path, section, cast(regexp_extract(line, 'Total epoch(\d*):', 1) AS int) - 1 AS epoch
-  FROM sec WHERE ins AND event = 'end')""",
-    """SELECT path, cast(section AS bigint) AS section, line_no, line, epoch FROM sec LEFT JOIN ends USING (path, section)
-WHERE ins AND event IS DISTINCT FROM 'end'""",
-)
-ORACLE["run_blocks"] = _chain(
+    r"""ev AS (SELECT path, line_no, contains(line, '---------------- Results') AS m, regexp_matches(line, 'Total epoch(\d*):') AS e
+  FROM log)""",
+    # The loop over the lines of a log as a fold: a flag, and the lines at which it changes.
+    """flips AS (SELECT path, list_reduce(list({'n': line_no, 'm': m, 'e': e} ORDER BY line_no),
+      lambda st, x: CASE WHEN (st.ins AND x.e) OR (NOT st.ins AND x.m)
+        THEN {'ins': NOT st.ins, 'pts': list_append(st.pts, x.n)} ELSE st END,
+      {'ins': false, 'pts': []::bigint[]}).pts AS pts FROM ev WHERE m OR e GROUP BY path)""",
+    """sec AS (SELECT path, unnest(range(1, len(pts) + 1, 2)) AS i, pts FROM flips)""",
+    """spans AS (SELECT path, (i + 1) // 2 AS section, pts[i] AS a, pts[i + 1] AS z FROM sec)""",
+    r"""SELECT s.path, cast(section AS bigint) AS section, l.line_no, l.line,
+  cast(regexp_extract(t.line, 'Total epoch(\d*):', 1) AS int) - 1 AS epoch
+FROM spans s JOIN log l ON l.path = s.path AND l.line_no > a AND (z IS NULL OR l.line_no < z)
+LEFT JOIN log t ON t.path = s.path AND t.line_no = z""",
+)
+_BLOCKS = (
     _log(
-        """CASE event_type WHEN 'signup' THEN 'run 3YF2qsDm' WHEN 'click' THEN '''test_triples'''
+        """CASE event_type WHEN 'signup' THEN 'run start' WHEN 'click' THEN '''test_triples'''
       ELSE 'score 0.' || event_id || ' end' END"""
     ),
-    """b AS (SELECT *, sum(CASE WHEN contains(line, '3YF2qsDm') THEN 1 ELSE 0 END) OVER w AS run,
-    sum(CASE WHEN contains(line, 'test_triples') THEN 1 ELSE 0 END) OVER w AS idx FROM log
+    """b AS (SELECT *, count(*) FILTER (contains(line, 'start')) OVER w AS run,
+    count(*) FILTER (contains(line, 'test_triples')) OVER w AS block FROM log
   WINDOW w AS (PARTITION BY path ORDER BY line_no))""",
-    """c AS (SELECT *, row_number() OVER (PARTITION BY path, idx ORDER BY line_no) AS pos FROM b)""",
-    r"""SELECT path, cast(run AS bigint) AS run, cast(idx AS bigint) AS idx, regexp_extract(line, '0\.\d+') AS value
-FROM c WHERE run >= 1 AND idx >= 1 AND pos = 3""",
+    """c AS (SELECT *, row_number() OVER (PARTITION BY path, block ORDER BY line_no) AS pos FROM b)""",
+    # Every run is a list of its own, so a value's number starts at 0 in each.
+    r"""vals AS (SELECT path, run, row_number() OVER (PARTITION BY path, run ORDER BY line_no) - 1 AS idx,
+    regexp_extract(line, '0\.\d+') AS value FROM c WHERE run >= 1 AND block >= 1 AND pos = 3)""",
+)
+ORACLE["run_blocks"] = _chain(*_BLOCKS, "SELECT path, run, idx, value FROM vals")
+ORACLE["run_blocks_max"] = _chain(
+    *_BLOCKS,
+    """done AS (SELECT path, run, idx, try_cast(value AS double) AS value FROM vals v
+  WHERE run < (SELECT max(run) FROM b WHERE b.path = v.path))""",
+    """placed AS (SELECT path, idx, value, dense_rank() OVER (PARTITION BY path ORDER BY run) AS epoch,
+    (max(idx) OVER (PARTITION BY path) + 1) // 2 AS half FROM done)""",
+    """cells AS (SELECT path, epoch, idx AS col, value, half FROM placed
+  UNION ALL SELECT path, epoch, idx - 1, value, half FROM placed)""",
+    """SELECT path, epoch, col, max(value) AS value FROM cells
+WHERE epoch > 1 AND col >= 0 AND col < half GROUP BY path, epoch, col""",
 )
 ORACLE["align_runs"] = _chain(
     "a AS (SELECT row_number() OVER (ORDER BY event_id) AS rn, value AS ent_a, event_id::double AS head_a, 0.25::double AS tail_a FROM events)",
@@ -674,12 +694,13 @@ FROM good WHERE kind = 'teacher' OR grp > first""",
 )
 ORACLE["pair_metrics_errors"] = _chain(*_PAIRS, "SELECT path, grp, n_acc FROM grp WHERE n_acc > 1")
 ORACLE["pairwise_max"] = _chain(
-    """m AS (SELECT cast(dayofmonth(ts) AS int) AS epoch, cast(hour(ts) AS int) AS col, max(value) AS value
+    """m AS (SELECT cast(dayofmonth(ts) AS int) AS day, cast(hour(ts) AS int) AS col, max(value) AS value
   FROM events GROUP BY ALL)""",
-    """SELECT t.epoch - (SELECT min(epoch) FROM m) + 1 AS epoch, t.i AS col, max(m.value) AS value
-FROM (SELECT DISTINCT epoch, cast(i AS int) AS i FROM m CROSS JOIN
+    "r AS (SELECT *, dense_rank() OVER (ORDER BY day) AS epoch FROM m)",
+    """SELECT t.epoch, t.i AS col, max(r.value) AS value
+FROM (SELECT DISTINCT epoch, cast(i AS int) AS i FROM r CROSS JOIN
       (SELECT unnest(range((SELECT (max(col) + 1) // 2 FROM m))) AS i)) t
-JOIN m ON m.epoch = t.epoch AND m.col IN (t.i, t.i + 1) WHERE t.epoch > (SELECT min(epoch) FROM m) GROUP BY t.epoch, t.i""",
+JOIN r ON r.epoch = t.epoch AND r.col IN (t.i, t.i + 1) WHERE t.epoch > 1 GROUP BY t.epoch, t.i""",
 )
 
 # ---------------------------------------------------------------- chunks, knowledge base, union

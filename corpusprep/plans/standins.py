@@ -15,6 +15,7 @@ from corpusprep.operators.annotate import ANNOTATION
 from corpusprep.operators.logs import split_lines
 from corpusprep.operators.retrieval import letter_tokens
 
+RUN_MARKER = "start"
 LINES_PER_DOC = 1_000_000  # item ids: document id and line number in one bigint
 
 
@@ -221,7 +222,8 @@ def train_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_lines(
         spark,
         sf_dir,
-        F.when(kind == "signup", P.RESULTS_MARKER)
+        F.when((kind == "signup") & (F.col("event_id") % 3 == 0), F.concat(F.lit(P.RESULTS_MARKER), F.lit(" Total epoch7:")))
+        .when(kind == "signup", P.RESULTS_MARKER)
         .when(kind == "error", F.concat(F.lit("Total epoch"), (F.col("event_id") % 50 + 1).cast("string"), F.lit(":")))
         .otherwise(F.concat(kind, F.lit(" f1 = "), _value())),
     )
@@ -232,7 +234,7 @@ def test_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_lines(
         spark,
         sf_dir,
-        F.when(kind == "signup", "run 3YF2qsDm")
+        F.when(kind == "signup", f"run {RUN_MARKER}")
         .when(kind == "click", "'test_triples'")
         .otherwise(F.concat(F.lit("score 0."), F.col("event_id").cast("string"), F.lit(" end"))),
     )

@@ -22,9 +22,13 @@ TEST_RATIO = 0.2
 def build_single_value_set(
     items: DataFrame, types: Sequence[str] | None = None, test_ratio: float = TEST_RATIO, seed: int | str = 0
 ) -> DataFrame:
-    """Strict repair, tags on the lower-cased title, exact random split; all rows are kept."""
+    """Strict repair, tags on the lower-cased title, exact random split; all rows are kept.
+
+    An item without spans has no tags, so it is left out of the BIO text.
+    """
     tagged = an.repair_and_deoverlap(items, types, mode="strict")
     lowered = an.bio_tags(tagged.withColumn("_low", F.lower("title")), title="_low").drop("_low")
+    lowered = lowered.withColumn("tags", F.when(F.size("tagged") > 0, F.col("tags")))
     # No row is dropped, so the split needs the ids alone and nothing has to be stored.
     return random_split(lowered, "item_id", test_ratio, seed)
 

@@ -16,6 +16,15 @@ def test_sections(spark):
     assert [(r.section, r.line, r.epoch) for r in got] == [(1, "a", 2), (1, P.RESULTS_MARKER, 2), (2, "b", None)]
 
 
+def test_line_with_marker_and_end_switches(spark):
+    both = P.RESULTS_MARKER + " Total epoch4:"
+    df = log(spark, both, "a", both, "b", both, P.RESULTS_MARKER, "c", "Total epoch6:", "d", P.RESULTS_MARKER, "e", both, "f", both, "g")
+    got = logs.slice_sections(df).orderBy("line_no").collect()
+    assert [(r.section, r.line, r.epoch) for r in got] == [
+        (1, "a", 3), (2, P.RESULTS_MARKER, 5), (2, "c", 5), (3, "e", 3), (4, "g", None)
+    ]
+
+
 def test_block_pick(spark):
     lines = [x for v in range(1, 7) for x in ["-"] * 5 + [f"12 3.x (0.{v}, 7)"]]
     got = logs.block_pick(log(spark, *lines)).orderBy("pos").collect()
@@ -28,10 +37,10 @@ def test_third_decimal(spark):
 
 
 def test_run_blocks(spark):
-    df = log(spark, "3YF2qsDm", "test_triples", "0.1", "a 0.25 0.3", "test_triples", "q", "0.5", "3YF2qsDm", "test_triples", "-", "0.75")
-    got = logs.run_blocks(df).orderBy("idx").collect()
-    assert [(r.run, r.idx, r.value) for r in got] == [(1, 1, "0.25"), (1, 2, "0.5"), (2, 3, "0.75")]
-    assert [r.run for r in logs.run_blocks(df, drop_last=True).collect()] == [1, 1]
+    df = log(spark, "start", "test_triples", "0.1", "a 0.25 0.3", "test_triples", "q", "0.5", "start", "test_triples", "-", "0.75")
+    got = logs.run_blocks(df, "start").orderBy("run", "idx").collect()
+    assert [(r.run, r.idx, r.value) for r in got] == [(1, 0, "0.25"), (1, 1, "0.5"), (2, 0, "0.75")]
+    assert [r.run for r in logs.run_blocks(df, "start", drop_last=True).collect()] == [1, 1]
 
 
 def test_align_runs_cuts_one_behind(spark):
@@ -71,6 +80,14 @@ def test_pairwise_max(spark):
     assert got == {(e, c): max(cell[e, c], cell[e, c + 1]) for e in (2, 3) for c in range(3)}
 
 
+def test_pairwise_max_labels_epochs_by_position(spark):
+    rows = [("p", e, c, float(10 * e + c)) for e in (1, 3, 5) for c in range(4)] + [(None, 7, 0, 1.0), (None, 9, 1, 2.0)]
+    got = logs.pairwise_max(spark.createDataFrame(rows, "path string, epoch int, col int, value double"), ["path"]).collect()
+    assert {(r.path, r.epoch, r.col): r.value for r in got} == {
+        ("p", 2, 0): 31.0, ("p", 2, 1): 32.0, ("p", 3, 0): 51.0, ("p", 3, 1): 52.0, (None, 2, 0): 2.0
+    }
+
+
 TRIPLE = "sample_id int, subject string, predicate string, object string, subj_tok_span struct<s:int,e:int>, obj_tok_span struct<s:int,e:int>"
 
 
