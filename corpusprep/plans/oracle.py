@@ -272,7 +272,7 @@ ORACLE["best_so_far"] = _chain(
 
 # ---------------------------------------------------------------- annotations
 _LINES = """lines AS (
-  SELECT doc_id * 1000000 + generate_subscripts(l, 1) - 1 AS item_id, unnest(l) AS title
+  SELECT doc_id * 2147483648 + generate_subscripts(l, 1) - 1 AS item_id, unnest(l) AS title
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
 _ANNS = (
     _LINES,
@@ -402,7 +402,7 @@ def _rare(counts: str, ratio: str, threshold: int) -> tuple[str, ...]:
 
 _WORDS = """words AS (SELECT attr_type, value_content, count(*) AS count FROM (
     SELECT lang AS attr_type, unnest(regexp_split_to_array(text, '[ \\n]')) AS value_content FROM documents)
-  WHERE length(value_content) >= 4 GROUP BY ALL)"""
+  WHERE value_content <> '' GROUP BY ALL)"""
 ORACLE["select_rare_values"] = _chain(
     _WORDS, *_rare("words", "0.2", 50), "SELECT attr_type, value_content, count FROM rare"
 )

@@ -16,7 +16,7 @@ from corpusprep.operators.logs import split_lines
 from corpusprep.operators.retrieval import letter_tokens
 
 RUN_MARKER = "start"
-LINES_PER_DOC = 1_000_000  # item ids: document id and line number in one bigint
+LINES_PER_DOC = 1 << 31  # item ids: document id and line number, an int, in one bigint
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -352,7 +352,7 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value_content",
     )
     return (
-        words.filter(F.length("value_content") >= 4)
+        words.filter(F.col("value_content") != "")
         .groupBy("attr_type", "value_content")
         .agg(F.count(F.lit(1)).alias("count"))
     )
