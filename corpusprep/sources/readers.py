@@ -82,8 +82,9 @@ def read_kb(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(path, text)`` of whole files; CR LF and CR alone are read as LF."""
     return spark.read.text(pattern, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
+        F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("text")
     )
 
 

@@ -50,6 +50,9 @@ def test_listing_and_stats(spark, tmp_path):
     (tmp_path / "t.txt").write_text("a\nb\n" + "c" * 9000)
     r = readers.file_stats(spark, str(tmp_path / "t.txt")).first()
     assert (r.n_lines, r.n_blocks) == (3, 2)
+    (tmp_path / "crlf.txt").write_bytes(b"a\r\n" * 4096)
+    r = readers.file_stats(spark, str(tmp_path / "crlf.txt")).first()
+    assert (r.n_lines, r.n_blocks) == (4096, 1)
 
 
 def test_log_lines(spark, tmp_path):
@@ -78,7 +81,7 @@ def test_write_split(spark, tmp_path):
 def test_single_value_set_keeps_untagged_rows(spark):
     df = _items(spark).withColumn("title", F.when(F.col("item_id") == 0, "").otherwise(F.upper("title")))
     out = jobs.build_single_value_set(df).orderBy("item_id").collect()
-    assert [[t.word for t in r.tags] for r in out] == [[], ["red", "shoe"], ["red", "shoe"]]
+    assert [r.tags and [t.word for t in r.tags] for r in out] == [None, ["red", "shoe"], ["red", "shoe"]]
 
 
 def test_concat_append_publish_json(spark, tmp_path):
