@@ -3,8 +3,8 @@
 P(word | history) = P(class | history) * P(word | class).  The class comes from a softmax over
 hashed features of the three words before: the last one, the last two, and the second and third
 last alone (skips).  The word within its class comes from smoothed counts.  Counts are taken
-over all training texts by Spark; the softmax is trained in rounds, each over another part of
-the training texts, whose tasks send their weight changes to be averaged; texts are scored in
+over all training texts by Spark; the softmax is trained in rounds, each over all positions of
+another part of the training texts, whose tasks send their weight changes to be averaged; texts are scored in
 numpy batches, and counts of rare words meet them in a join.
 """
 
@@ -29,7 +29,6 @@ CONTEXT = 64  # most frequent items, for the classes
 CLASSES = 32
 FEATURE_BITS = 14
 ROUNDS = 4
-STRIDE = 4  # a round looks at every fourth position of its texts
 BATCH = 2048
 RATE = 0.3
 ITEMS = OWN + GROUPS
@@ -196,9 +195,8 @@ def train(texts: DataFrame, words: Vocabulary, item_class: np.ndarray, bias: np.
                 for part in chunks(batch, "_text"):
                     hashes, groups, rows = tokens_of(part.column("_text"))
                     items = items_of(vocabulary, hashes, groups)
-                    at = np.arange(r, len(items), STRIDE)  # noqa: B023
-                    found, target = features_of(items, rows)[at], classes[items[at]]
-                    for s in range(0, len(at), BATCH):
+                    found, target = features_of(items, rows), classes[items]
+                    for s in range(0, len(items), BATCH):
                         touched, slope = _gradient(now, found[s : s + BATCH], target[s : s + BATCH])
                         speed[touched] += slope**2
                         now[touched] += RATE * slope / np.sqrt(speed[touched])

@@ -225,6 +225,17 @@ def test_language_model_counts_and_gain(docs, none):
     assert language_model.scores(none).count() == 0
 
 
+def test_language_model_learns_from_every_position(spark):
+    # One round has all training texts; with its end each has a multiple of four tokens, so that
+    # every fourth position is always the same word.
+    ids = spark.range(2000).withColumnRenamed("id", "doc_id")
+    train = ids.filter(language_model.is_training(F.col("doc_id")) & (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0)).limit(120)
+    held = ids.filter(~language_model.is_training(F.col("doc_id"))).limit(3)
+    rows = train.unionAll(held).select("doc_id", F.concat(F.repeat(F.lit("ab cd ef gh "), 500), F.lit("ab cd ef")).alias("text"))
+    for r in language_model.scores(rows).filter("held_out").collect():
+        assert r.score / r.n_tokens > -0.1 and r.base_score / r.n_tokens < -0.5
+
+
 def test_dual_tree_search_is_exact(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8))
