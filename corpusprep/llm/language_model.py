@@ -1,11 +1,12 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class).  The class comes from a softmax over
-hashed features of the three words before: the last one, the last two, and the second and third
-last alone (skips).  The word within its class comes from smoothed counts.  Counts are taken
+P(word | history) = P(class | history) * P(branch | class, history) * ... down to a single word or,
+for rare words, a spelling group.  Every factor is a softmax over hashed features of the node and of
+the three words before: the last one, the last two, and the second and third last alone (skips).
+Only the rare word within its spelling group comes from smoothed counts.  Counts are taken
 over all training texts by Spark; the softmax is trained in rounds, each over all positions of
-another part of the training texts, whose tasks send their weight changes to be averaged; texts are scored in
-numpy batches, and counts of rare words meet them in a join.
+another part of the training texts, whose tasks send their weight changes to be averaged; texts are
+scored in numpy batches, and counts of rare words meet them in a join.
 """
 
 from __future__ import annotations
@@ -23,24 +24,29 @@ from corpusprep.llm.words import chunks, mix, words_of
 
 END = np.uint64(0x5E4D0FD0C5E4D0FD)  # stands for the end of a text among word hashes
 FREQUENT = 1 << 18  # words whose counts travel with the model
-OWN = 8192  # of them, words that are items themselves
+OWN = (8192, 16384)  # of them, words that are items themselves: an eighth of all, within these
 GROUPS = 4096  # items of all other words, by first and last letters
 CONTEXT = 64  # most frequent items, for the classes
-CLASSES = 32
-FEATURE_BITS = 14
+CLASSES = 32  # also the branches of a node below
+ALONE = 24  # branches of a large node that are its most frequent items; the others share the rest
+FEATURE_BITS = (14, 16)  # a feature row for 128 training tokens, within these
 ROUNDS = 4
-BATCH = 2048
-RATE = 0.3
-ITEMS = OWN + GROUPS
+BATCH = 1024
+RATE = 0.1
 
 
 @dataclass
 class Vocabulary:
-    """Frequent words (sorted hashes), their counts, and their item or -1."""
+    """Frequent words (sorted hashes), their counts, and their item or -1; ``own`` words are items."""
 
     hashes: np.ndarray
     counts: np.ndarray
     item: np.ndarray
+    own: int
+
+    @property
+    def items(self) -> int:
+        return self.own + GROUPS
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash, or -1."""
@@ -93,21 +99,22 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.min("g").alias("g"), F.sum("c").alias("c"))
 
 
-def frequent_words(counts: DataFrame) -> Vocabulary:
-    """The ``FREQUENT`` most frequent words, ties by hash."""
+def frequent_words(counts: DataFrame, types: int) -> Vocabulary:
+    """The ``FREQUENT`` most frequent words of ``types``, ties by hash."""
     table = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
     h, c = table["h"].to_numpy().view(np.uint64), table["c"].to_numpy()
+    own = min(max(OWN[0], min(OWN[1], types // 8)), len(h))
     rank = np.lexsort((h, -c))
     item = np.full(len(h), -1, np.int64)
-    item[rank[:OWN]] = np.arange(min(OWN, len(h)))
+    item[rank[:own]] = np.arange(own)
     order = np.argsort(h)
-    return Vocabulary(h[order], c[order], item[order])
+    return Vocabulary(h[order], c[order], item[order], own)
 
 
-def items_of(words: Vocabulary, hashes: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    at = words.find(hashes)
+def items_of(words: Vocabulary, at: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Item of each token from its place among the frequent words and its group."""
     own = np.where(at >= 0, words.item[at] if len(words.item) else -1, -1)
-    return np.where(own >= 0, own, OWN + groups)
+    return np.where(own >= 0, own, words.own + groups)
 
 
 def before(values: np.ndarray, rows: np.ndarray, steps: int, none: int) -> np.ndarray:
@@ -122,22 +129,23 @@ def neighbour_counts(texts: DataFrame, words: Vocabulary) -> np.ndarray:
     given = texts.sparkSession.sparkContext.broadcast(words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ITEMS * CONTEXT, np.int64)
+        vocabulary = given.value
+        total = np.zeros(vocabulary.items * CONTEXT, np.int64)
         for batch in batches:
             for part in chunks(batch, "_text"):
                 hashes, groups, rows = tokens_of(part.column("_text"))
-                items = items_of(given.value, hashes, groups)
+                items = items_of(vocabulary, vocabulary.find(hashes), groups)
                 for steps in (1, 2, 3):
-                    past = before(items, rows, steps, ITEMS)
-                    near = past < CONTEXT
+                    past = before(items, rows, steps, vocabulary.items)
+                    near = past < min(CONTEXT, vocabulary.own)
                     total += np.bincount(items[near] * CONTEXT + past[near], minlength=len(total))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "c"])
 
     table = texts.mapInArrow(work, "cell bigint, c bigint").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
-    out = np.zeros(ITEMS * CONTEXT)
+    out = np.zeros(words.items * CONTEXT)
     out[table["cell"].to_numpy()] = table["c"].to_numpy()
-    return out.reshape(ITEMS, CONTEXT)
+    return out.reshape(words.items, CONTEXT)
 
 
 def classes_of(near: np.ndarray) -> np.ndarray:
@@ -155,56 +163,113 @@ def classes_of(near: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def features_of(items: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Four hashed features of the words before each token."""
-    one, two, three = (before(items, rows, s, ITEMS).astype(np.uint64) for s in (1, 2, 3))
+@dataclass
+class Tree:
+    """Paths of the items: entries ``start[i]`` to ``start[i + 1]`` of ``node`` and ``branch`` lead to
+    item ``i``; ``share`` has the log share of each branch of a node by counts alone."""
+
+    start: np.ndarray
+    node: np.ndarray
+    branch: np.ndarray
+    share: np.ndarray
+
+    def steps(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(at, node, branch)`` of every step to the items; ``at`` is the item's place."""
+        first = self.start[items]
+        n = self.start[items + 1] - first
+        at = np.repeat(np.arange(len(items)), n)
+        entry = np.arange(len(at)) + np.repeat(first - np.cumsum(n) + n, n)
+        return at, self.node[entry], self.branch[entry]
+
+
+def tree_of(item_class: np.ndarray, mass: np.ndarray) -> Tree:
+    """The classes below the root, and below each class its items, the frequent ones at once."""
+    paths: list[list[tuple[int, int]]] = [[] for _ in mass]
+    order = np.argsort(-mass, kind="stable")
+    todo = [[order[item_class[order] == c] for c in range(CLASSES)]]
+    shares = []
+    while todo:
+        parts, node = todo.pop(), len(shares)
+        sums = np.array([mass[p].sum() for p in parts] + [0.0] * (CLASSES - len(parts)))
+        shares.append(np.where(sums > 0, np.log(np.maximum(sums, 1e-9) / sums.sum()), -1e4))
+        for branch, part in enumerate(parts):
+            for i in part:
+                paths[i].append((node, branch))
+            if 1 < len(part) <= CLASSES:
+                todo.append([part[k : k + 1] for k in range(len(part))])
+            elif len(part) > CLASSES:
+                todo.append([part[k : k + 1] for k in range(ALONE)] + np.array_split(part[ALONE:], CLASSES - ALONE))
+    flat = np.array([step for path in paths for step in path], np.int64).reshape(-1, 2)
+    start = np.concatenate([[0], np.cumsum([len(path) for path in paths])]).astype(np.int64)
+    return Tree(start, flat[:, 0].copy(), flat[:, 1].copy(), np.array(shares, np.float32))
+
+
+def histories(items: np.ndarray, rows: np.ndarray, none: int) -> np.ndarray:
+    """Four keys of the words before each token."""
+    one, two, three = (before(items, rows, s, none).astype(np.uint64) for s in (1, 2, 3))
     kinds = [one, two * np.uint64(65537) + one, two, three]
-    down = np.uint64(64 - FEATURE_BITS)
-    return np.stack([(mix(k * np.uint64(8) + np.uint64(i)) >> down).astype(np.int64) for i, k in enumerate(kinds)], 1)
+    return np.stack([k * np.uint64(8) + np.uint64(i) for i, k in enumerate(kinds)])
+
 
+def features_of(keys: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """Feature rows of each step: its history's keys hashed with its node."""
+    return (mix(keys + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
-def log_softmax(weights: np.ndarray, found: np.ndarray) -> np.ndarray:
-    logits = weights[found].sum(1)
-    logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
 
+def softmax(share: np.ndarray, weights: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(logits, powers, sums)`` from the branches' log shares, which are overwritten."""
+    logits = share
+    for rows in found:
+        logits += weights.take(rows, 0)
+    top = logits
+    while top.shape[1] > 1:
+        top = np.maximum(top[:, : top.shape[1] // 2], top[:, top.shape[1] // 2 :])
+    logits -= top
+    powers = np.exp(logits)
+    return logits, powers, powers @ np.ones(powers.shape[1], np.float32)
 
-def _gradient(weights: np.ndarray, found: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _gradient(share: np.ndarray, weights: np.ndarray, found: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Touched features and the gradient of the log-likelihood for each."""
-    slope = -np.exp(log_softmax(weights, found))
-    slope[np.arange(len(target)), target] += 1
-    order = np.argsort(found.ravel(), kind="stable")
-    flat = found.ravel()[order]
+    _, slope, sums = softmax(share, weights, found)
+    slope /= -sums[:, None]
+    n = len(target)
+    slope[np.arange(n), target] += 1
+    order = np.sort((found * (1 << 32) + np.arange(n)).ravel())
+    flat = order >> 32
     head = np.flatnonzero(np.diff(flat, prepend=-1))
-    return flat[head], np.add.reduceat(slope[order // found.shape[1]], head, axis=0)
+    return flat[head], np.add.reduceat(slope.take(order & 0xFFFFFFFF, 0), head, axis=0)
 
 
-def train(texts: DataFrame, words: Vocabulary, item_class: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Weights ``(features, classes)`` after ``ROUNDS`` rounds over ``_round, _text``."""
+def train(texts: DataFrame, words: Vocabulary, tree: Tree, bits: int) -> np.ndarray:
+    """Weights ``(features, branches)`` after ``ROUNDS`` rounds over ``_round, _text``."""
     context = texts.sparkSession.sparkContext
-    weights = np.tile(bias / 4, (1 << FEATURE_BITS, 1)).astype(np.float32)
+    weights = np.zeros((1 << bits, CLASSES), np.float32)
     width = 64  # features in one sent block
     for r in range(ROUNDS):
-        given = context.broadcast((words, item_class, weights))
+        given = context.broadcast((words, tree, weights))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, classes, start = given.value  # noqa: B023
+            vocabulary, paths, start = given.value  # noqa: B023
             now, speed = start.copy(), np.full(start.shape, 1.0, np.float32)
             seen = np.zeros(len(start) // width)
             for batch in batches:
                 for part in chunks(batch, "_text"):
                     hashes, groups, rows = tokens_of(part.column("_text"))
-                    items = items_of(vocabulary, hashes, groups)
-                    found, target = features_of(items, rows), classes[items]
+                    items = items_of(vocabulary, vocabulary.find(hashes), groups)
+                    keys = histories(items, rows, vocabulary.items)
                     for s in range(0, len(items), BATCH):
-                        touched, slope = _gradient(now, found[s : s + BATCH], target[s : s + BATCH])
-                        speed[touched] += slope**2
-                        now[touched] += RATE * slope / np.sqrt(speed[touched])
-                    seen += np.bincount(found.ravel() // width, minlength=len(seen))
+                        at, node, branch = paths.steps(items[s : s + BATCH])
+                        found = features_of(keys[:, s + at], node, bits)
+                        touched, slope = _gradient(paths.share.take(node, 0), now, found, branch)
+                        paced = speed.take(touched, 0) + slope**2
+                        speed[touched] = paced
+                        now[touched] += RATE * slope / np.sqrt(paced)
+                        seen += np.bincount(found.ravel() // width, minlength=len(seen))
             blocks = np.flatnonzero(seen)
             change = (now - start).reshape(len(seen), -1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks), pa.array(seen[blocks]), pa.array([change[b].tobytes() for b in blocks], pa.binary())],
+                [pa.array(blocks), pa.array(seen[blocks]), pa.array([change[b].astype(np.float16).tobytes() for b in blocks], pa.binary())],
                 names=["block", "seen", "change"],
             )
 
@@ -213,7 +278,7 @@ def train(texts: DataFrame, words: Vocabulary, item_class: np.ndarray, bias: np.
             sums: dict[int, list] = {}
             for batch in batches:
                 for block, n, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "seen", "change"))):
-                    change = n * np.frombuffer(raw, np.float32)
+                    change = n * np.frombuffer(raw, np.float16).astype(np.float32)
                     old = sums.get(block)
                     sums[block] = [n, change] if old is None else [old[0] + n, old[1] + change]
             yield pa.RecordBatch.from_arrays(
@@ -229,23 +294,25 @@ def train(texts: DataFrame, words: Vocabulary, item_class: np.ndarray, bias: np.
     return weights
 
 
-def class_totals(counts: DataFrame, words: Vocabulary, item_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of every class, from the whole count table."""
-    given = counts.sparkSession.sparkContext.broadcast((words, item_class))
+def item_totals(counts: DataFrame, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of every item, from the whole count table."""
+    given = counts.sparkSession.sparkContext.broadcast(words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, classes = given.value
-        total = np.zeros((2, CLASSES))
+        vocabulary = given.value
+        n = vocabulary.items
+        total = np.zeros((2, n))
         for batch in batches:
             h, g, c = (batch.column(x).to_numpy() for x in ("h", "g", "c"))
-            mine = classes[items_of(vocabulary, h.view(np.uint64), g)]
-            total += [np.bincount(mine, c, CLASSES), np.bincount(mine, minlength=CLASSES)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total[0]), pa.array(total[1])], names=["class", "tokens", "types"])
-
-    rows = counts.mapInArrow(work, "class bigint, tokens double, types double").groupBy("class").agg(F.sum("tokens"), F.sum("types"))
-    out = np.zeros((2, CLASSES))
-    for c, tokens, types in rows.collect():
-        out[:, c] = tokens, types
+            mine = items_of(vocabulary, vocabulary.find(h.view(np.uint64)), g)
+            total += [np.bincount(mine, c, n), np.bincount(mine, minlength=n)]
+        used = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], names=["item", "tokens", "types"])
+
+    rows = counts.mapInArrow(work, "item bigint, tokens double, types double")
+    table = rows.groupBy("item").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).toArrow()
+    out = np.zeros((2, words.items))
+    out[:, table["item"].to_numpy()] = table["tokens"].to_numpy(), table["types"].to_numpy()
     return out[0], out[1]
 
 
@@ -254,7 +321,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     Tokens are words between blanks with A-Z lowered and one end for each text.  ``base_score`` is
     the log10 probability under smoothed counts of single tokens, ``score`` under the model, whose
-    classes each keep one smoothed place for words not seen in training.
+    spelling groups each keep one smoothed place for words not seen in training.
 
     A null text is empty: its end alone.  A row without an id is trained on.  Repeated rows are
     trained on and answered each.  With no training text every token is unknown.
@@ -269,26 +336,30 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     texts = rows.filter("_train").select("_round", "_text")
     counts = stored(token_counts(texts.select("_text")))
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("h")).first()
-    words = frequent_words(counts)
+    words = frequent_words(counts, types)
     item_class = classes_of(neighbour_counts(texts.select("_text"), words))
-    class_tokens, class_types = class_totals(counts, words, item_class)
-    bias = np.log((class_tokens + 1) / (class_tokens.sum() + CLASSES))
-    weights = train(texts, words, item_class, bias)
-    given = spark.sparkContext.broadcast((words, item_class, weights, np.log10(class_tokens + class_types + 1)))
+    tokens, kinds = item_totals(counts, words)
+    mass = tokens + np.where(np.arange(words.items) < words.own, 1, kinds + 1)
+    tree = tree_of(item_class, mass)
+    bits = int(np.clip(np.ceil(np.log2(total / 128 + 1)), *FEATURE_BITS))
+    weights = train(texts, words, tree, bits)
+    given = spark.sparkContext.broadcast((words, tree, weights, np.log10(mass)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, classes, w, inside = given.value
+        vocabulary, paths, w, inside = given.value
         logs = np.log10(vocabulary.counts + 1.0)
         for batch in batches:
             for part in chunks(batch, "_text"):
                 hashes, groups, bounds = tokens_of(part.column("_text"))
-                items = items_of(vocabulary, hashes, groups)
-                found, target = features_of(items, bounds), classes[items]
-                chosen = np.empty(len(items))
-                for s in range(0, len(items), 1 << 15):
-                    e = slice(s, s + (1 << 15))
-                    chosen[e] = np.take_along_axis(log_softmax(w, found[e]), target[e][:, None], 1)[:, 0]
                 at = vocabulary.find(hashes)
+                items = items_of(vocabulary, at, groups)
+                keys = histories(items, bounds, vocabulary.items)
+                chosen = np.empty(len(items))
+                for s in range(0, len(items), BATCH):
+                    step, node, branch = paths.steps(items[s : s + BATCH])
+                    logits, _, over = softmax(paths.share.take(node, 0), w, features_of(keys[:, s + step], node, bits))
+                    reached = logits[np.arange(len(branch)), branch] - np.log(over)
+                    chosen[s : s + BATCH] = np.bincount(step, reached, len(items[s : s + BATCH]))
                 known = at >= 0
                 seen = np.where(known, logs[at] if len(logs) else 0.0, 0.0)
                 sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[bounds])
@@ -301,7 +372,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                         pa.array(np.diff(bounds)),
                         pa.array(sums(known.astype(np.int64))),
                         pa.array(sums(seen)),
-                        pa.array(sums(chosen / np.log(10) - inside[target])),
+                        pa.array(sums(chosen / np.log(10) - inside[items])),
                         pa.ListArray.from_arrays(pa.array(rare_at.astype(np.int32)), pa.array(rare)),
                     ],
                     names=["_id", "_train", "n_tokens", "known", "seen", "model", "rare"],

@@ -236,6 +236,23 @@ def test_language_model_learns_from_every_position(spark):
         assert r.score / r.n_tokens > -0.1 and r.base_score / r.n_tokens < -0.5
 
 
+def test_language_model_tells_words_of_a_class_apart(spark):
+    # Each of 200 equally frequent words follows one other: 32 classes alone leave six words for each.
+    cycle = " ".join(f"w{i}" for i in range(200))
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.expr(f"array_join(array_repeat('{cycle}', 6), ' ')").alias("text"))
+    for r in language_model.scores(rows).filter("held_out").limit(5).collect():
+        assert r.score / r.n_tokens > -0.3 and r.base_score / r.n_tokens < -2
+
+
+def test_language_model_tree_reaches_every_item_by_its_share():
+    rng = np.random.default_rng(3)
+    mass, item_class = rng.integers(1, 1000, 5000).astype(float), np.minimum(rng.integers(0, 60, 5000), 31)
+    tree = language_model.tree_of(item_class, mass)
+    at, node, branch = tree.steps(np.arange(5000))
+    assert np.allclose(np.bincount(at, tree.share[node, branch]), np.log(mass / mass.sum()), atol=1e-4)
+    assert len({tuple(zip(node[at == i], branch[at == i])) for i in range(5000)}) == 5000
+
+
 def test_dual_tree_search_is_exact(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8))
