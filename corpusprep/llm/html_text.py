@@ -39,7 +39,14 @@ FURNITURE = frozenset(
     "recommendations share sharing social widget toolbar login search pagination pager copyright disclaimer skip hidden "
     "toc tags metadata byline alert".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+# Of them, words that win over layout words in the same slug, but for "has-sidebar" and the like.
+PLAIN = frozenset(
+    "comment comments disqus reply replies respond footer sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie "
+    "cookies gdpr newsletter".split()
+)
+BESIDE = frozenset("has with no without layout".split())
 CONTENT = frozenset("content article main post entry story page wrapper container layout body text with has".split())
 
 _TOKEN = re.compile(
@@ -52,33 +59,41 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
 
-def _furniture(attributes: str, inside_article: bool) -> bool:
-    """Whether an element's attributes say that it is no part of an article."""
+KEPT, DOUBTFUL, NAMED, GONE = range(4)  # an element's marks, the strongest of it and those around it
+
+
+def _mark(tag: str, attributes: str, inside_article: bool) -> int:
+    """What an element's attributes say: ``GONE`` for hidden parts and roles, ``NAMED`` for a slug that
+    plainly names furniture, ``DOUBTFUL`` for one that has a word of it."""
+    mark = KEPT
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return GONE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return GONE
         if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id"):
+            return GONE
+        if name == "class" or name == "id" and tag not in HEADINGS:
             for word in value.split():
                 parts = {p.lower() for p in _PARTS.findall(word)}
-                if parts & FURNITURE and not parts & CONTENT:
-                    return True
-                if not inside_article and "header" in parts and not parts & CONTENT:
-                    return True
-    return False
+                if parts & PLAIN and not parts & BESIDE:
+                    # An id is often made from a heading: there a word that is neither leaves doubt.
+                    mark = max(mark, NAMED if name == "class" or parts <= FURNITURE | CONTENT else DOUBTFUL)
+                elif parts & FURNITURE and not parts & CONTENT and not parts & BESIDE:
+                    mark = max(mark, NAMED if name == "class" and parts <= FURNITURE else DOUBTFUL)
+                elif not inside_article and "header" in parts and not parts & CONTENT:
+                    mark = max(mark, NAMED)
+    return mark
 
 
 class Page:
-    """Blocks of a page in order, each with its path, element, text, links and furniture mark."""
+    """Blocks of a page in order, each with its path, element, text and links, and the elements' marks."""
 
     def __init__(self, source: str):
-        self.parent, self.tag = [-1], ["#"]
+        self.parent, self.tag, self.mark = [-1], ["#"], [KEPT]
         self.blocks: list[dict] = []
-        self._stack = [(0, "", False, False)]  # element, path, furniture, inside an article
+        self._stack = [(0, "", 0, False)]  # element, path, innermost marked element, inside an article
         self._open: dict | None = None
         at = 0
         for found in _TOKEN.finditer(source):
@@ -104,8 +119,8 @@ class Page:
         if self._open is None:
             if not text or text.isspace():
                 return
-            self._open = {"text": [], "path": path, "element": self._holder(), "furniture": furniture, "linked": 0}
-        elif furniture != self._open["furniture"]:
+            self._open = {"text": [], "path": path, "element": self._holder(), "marked": furniture, "linked": 0}
+        elif furniture != self._open["marked"]:
             self._flush()
             return self._text(raw)
         self._open["text"].append(text)
@@ -145,9 +160,14 @@ class Page:
         element, path, furniture, article = self._stack[-1]
         article = article or tag in ("article", "main")
         if tag not in ("html", "body", "main", "article"):
-            furniture = furniture or tag in DROPPED or tag == "header" and not article or bool(attributes) and _furniture(attributes, article)
+            mark = GONE if tag in DROPPED or tag == "header" and not article else _mark(tag, attributes, article) if attributes else KEPT
+            if mark:
+                furniture = len(self.tag)
+        else:
+            mark = KEPT
         self.parent.append(element)
         self.tag.append(tag)
+        self.mark.append(mark)
         self._stack.append((len(self.tag) - 1, f"{path}/{tag}", furniture, article))
 
     def _close(self, tag: str, _: str) -> None:
@@ -176,10 +196,47 @@ def path_scores(blocks: list[dict]) -> np.ndarray:
     return np.sqrt(smooth(text) * (1 + smooth(marks)) * text)
 
 
+def unmarked(page: Page) -> list[dict]:
+    """The blocks outside of furniture.
+
+    A slug that names furniture counts unless its element has four fifths of the page's text.  A
+    doubtful one counts unless its element has a twentieth of the text, half of that or more on
+    paths above the mean ratio.
+    """
+    around: dict[int, list[int]] = {0: []}
+
+    def marked(element: int) -> list[int]:
+        """Marked elements from this one outwards."""
+        if element not in around:
+            around[element] = ([element] if page.mark[element] else []) + marked_from[element]
+        return around[element]
+
+    marked_from: list[list[int]] = [[]]
+    for e in range(1, len(page.tag)):
+        marked_from.append(marked(page.parent[e]))
+    blocks = [b for b in page.blocks if all(page.mark[e] != GONE for e in marked(b["marked"]))]
+    if not any(b["marked"] for b in blocks):
+        return blocks
+    own = lambda b: max(0, len(b["text"]) - b["linked"])
+
+    def without(blocks: list[dict], mark: int, released) -> list[dict]:
+        sums: dict[int, np.ndarray] = {}
+        score = path_scores(blocks)
+        for b, high in zip(blocks, score >= score.mean() if len(score) else []):
+            for e in marked(b["marked"]):
+                sums[e] = sums.get(e, np.zeros(2)) + [own(b), own(b) * high]
+        whole = sum(map(own, blocks))
+        gone = {e for e, (text, above) in sums.items() if page.mark[e] == mark and not released(text, above, whole)}
+        return [b for b in blocks if gone.isdisjoint(marked(b["marked"]))]
+
+    blocks = without(blocks, NAMED, lambda text, above, whole: text > 0.8 * whole)
+    return without(blocks, DOUBTFUL, lambda text, above, whole: text >= 0.05 * whole and text > 0 and above >= 0.5 * text) if blocks else []
+
+
 def main_blocks(source: str) -> list[str]:
     """The article's blocks in page order."""
     page = Page(source)
-    blocks = [b for b in page.blocks if not b["furniture"]]
+    blocks = unmarked(page)
     if not blocks:
         return []
     score = path_scores(blocks)

@@ -183,6 +183,18 @@ def test_main_text(spark):
     assert html_text.main_text(frame.limit(0)).count() == 0
 
 
+def test_slug_words_are_no_veto():
+    long = lambda n: f"Sentence {n} of the text, which is long enough, has marks, and goes on for a while. " * 3
+    kept = "".join(
+        f"<{tag} id='{slug}'><h2 id='related-work-{i}'>Title {i}</h2><p>{long(i)}</p></{tag}>"
+        for i, (tag, slug) in enumerate([("section", "intro"), ("section", "search-algorithms"), ("section", "social-impact"), ("div", "ad-spending-2020")])
+    )
+    gone = "".join(f"<div class='{slug}'><p>Gone, {long(9)}</p></div>" for slug in ("post-comments", "entry-footer", "page-sidebar"))
+    got = html_text.main_blocks(f"<body><article>{kept}{gone}</article></body>")
+    assert got == [x for i in range(4) for x in (f"Title {i}", long(i).strip())]
+    assert html_text.main_blocks(f"<body><div class='layout has-sidebar'><p>{long(1)}</p></div></body>") == [long(1).strip()]
+
+
 def test_toxicity_learns_words_and_beginnings(spark, none, labels):
     rng = random.Random(1)
     words = ["".join(rng.choice("aeioubdfgkmnpr") for _ in range(5)) for _ in range(200)]
