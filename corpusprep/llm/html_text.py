@@ -3,7 +3,8 @@
 Text length and punctuation are summed for every root-to-leaf tag path of a page.  Each text
 block carries the ratios of its path (characters and punctuation a node); the ratios are smoothed
 along the page, fused, and paths above the mean threshold are content.  The smallest element with
-most of the content's weight is the article; its blocks stay, but for menus, notices and the like.
+most of the content's weight is the article; all its blocks stay, but for menus, notices and the like
+and runs of short links.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -233,6 +235,24 @@ def unmarked(page: Page) -> list[dict]:
     return without(blocks, DOUBTFUL, lambda text, above, whole: text >= 0.05 * whole and text > 0 and above >= 0.5 * text) if blocks else []
 
 
+def link_runs(blocks: list[dict]) -> list[bool]:
+    """Whether each block is of a run of three or more blocks, over 60 % links each, on one path whose
+    sums are low: under 25 characters a block, links included, and under one mark for two blocks."""
+    sums: dict[str, list[int]] = {}
+    for b in blocks:
+        s = sums.setdefault(b["path"], [0, 0, 0])
+        s[0] += len(b["text"])
+        s[1] += len(_PUNCTUATION.findall(b["text"]))
+        s[2] += 1
+    low = {path for path, (text, marks, n) in sums.items() if text < 25 * n and 2 * marks < n}
+    out: list[bool] = []
+    key = lambda b: b["path"] if b["path"] in low and b["linked"] > 0.6 * len(b["text"]) else None
+    for path, run in groupby(blocks, key):
+        n = len(list(run))
+        out += [path is not None and n >= 3] * n
+    return out
+
+
 def main_blocks(source: str) -> list[str]:
     """The article's blocks in page order."""
     page = Page(source)
@@ -259,12 +279,8 @@ def main_blocks(source: str) -> list[str]:
     inside[article] = True
     for e in range(article + 1, len(page.tag)):
         inside[e] = inside[page.parent[e]]
-    out = []
-    for b, c in zip(blocks, content):
-        named = page.tag[b["element"]] in TEXT_TAGS
-        if inside[b["element"]] and (c or named) and b["linked"] <= 0.6 * len(b["text"]):
-            out.append(b["text"])
-    return out
+    blocks = [b for b in blocks if inside[b["element"]]]
+    return [b["text"] for b, menu in zip(blocks, link_runs(blocks)) if not menu]
 
 
 def main_text(pages: DataFrame, column: str = "html") -> DataFrame:

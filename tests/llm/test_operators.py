@@ -195,6 +195,16 @@ def test_slug_words_are_no_veto():
     assert html_text.main_blocks(f"<body><div class='layout has-sidebar'><p>{long(1)}</p></div></body>") == [long(1).strip()]
 
 
+def test_all_blocks_of_the_article_stay():
+    long = "A sentence of the text, which is long enough, has marks, and goes on for a while. " * 8
+    blocks = ["<div>Short lead</div>", f"<p>{long}</p>", f"<p>{long}</p>", "<p><a href='/x'>One linked paragraph</a></p>", "<section>Bare</section>", f"<p>{long}</p>"]
+    sources = "".join(f"<li><a href='/{i}'>Author {i}: A title of some work. Journal, 20{i}.</a></li>" for i in range(10, 14))
+    menu = "".join(f"<div><a href='/{i}'>Topic {i}</a></div>" for i in range(4))
+    got = html_text.main_blocks(f"<body><article>{''.join(blocks)}<ul>{sources}</ul><center>{menu}</center></article></body>")
+    plain = long.strip()
+    assert got == ["Short lead", plain, plain, "One linked paragraph", "Bare", plain, *(f"Author {i}: A title of some work. Journal, 20{i}." for i in range(10, 14))]
+
+
 def test_toxicity_learns_words_and_beginnings(spark, none, labels):
     rng = random.Random(1)
     words = ["".join(rng.choice("aeioubdfgkmnpr") for _ in range(5)) for _ in range(200)]
