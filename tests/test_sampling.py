@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,17 @@ def test_locate_rows(spark):
         -6: (None, None, "out_of_range"), 5: (None, None, "out_of_range"),
     }
     assert [r.cumulative for r in chunks.cumulative_sizes(sizes).orderBy("chunk_id").collect()] == [3, 3, 5]
+
+
+def test_running_values_over_a_sparse_order(spark):
+    """Every row lies in a block of its own: totals are carried through the wider tables."""
+    n, gap = 70_000, 1 << 32
+    df = spark.range(n).select(
+        F.lit("g").alias("g"), ((F.col("id") - 100) * gap).alias("o"), (F.col("id") % 7).alias("v"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("w")
+    )
+    kinds = {"s": ("sum", F.col("v")), "c": ("count", F.lit(1)), "m": ("max", F.col("v")), "l": ("last", F.col("w")), "x": ("xor", F.col("v"))}
+    got = running(df, ["g"], "o", kinds).orderBy("o").toPandas()
+    v = [i % 7 for i in range(n)]
+    assert got.s.tolist() == list(accumulate(v)) and got.c.tolist() == list(range(1, n + 1))
+    assert got.x.tolist() == list(accumulate(v, lambda a, b: a ^ b)) and got.m.tolist() == list(accumulate(v, max))
+    assert got.l.tolist() == [i - i % 3 for i in range(n)]
