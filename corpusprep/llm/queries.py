@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusprep.llm import (
+    byte_bpe,
+    conversation_trie,
     decontaminate,
     dual_tree,
     html_text,
     language_model,
     line_dedup,
+    max_sketch,
     near_dup,
     packing,
     resample,
@@ -97,6 +100,27 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_max_sketch_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = max_sketch.index(table(spark, sf_dir, "documents"))
+    return max_sketch.search(index, table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+    found = byte_bpe.decode(encoded.select("doc_id", "ids"), ranks)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -110,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_dual_tree_top5,
         op9_decontamination,
         op10_hyperminhash,
+        op11_max_sketch_top10,
+        op12_byte_bpe,
+        op13_conversation_trie,
     )
 }
 
@@ -159,4 +186,40 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id,
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d JOIN least USING (doc_id) LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op11_max_sketch_top10": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+asked AS (SELECT item_id, t, count(*) AS times FROM b GROUP BY ALL),
+totals AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+each AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d),
+counted AS (SELECT doc_id, n, t, count(*) AS tf FROM each WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT t, count(*) AS df FROM counted GROUP BY t), totals),
+scored AS (SELECT item_id, doc_id,
+  CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (t) JOIN counted USING (t), totals GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op13_conversation_trie": """
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'r': r, 't': t} ORDER BY pos) AS p FROM turns GROUP BY conv_id),
+crc AS (SELECT conv_id, p, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+  list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+    lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))) % 9 AS h FROM own),
+built AS (SELECT crc.conv_id, list_concat(coalesce(b.p[1:h], []), crc.p[h + 1:]) AS p
+  FROM crc LEFT JOIN own b ON b.conv_id = crc.conv_id - crc.conv_id % 5),
+steps AS (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS d FROM built),
+nodes AS (SELECT p[1:d] AS k, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(p) = d), '')) AS ends_sha256
+  FROM steps GROUP BY ALL),
+children AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+known AS (SELECT nodes.*, coalesce(n, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * strlen(k[d].t) ELSE 0 END AS saving
+  FROM nodes LEFT JOIN children USING (k)),
+above AS (SELECT k, n_children, saving, unnest(range(0, d + 1)) AS a FROM known),
+sums AS (SELECT k[1:a] AS k, CAST(sum(saving) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY 1)
+SELECT known.conv_id, known.d AS depth, up.conv_id AS parent_conv_id, known.n_convs, known.n_children, n_leaves, saved_tokens, known.ends_sha256
+FROM known JOIN sums USING (k) LEFT JOIN nodes up ON known.d > 0 AND up.d = known.d - 1 AND up.k = known.k[1:known.d - 1]""",
 }
