@@ -17,9 +17,10 @@ from corpusprep.functions.ranks import random_key
 
 # ---------------------------------------------------------------- column forms
 def clean(text: Column) -> Column:
-    """Drop NUL, U+FFFD and every character of the categories Cc, Cf, Co and Cs; tab, LF, CR and Zs become a space."""
-    kept = F.regexp_replace(text, r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}\x{FFFD}&&[^\t\n\r]]", "")
-    return F.regexp_replace(kept, r"[\t\n\r\p{Zs}]", " ")
+    """Drop NUL, U+FFFD and every character of the categories C* (unassigned ones too, by Python's
+    tables, not the JVM's); tab, LF, CR and Zs become a space."""
+    kept = F.regexp_replace(text, f"[{P.searched_class(P.DROPPED)}]", "")
+    return F.regexp_replace(kept, f"[{P.flat_class(P.BLANKS)}]", " ")
 
 
 def cjk_spaced(text: Column) -> Column:

@@ -6,6 +6,8 @@ any (global windows instead of blocks, list folds instead of chunked scans).
 
 from __future__ import annotations
 
+from corpusprep.functions import patterns as P
+
 # Whitespace, word and punctuation classes as in Python's str.
 _SPACE = (
     r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
@@ -65,9 +67,9 @@ ORACLE["bm25_term_stats"] = _chain(
 )
 
 # ---------------------------------------------------------------- text
-_CLEAN = rf"""regexp_replace(regexp_replace({{}}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{{{{FFFD}}}}\x{{{{7F}}}}-\x{{{{9F}}}}\p{{{{Cf}}}}\p{{{{Co}}}}]', '', 'g'), '[\t\n\r\p{{{{Zs}}}}]', ' ', 'g')""".format(
-    "{}"
-).replace("{{", "{").replace("}}", "}")
+# Surrogates are not in any text of the second engine.
+_DROPPED = P.flat_class(r for r in P.DROPPED if not 0xD800 <= r[0] <= 0xDFFF)
+_CLEAN = f"regexp_replace(regexp_replace({{}}, '[{_DROPPED}]', '', 'g'), '[{P.flat_class(P.BLANKS)}]', ' ', 'g')"
 ORACLE["clean_corpus"] = "SELECT doc_id, " + _CLEAN.replace("{}", "text") + " AS text FROM documents"
 ORACLE["strip_accents"] = "SELECT doc_id, strip_accents(text) AS text FROM documents"
 _CJK_SQL = rf"regexp_replace({{}}, '([{_CJK}])', ' \1 ', 'g')"

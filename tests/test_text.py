@@ -18,6 +18,20 @@ def test_clean_corpus(spark):
     assert one(spark, "a\x00b�c\x07d͸e\tf\ng h​i", text.clean_corpus) == "abcde f g hi"
 
 
+def test_clean_corpus_of_every_code_point(spark):
+    def cleaned(texts):
+        out = []
+        for t in texts:
+            kept = [c for c in t if c in "\t\n\r" or not (c in "\0\ufffd" or unicodedata.category(c)[0] == "C")]
+            out.append("".join(" " if c in "\t\n\r" or unicodedata.category(c) == "Zs" else c for c in kept))
+        return out
+
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(points[i : i + 512]) for i in range(0, len(points), 512)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert [r.text for r in text.clean_corpus(rows).orderBy("id").collect()] == cleaned(texts)
+
+
 def test_space_cjk(spark):
     assert one(spark, "a字b\U00020000", text.space_cjk) == "a 字 b \U00020000 "
 
