@@ -35,8 +35,8 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
 # ---------------------------------------------------------------- retrieval
 @query
 def bm25_top10(spark, sf):
-    scores = retrieval.bm25(v.doc_tokens(spark, sf), v.query_tokens(spark, sf))
-    return retrieval.top_documents(_rounded(scores, "score"), 10)
+    index = retrieval.build_index(v.doc_tokens(spark, sf))
+    return retrieval.search(index, v.query_tokens(spark, sf), 10, digits=6)
 
 
 @query

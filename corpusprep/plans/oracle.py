@@ -30,10 +30,10 @@ def _chain(*parts: str) -> str:
 
 
 def _letters(name: str, source: str, key: str) -> str:
-    """Rows of lower-cased letter runs with their position."""
+    """Rows of lower-cased words and punctuation characters with their position."""
     return f"""{name} AS (
   SELECT {key}, unnest(l) AS term, generate_subscripts(l, 1) - 1 AS pos
-  FROM (SELECT {key}, regexp_extract_all(lower(text), '[a-z]+') AS l FROM {source}))"""
+  FROM (SELECT {key}, regexp_extract_all(lower(text), '[{_PUNCT}]|[^{_PUNCT}{_SPACE}]+') AS l FROM {source}))"""
 
 
 # ---------------------------------------------------------------- retrieval

@@ -13,7 +13,7 @@ from corpusprep.functions import patterns as P
 from corpusprep.functions.blocks import running
 from corpusprep.operators.annotate import ANNOTATION
 from corpusprep.operators.logs import split_lines
-from corpusprep.operators.retrieval import letter_tokens
+from corpusprep.operators.retrieval import word_tokens
 
 RUN_MARKER = "start"
 LINES_PER_DOC = 1 << 31  # item ids: document id and line number, an int, in one bigint
@@ -35,12 +35,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", letter_tokens(F.col("text")).alias("tokens"))
+    return documents(spark, sf_dir).select("doc_id", word_tokens(F.col("text")).alias("tokens"))
 
 
 def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), letter_tokens(F.col("text")).alias("tokens")
+        F.col("item_id").alias("query_id"), word_tokens(F.col("text")).alias("tokens")
     )
 
 
@@ -362,7 +362,7 @@ def word_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vocabulary from the benchmark texts: a word's id is its smallest item plus two."""
     return (
         table(spark, sf_dir, "benchmark")
-        .select("item_id", F.explode(letter_tokens(F.col("text"))).alias("token"))
+        .select("item_id", F.explode(word_tokens(F.col("text"))).alias("token"))
         .groupBy("token")
         .agg((F.min("item_id") + 2).alias("id"))
     )
