@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusprep.functions import arrays as A
 from corpusprep.operators.annotate import ANNOTATION
 from corpusprep.operators.logs import split_lines
+from corpusprep.sources.lines import line_totals, numbered_lines, read_csv
 
 # The annotation file's columns and what they are called here.
 ANNOTATION_COLUMNS = {
@@ -57,10 +57,9 @@ def read_annotations(
     """The seven used columns of the annotation CSV; ``cells`` is ``json`` or ``literal``.
 
     The file may have any further columns, in any order.  With ``multi_line`` quoted cells may
-    hold line breaks and a file is read by one task, so keep files moderate; without it large
-    files are split.
+    hold line breaks; large files are split in either case.
     """
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', enforceSchema=False)
+    raw = read_csv(spark, path) if multi_line else spark.read.csv(path, header=True, escape='"', enforceSchema=False)
     picked = raw.select(*[F.col(f"`{src}`").alias(dst) for src, dst in ANNOTATION_COLUMNS.items()])
     cell = F.col("anns") if cells == "json" else _literal_to_json("anns")
     return picked.withColumns({c: F.col(c).cast("bigint") for c in _IDS}).withColumn("anns", _annotations(cell))
@@ -94,7 +93,8 @@ def read_documents(
     """Numbered files ``prefix000.txt`` of a closed range, up to the first missing number.
 
     ``line`` gives ``(num, line_no, line)``, ``document_list`` ``(num, lines)``, ``document_str``
-    ``(num, text)``.  The gap is found on the numbers alone; texts are read once.
+    ``(num, text)``.  The gap is found on the numbers alone.  Lines are read by splits of the files,
+    lists and whole texts are one row for a file.
     """
     number = F.regexp_extract(F.col("path"), rf"{prefix}(\d+)\.txt$", 1).cast("int")
     listing = (
@@ -109,14 +109,16 @@ def read_documents(
     successors = listing.select((F.col("num") + 1).alias("num"))
     candidates = successors.unionByName(spark.range(1).select(F.lit(start).alias("num")))
     first_gap = candidates.join(listing, "num", "left_anti").agg(F.min("num"))
-    docs = (
-        _documents(spark, f"{directory}/{prefix}*.txt")
-        .filter(F.col("path").rlike(rf"{prefix}\d{{3,}}\.txt$"))
-        .select(number.alias("num"), "text")
-        .filter(F.col("num").between(start, end) & (F.col("num") < first_gap.scalar()))
-    )
+
+
+    def wanted(files: DataFrame) -> DataFrame:
+        named = files.filter(F.col("path").rlike(rf"{prefix}\d{{3,}}\.txt$")).withColumn("num", number).drop("path")
+        return named.filter(F.col("num").between(start, end) & (F.col("num") < first_gap.scalar()))
+
+    files = f"{directory}/{prefix}*.txt"
     if mode == "line":
-        return A.unnest_pos(docs, ["num"], split_lines(F.col("text")), "line_no", "line")
+        return wanted(numbered_lines(spark, files)).select("num", "line_no", "line")
+    docs = wanted(_documents(spark, files)).select("num", "text")
     if mode == "document_list":
         return docs.select("num", split_lines(F.col("text")).alias("lines"))
     return docs
@@ -134,12 +136,9 @@ def scan_files(spark: SparkSession, base: str, suffix: str = ".xls") -> DataFram
 
 
 def file_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: number of lines and of 8,192-character blocks."""
-    docs = _documents(spark, path)
-    return docs.select(
-        "path",
-        F.size(split_lines(F.col("text"))).cast("bigint").alias("n_lines"),
-        F.ceil(F.length("text") / 8192).cast("bigint").alias("n_blocks"),
+    """Per file: number of lines and of 8,192-character blocks; files are read by splits."""
+    return line_totals(spark, path).select(
+        "path", "n_lines", F.ceil(F.col("n_chars") / 8192).cast("bigint").alias("n_blocks")
     )
 
 
@@ -149,6 +148,8 @@ def read_log_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, line_no, line)`` with the line number in the file; CR alone also ends a line."""
-    lines = A.unnest_pos(_documents(spark, path), ["path"], split_lines(F.col("text")), "line_no", "line")
-    return lines.withColumn("line_no", F.col("line_no").cast("bigint"))
+    """``(path, line_no, line)`` with the line number in the file; CR alone also ends a line.
+
+    A log is read by as many tasks as it has splits.
+    """
+    return numbered_lines(spark, path)
