@@ -24,6 +24,7 @@ from corpusprep.llm.words import LOWER, SPACES, chunks, mix, text_bytes, word_ha
 
 DIMS = 3
 KEY_BITS = 16  # bits of the Hilbert key for each dimension
+CUT = 1 << 18  # tokens cut into pieces at a time
 LENGTH = 4096
 # Kinds of bytes: 0 blanks, 1 letters and digits, 2 signs, 3 what stays with all it touches but blanks.
 _KIND = np.full(256, 2, np.uint8)
@@ -208,8 +209,15 @@ def pack(
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """About ``CUT`` tokens at a time; a longer document stands alone."""
         for batch in batches:
+            block = np.cumsum(batch.column("n").to_numpy()) // CUT
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1), batch.num_rows]
+            yield from (batch.slice(int(s), int(e - s)) for s, e in zip(edges, edges[1:]) if s < e)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
             rows, starts, sizes, begins, raws = [], [], [], [], []
             columns = (batch.column(c).to_pylist() for c in ("n", "ids", "at"))
             for row, (n, raw, at) in enumerate(zip(*columns)):
