@@ -106,17 +106,24 @@ def keep_bitmaps(
     body = F.coalesce(F.col(text), F.lit(""))
     n_lines = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "keep_runs")]
-    left = docs.select(*others, _fingerprint(F.col(text)).alias("_ld_fp"), n_lines.cast("bigint").alias("_ld_n"))
+    # Other columns travel under plain names, whatever theirs are.
+    plain = {c: f"_c{i}" for i, c in enumerate(others)}
+    left = docs.select(
+        *[docs[f"`{c}`"].alias(n) for c, n in plain.items()],
+        docs[doc_id].alias("_ld_own"),
+        _fingerprint(F.col(text)).alias("_ld_text"),
+        n_lines.cast("bigint").alias("_ld_n"),
+    )
     joined = left.join(
         drops.withColumnsRenamed({"_id": "_ld_id", "_drops": "_ld_drops"}),
-        F.col(doc_id).eqNullSafe(F.col("_ld_id")) & (F.col("_ld_fp") == F.col("_fp")),
+        F.col("_ld_own").eqNullSafe(F.col("_ld_id")) & (F.col("_ld_text") == F.col("_fp")),
         "left",
     )
     before = F.concat(F.array(F.lit(-1)), F.col("_ld_drops"))
     after = F.concat(F.col("_ld_drops"), F.array(F.col("_ld_n").cast("int")))
     runs = F.zip_with(before, after, lambda a, b: F.struct((a + 1).alias("start"), (b - a - 1).alias("length")))
     return joined.select(
-        *others,
+        *[F.col(n).alias(c) for c, n in plain.items()],
         F.col("_ld_n").alias("n_lines"),
         F.coalesce(F.size("_ld_drops"), F.lit(0)).cast("bigint").alias("n_dropped"),
         F.filter(runs, lambda r: r["length"] > 0).alias("keep_runs"),

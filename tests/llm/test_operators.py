@@ -365,3 +365,11 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_kept_digest_is_of_the_text(docs):
     row = line_dedup.keep_bitmaps(docs).filter("doc_id = 3").select("text", F.sha2(line_dedup.kept_text(F.col("text"), F.col("keep_runs")), 256)).first()
     assert row[1] == hashlib.sha256(row[0].encode()).hexdigest()
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = "a shared line that is certainly longer than forty characters"
+    rows = [(i, f"own {i}\n{line}", *["kept"] * 5) for i in range(6)]
+    schema = "doc_id bigint, text string, _fp string, _ld_fp string, _ld_id string, _c0 string, `a.b` string"
+    got = line_dedup.keep_bitmaps(spark.createDataFrame(rows, schema)).orderBy("doc_id").collect()
+    assert [r.n_dropped for r in got] == [1, 1, 1, 1, 1, 0] and {tuple(r)[2:7] for r in got} == {("kept",) * 5}
