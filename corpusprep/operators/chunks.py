@@ -16,43 +16,22 @@ def cumulative_sizes(chunks: DataFrame) -> DataFrame:
 def locate_rows(indices: DataFrame, chunks: DataFrame) -> DataFrame:
     """``idx`` to ``(idx, chunk_id, row_in_chunk, status)``; negatives count from the end.
 
-    The range lookup is an equi join: positions are cut into cells of the average chunk size, a
-    chunk is listed once per cell it touches (about twice the number of chunks in total), and
-    the bounds are checked inside the cell.  Out-of-range indices get status ``out_of_range``.
+    The lookup is a merge: the distinct positions asked for and the first positions of the chunks go
+    into one ordered stream, and the last chunk start is carried along it, block by block.  Work is
+    linear however chunk sizes differ.  Out-of-range indices get status ``out_of_range``.
     """
-    size = chunks.agg(
-        F.struct(
-            F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows"),
-            F.greatest(F.ceil(F.coalesce(F.avg("n_rows"), F.lit(1.0))).cast("bigint"), F.lit(1)).alias("cell"),
-        ).alias("s")
-    )
-    with_size = indices.withColumn("_s", size.scalar())
-    pos = F.when(F.col("idx") < 0, F.col("_s.rows") + F.col("idx")).otherwise(F.col("idx"))
-    wanted = with_size.withColumn("_pos", pos).withColumn("_cell", F.floor(F.col("_pos") / F.col("_s.cell")))
-    spans = (
-        cumulative_sizes(chunks)
-        .filter(F.col("n_rows") > 0)
-        .withColumn("_s2", size.scalar())
-        .select(
-            "chunk_id",
-            (F.col("cumulative") - F.col("n_rows")).alias("_lo"),
-            F.col("cumulative").alias("_hi"),
-            F.explode(
-                F.sequence(
-                    F.floor((F.col("cumulative") - F.col("n_rows")) / F.col("_s2.cell")),
-                    F.floor((F.col("cumulative") - 1) / F.col("_s2.cell")),
-                )
-            ).alias("_cell"),
-        )
-    )
-    inside = (
-        (wanted["_cell"] == spans["_cell"])
-        & (F.col("_pos") >= F.col("_lo"))
-        & (F.col("_pos") < F.col("_hi"))
-    )
-    return wanted.join(spans, inside, "left").select(
+    rows = chunks.agg(F.coalesce(F.sum("n_rows"), F.lit(0)))
+    pos = F.when(F.col("idx") < 0, rows.scalar() + F.col("idx")).otherwise(F.col("idx"))
+    wanted = indices.withColumn("_pos", pos.cast("bigint"))
+    chunk = F.struct((F.col("cumulative") - F.col("n_rows")).alias("lo"), F.col("cumulative").alias("hi"), "chunk_id")
+    starts = cumulative_sizes(chunks).filter(F.col("n_rows") > 0).select(chunk.alias("_chunk"))
+    asked = wanted.select("_pos", F.lit(None).cast(starts.schema["_chunk"].dataType).alias("_chunk"))
+    stream = starts.select(F.col("_chunk.lo").alias("_pos"), "_chunk").unionByName(asked.filter("_pos is not null"))
+    merged = running(stream.groupBy("_pos").agg(F.max("_chunk").alias("_chunk")), [], "_pos", {"_at": ("last", F.col("_chunk"))})
+    inside = F.col("_pos") < F.col("_at.hi")
+    return wanted.join(merged.select("_pos", "_at"), "_pos", "left").select(
         "idx",
-        "chunk_id",
-        (F.col("_pos") - F.col("_lo")).alias("row_in_chunk"),
-        F.when(F.col("chunk_id").isNull(), "out_of_range").otherwise("ok").alias("status"),
+        F.when(inside, F.col("_at.chunk_id")).alias("chunk_id"),
+        F.when(inside, F.col("_pos") - F.col("_at.lo")).alias("row_in_chunk"),
+        F.when(inside, "ok").otherwise("out_of_range").alias("status"),
     )

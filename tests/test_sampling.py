@@ -105,3 +105,18 @@ def test_running_values_over_a_sparse_order(spark):
     assert got.s.tolist() == list(accumulate(v)) and got.c.tolist() == list(range(1, n + 1))
     assert got.x.tolist() == list(accumulate(v, lambda a, b: a ^ b)) and got.m.tolist() == list(accumulate(v, max))
     assert got.l.tolist() == [i - i % 3 for i in range(n)]
+
+
+def test_locate_rows_in_one_giant_and_many_small_chunks(spark):
+    sizes = [(0, 10_000_000)] + [(i, 1 + i % 2) for i in range(1, 20_001)]
+    total = sum(n for _, n in sizes)
+    asked = [0, 9_999_999, 10_000_000, 10_000_001, 10_000_001, 10_000_003, total - 1, -1, -total, total, -total - 1, None]
+    got = chunks.locate_rows(
+        spark.createDataFrame([(i,) for i in asked], "idx bigint"), spark.createDataFrame(sizes, "chunk_id int, n_rows bigint")
+    )
+    found = sorted([(r.idx, r.chunk_id, r.row_in_chunk) for r in got.collect() if r.status == "ok"])
+    assert found == sorted([
+        (0, 0, 0), (9_999_999, 0, 9_999_999), (10_000_000, 1, 0), (10_000_001, 1, 1), (10_000_001, 1, 1), (10_000_003, 3, 0),
+        (total - 1, 20_000, 0), (-1, 20_000, 0), (-total, 0, 0),
+    ])
+    assert got.filter("status = 'out_of_range'").count() == 3
