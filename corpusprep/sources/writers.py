@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,11 +70,46 @@ def write_json_array(df: DataFrame, path: str, order: str) -> None:
     ).text(path)
 
 
+HALVES = 4  # 32-bit parts of a row's hash, summed apart
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """One row ``columns, n_rows, h0 ... h3`` that tells tables apart as multisets of rows.
+
+    Every row gets a 128-bit hash of all its columns, taken as text with nulls marked; its parts are
+    summed, so order and partitions do not matter, but a changed row, or one copy traded for another,
+    changes the sums.  Columns go by name.
+    """
+    names = sorted(df.columns)
+    cells = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]), {"ignoreNullFields": "false"})
+    digest = F.md5(cells.cast("binary"))
+    parts = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)") for i in range(HALVES)]
+    sums = [F.coalesce(F.sum(p), F.lit(0)).cast("string").alias(f"h{i}") for i, p in enumerate(parts)]
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
+    return df.agg(F.lit(kinds).alias("columns"), F.count(F.lit(1)).alias("n_rows"), *sums)
+
+
+def _manifest(uri: str) -> str:
+    return f"{uri.rstrip('/')}.manifest"
+
+
 def publish(df: DataFrame, uri: str) -> None:
-    """A gzip copy at any URI Hadoop can write."""
+    """A gzip copy at any URI Hadoop can write, and beside it, written last, ``<uri>.manifest`` with
+    the fingerprint of the rows that were to be copied.  The manifest of an earlier copy goes first, so
+    an interrupted copy has none."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_manifest(uri))
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     df.write.mode("overwrite").option("compression", "gzip").parquet(uri)
+    fingerprint(df).write.mode("overwrite").json(_manifest(uri))
 
 
 def verify_publish(df: DataFrame, uri: str) -> bool:
-    """True if the published copy holds as many rows as the frame."""
-    return df.sparkSession.read.parquet(uri).count() == df.count()
+    """True if the published copy holds just the rows of the frame, each as often, and its manifest
+    says so too."""
+    spark = df.sparkSession
+    try:
+        copy, stated = spark.read.parquet(uri), spark.read.json(_manifest(uri)).first()
+    except AnalysisException:  # no copy, or one that was not completed
+        return False
+    own = fingerprint(df).first().asDict()
+    return own == fingerprint(copy).first().asDict() and stated is not None and own == {**own, **stated.asDict()}

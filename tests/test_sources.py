@@ -95,5 +95,19 @@ def test_concat_append_publish_json(spark, tmp_path):
     writers.publish(a, str(tmp_path / "pub"))
     assert writers.verify_publish(a, str(tmp_path / "pub"))
     assert not writers.verify_publish(a.unionByName(b), str(tmp_path / "pub"))
+    rows = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (3, None)], "id int, v string")
+    pub = str(tmp_path / "rows")
+    writers.publish(rows, pub)
+    assert writers.verify_publish(rows.repartition(3).select("v", "id"), pub)
+    traded = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (3, None)], "id int, v string")
+    changed = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (3, "null")], "id int, v string")
+    assert not writers.verify_publish(traded, pub) and not writers.verify_publish(changed, pub)
+    for part in sorted((tmp_path / "rows").glob("part-*"))[:1]:
+        part.unlink()
+    assert not writers.verify_publish(rows, pub)
+    writers.publish(rows, pub)
+    for part in (tmp_path / "rows.manifest").glob("part-*"):
+        part.unlink()
+    assert not writers.verify_publish(rows, pub)
     writers.write_json_array(spark.range(3), str(tmp_path / "arr"), "id")
     assert json.loads(spark.read.text(str(tmp_path / "arr")).first().value) == [{"id": 0}, {"id": 1}, {"id": 2}]
