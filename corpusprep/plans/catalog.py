@@ -116,13 +116,13 @@ def truncate_pairs(spark, sf):
 
 @query
 def char_ngrams(spark, sf):
-    return ngrams.char_ngrams(_docs(spark, sf), "doc_id", num=3)
+    return ngrams.char_ngrams(_docs(spark, sf), "doc_id")
 
 
 @query
 def char_ngram_neighbours(spark, sf):
     turns = v.turns(spark, sf).select("turn_no", "text")
-    grams = ngrams.char_ngrams(turns, "turn_no", num=2, neighbours=True)
+    grams = ngrams.char_ngrams(turns, "turn_no", neighbours=True)
     return grams.select(
         "turn_no", "gram", "cnt", F.array_join("left", "").alias("left"), F.array_join("right", "").alias("right")
     )

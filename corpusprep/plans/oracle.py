@@ -119,7 +119,7 @@ def _cut_list(name: str, size: str, keep: str) -> str:
 
 
 ORACLE["truncate_pairs"] = _chain(
-    "c AS (SELECT conv_id, turn, conv_id * 1000 + turn AS pair_id, string_split(text, ' ') AS toks FROM conversations)",
+    "c AS (SELECT conv_id, turn, conv_id * 2147483648 + turn AS pair_id, string_split(text, ' ') AS toks FROM conversations)",
     """p AS (SELECT a.pair_id, a.toks AS tokens_a, b.toks AS tokens_b, len(a.toks) AS la, len(b.toks) AS lb
   FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)""",
     """k AS (SELECT *,
@@ -145,11 +145,11 @@ g AS (SELECT {key}, len, i, x.gram AS gram, lft, x.rgt AS rgt FROM (
 
 
 ORACLE["char_ngrams"] = _chain(
-    _grams("documents", "doc_id", 3),
+    _grams("documents", "doc_id", 5),
     "SELECT doc_id, gram, count(*) AS cnt, count(*) / any_value(len) AS freq FROM g GROUP BY doc_id, gram",
 )
 ORACLE["char_ngram_neighbours"] = _chain(
-    _grams("(SELECT conv_id * 1000 + turn AS turn_no, text FROM conversations)", "turn_no", 2),
+    _grams("(SELECT conv_id * 2147483648 + turn AS turn_no, text FROM conversations)", "turn_no", 5),
     """SELECT turn_no, gram, count(*) AS cnt, string_agg(lft, '' ORDER BY i) AS "left",
   string_agg(rgt, '' ORDER BY i) AS "right" FROM g GROUP BY turn_no, gram""",
 )
@@ -508,7 +508,7 @@ FROM bio JOIN dropped USING (item_id) JOIN flags USING (item_id) JOIN survivors
 )
 
 # ---------------------------------------------------------------- relations
-ORACLE["normalize_samples"] = """SELECT 'train_' || (row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1) AS id,
+ORACLE["normalize_samples"] = """SELECT 'train_' || (row_number() OVER (ORDER BY conv_id * 2147483648 + turn) - 1) AS id,
   replace(text, chr(65533), '') AS text, replace(split_part(text, ' ', 1), chr(65533), '') AS subject,
   role AS predicate, replace(split_part(text, ' ', -1), chr(65533), '') AS object FROM conversations"""
 

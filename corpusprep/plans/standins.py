@@ -16,7 +16,7 @@ from corpusprep.operators.logs import split_lines
 from corpusprep.operators.retrieval import word_tokens
 
 RUN_MARKER = "start"
-LINES_PER_DOC = 1 << 31  # item ids: document id and line number, an int, in one bigint
+LINES_PER_DOC = 1 << 31  # item ids: document id and line number, an int, in one bigint; turns alike
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,7 +123,7 @@ def long_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").withColumn("turn_no", F.col("conv_id") * 1000 + F.col("turn"))
+    return table(spark, sf_dir, "conversations").withColumn("turn_no", F.col("conv_id") * LINES_PER_DOC + F.col("turn"))
 
 
 def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
