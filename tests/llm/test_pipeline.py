@@ -41,7 +41,7 @@ def test_query_matches_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "embeddings"):
+    for table in ("documents", "benchmark", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     df, rel = contract.queries()[name](spark, SF_DIR), con.sql(contract.oracle_sql()[name])
     columns = sorted(df.columns)
