@@ -59,6 +59,27 @@ def clean_corpus(spark, sf):
     return text.clean_corpus(_docs(spark, sf))
 
 
+@query
+def decode_base64(spark, sf):
+    return text.decode_base64_column(_docs(spark, sf).withColumn("text", F.base64(F.encode("text", "UTF-8"))), "text")
+
+
+@query
+def to_text(spark, sf):
+    pages = v.table(spark, sf, "pages").select("page_id", F.encode("html", "UTF-8").alias("html"))
+    return text.to_text(pages, "html")
+
+
+@query
+def parse_attribute_pairs(spark, sf):
+    return an.parse_attribute_pairs(v.part_attributes(spark, sf))
+
+
+@query
+def explode_description(spark, sf):
+    return an.explode_description(v.descriptions(spark, sf))
+
+
 @query
 def strip_accents(spark, sf):
     return text.strip_accents(_docs(spark, sf))

@@ -71,6 +71,17 @@ ORACLE["bm25_term_stats"] = _chain(
 _DROPPED = P.flat_class(r for r in P.DROPPED if not 0xD800 <= r[0] <= 0xDFFF)
 _CLEAN = f"regexp_replace(regexp_replace({{}}, '[{_DROPPED}]', '', 'g'), '[{P.flat_class(P.BLANKS)}]', ' ', 'g')"
 ORACLE["clean_corpus"] = "SELECT doc_id, " + _CLEAN.replace("{}", "text") + " AS text FROM documents"
+ORACLE["decode_base64"] = "SELECT doc_id, coalesce(decode(from_base64(to_base64(encode(text)))), ' ') AS text FROM documents"
+ORACLE["to_text"] = "SELECT page_id, replace(html, chr(65533), '') AS html FROM pages"
+ORACLE["parse_attribute_pairs"] = r"""WITH parts AS (
+  SELECT p_partkey AS item_id, regexp_split_to_array(concat_ws(';', ' Type : ' || p_type,
+    'no pair; Brand:' || p_brand || ' ||| ' || p_size || ',' || p_name, 'a:b:' || p_brand || '；type:' || p_name), '[;；]') AS l FROM part),
+pairs AS (SELECT item_id, string_split(unnest(l), ':') AS kv, generate_subscripts(l, 1) AS n FROM parts),
+named AS (SELECT item_id, n, lower(trim(kv[1])) AS attr, regexp_split_to_array(lower(trim(kv[2])), '\|\|\||,') AS vals FROM pairs WHERE len(kv) = 2),
+kept AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY item_id, attr ORDER BY n DESC) = 1)
+SELECT item_id, attr, cast(generate_subscripts(vals, 1) - 1 AS int) AS pos, trim(unnest(vals)) AS value FROM kept"""
+ORACLE["explode_description"] = """SELECT doc_id AS item_id, cast(generate_subscripts(l, 1) - 1 AS int) AS line_idx, unnest(l) AS line
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"""
 ORACLE["strip_accents"] = "SELECT doc_id, strip_accents(text) AS text FROM documents"
 _CJK_SQL = rf"regexp_replace({{}}, '([{_CJK}])', ' \1 ', 'g')"
 ORACLE["space_cjk"] = "SELECT doc_id, " + _CJK_SQL.replace("{}", "text") + " AS text FROM documents"

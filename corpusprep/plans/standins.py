@@ -52,6 +52,23 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a description, its lines set apart as that column does."""
+    return documents(spark, sf_dir).select(
+        F.col("doc_id").alias("item_id"), F.replace("text", F.lit("\n"), F.lit("\x01")).alias("description")
+    )
+
+
+def part_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as attribute texts, with a repeated key, both separators and a part that is no pair."""
+    pieces = [
+        F.concat(F.lit(" Type : "), "p_type"),
+        F.concat(F.lit("no pair; Brand:"), "p_brand", F.lit(" ||| "), F.col("p_size").cast("string"), F.lit(","), "p_name"),
+        F.concat(F.lit("a:b:"), "p_brand", F.lit("；type:"), "p_name"),
+    ]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.concat_ws(";", *pieces).alias("attrs"))
+
+
 def annotated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with noisy annotations: one per word of four or more characters.
 
