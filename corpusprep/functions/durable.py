@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; without one, a folder in the
-    warehouse, which driver and executors share as well."""
+    warehouse, which driver and executors share as well.  On a cluster a warehouse on the driver's
+    own disk is no such folder: that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    one_machine = spark.sparkContext.master.split("[")[0] == "local"
+    if not one_machine and urlsplit(warehouse).scheme in ("", "file"):
+        raise RuntimeError(f"{warehouse} is a local folder: name a shared one in spark.checkpoint.dir")
+    return f"{warehouse}/_shared"
 
 
 def stored(df: DataFrame) -> DataFrame:
