@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusprep.operators.annotate import bio_text, count_type, tag_names
@@ -46,17 +50,53 @@ def _type_report(df: DataFrame, amount: str) -> DataFrame:
     return count_type(df).unionByName(rows)
 
 
+def _files(spark: SparkSession, path: str):
+    """The Hadoop path and the file system it lies on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def committed(spark: SparkSession, path: str) -> Iterator[str]:
+    """A folder to write several outputs to; it takes the place of ``path`` when all are written.
+
+    Until then, and after a failure, readers find the earlier outputs whole.  The earlier folder is
+    moved aside and the new one renamed into its place, and put back if that fails; a file system
+    without renames (an object store) copies, so readers there should wait for the call's end.
+    """
+    tag = uuid.uuid4().hex
+    target, fs = _files(spark, path)
+    staged, _ = _files(spark, f"{path.rstrip('/')}.new-{tag}")
+    before, _ = _files(spark, f"{path.rstrip('/')}.old-{tag}")
+    try:
+        yield staged.toString()
+    except BaseException:
+        fs.delete(staged, True)
+        raise
+    had = fs.exists(target)
+    if had and not fs.rename(target, before):
+        fs.delete(staged, True)
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(staged, target):
+        if had:
+            fs.rename(before, target)
+        raise OSError(f"cannot rename the new outputs to {path}")
+    fs.delete(before, True)
+
+
 def write_split(train: DataFrame, test: DataFrame, path: str, tagged: bool = True) -> None:
-    """Train and test tables, BIO texts, overlap sums, per-type counts and the tag names."""
-    for name, df in (("train", train), ("test", test)):
-        overwrite(df, f"{path}/{name}")
-        overwrite(_type_report(df, f"{name}_amount"), f"{path}/{name}_attr_count", "json")
+    """Train and test tables, BIO texts, overlap sums, per-type counts and the tag names, all of them
+    or, after a failure, none: the folder at ``path`` is replaced as a whole."""
+    with committed(train.sparkSession, path) as folder:
+        for name, df in (("train", train), ("test", test)):
+            overwrite(df, f"{folder}/{name}")
+            overwrite(_type_report(df, f"{name}_amount"), f"{folder}/{name}_attr_count", "json")
+            if tagged:
+                write_bio(df, f"{folder}/{name}_bio")
         if tagged:
-            write_bio(df, f"{path}/{name}_bio")
-    if tagged:
-        overwrite(overlap_line(train, test), f"{path}/num_overlap", "text")
-    both = train.select("anns").unionByName(test.select("anns"))
-    overwrite(tag_names(both), f"{path}/tag_names", "json")
+            overwrite(overlap_line(train, test), f"{folder}/num_overlap", "text")
+        both = train.select("anns").unionByName(test.select("anns"))
+        overwrite(tag_names(both), f"{folder}/tag_names", "json")
 
 
 def write_json_array(df: DataFrame, path: str, order: str) -> None:
@@ -97,8 +137,8 @@ def publish(df: DataFrame, uri: str) -> None:
     """A gzip copy at any URI Hadoop can write, and beside it, written last, ``<uri>.manifest`` with
     the fingerprint of the rows that were to be copied.  The manifest of an earlier copy goes first, so
     an interrupted copy has none."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_manifest(uri))
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    path, fs = _files(df.sparkSession, _manifest(uri))
+    fs.delete(path, True)
     df.write.mode("overwrite").option("compression", "gzip").parquet(uri)
     fingerprint(df).write.mode("overwrite").json(_manifest(uri))
 

@@ -1,6 +1,7 @@
 import csv
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusprep.operators import annotate as an
@@ -78,6 +79,20 @@ def test_write_split(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/train")).count() == 2
 
 
+def test_write_split_leaves_all_or_none(spark, tmp_path):
+    rows = jobs.build_multi_value_set(_items(spark), test_ratio=0.3)
+    train, test, out = rows.filter(~F.col("is_test")), rows.filter("is_test"), str(tmp_path / "out")
+    writers.write_split(train, test, out)
+    kept = sorted(p.name for p in (tmp_path / "out").iterdir())
+    broken = test.withColumn("title", F.when(F.col("item_id") >= 0, F.raise_error(F.lit("lost"))).otherwise(F.col("title")))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_split(train.limit(0), broken, out)
+    assert spark.read.parquet(f"{out}/train").count() == 2 and sorted(p.name for p in (tmp_path / "out").iterdir()) == kept
+    writers.write_split(train.limit(0), test, out, tagged=False)
+    assert spark.read.parquet(f"{out}/train").count() == 0 and not (tmp_path / "out/train_bio").exists()
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
 def test_single_value_set_keeps_untagged_rows(spark):
     df = _items(spark).withColumn("title", F.when(F.col("item_id") == 0, "").otherwise(F.upper("title")))
     out = jobs.build_single_value_set(df).orderBy("item_id").collect()
