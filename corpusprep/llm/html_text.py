@@ -2,9 +2,10 @@
 
 Text length and punctuation are summed for every root-to-leaf tag path of a page.  Each text
 block carries the ratios of its path (characters and punctuation a node); the ratios are smoothed
-along the page, fused, and paths above the mean threshold are content.  The smallest element with
-most of the content's weight is the article; all its blocks stay, but for menus, notices and the like
-and runs of short links.
+along the page, fused, and paths above the mean threshold are content.  The article is found from the
+root down along the elements with most of the content's weight; what stands beside them stays where it is
+a heading, running text or on content paths, and all blocks of an ``article`` do, but for menus, notices
+and the like and runs of short links.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ INLINE = frozenset(
 )
 DROPPED = frozenset(
     "head nav footer aside form button select option textarea iframe object svg canvas dialog menu audio video map "
-    "noscript template fieldset".split()
+    "noscript template fieldset title".split()
 )
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption summary address".split())
 CLOSES = {
@@ -39,9 +40,10 @@ FURNITURE = frozenset(
     "navigation breadcrumb breadcrumbs masthead footer cookie cookies consent notice notification gdpr popup modal "
     "overlay newsletter subscribe subscription signup comment comments disqus reply replies respond related recommended "
     "recommendations share sharing social widget toolbar login search pagination pager copyright disclaimer skip hidden "
-    "toc tags metadata byline alert".split()
+    "alert".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RUNNING = HEADINGS | frozenset("p blockquote pre figure table ul ol dl".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 # Of them, words that win over layout words in the same slug, but for "has-sidebar" and the like.
 PLAIN = frozenset(
@@ -51,11 +53,13 @@ PLAIN = frozenset(
 BESIDE = frozenset("has with no without layout".split())
 CONTENT = frozenset("content article main post entry story page wrapper container layout body text with has".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title|xmp|noembed)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+# A tag ends at the first ">" outside a quoted value; a quote without a second one is no quote.
+_ATTRIBUTES = r"(?:[\s/]++|=?+[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+|=)*+"
+_COMMENT = r"!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|/(?![a-zA-Z])[^>]*+(?:>|\Z)"
+_TOKEN = re.compile(rf"<(?:(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|{_COMMENT}|(/?[a-zA-Z]))", re.S)
+# For the rest of a page where a tag has no such end.
+_PLAIN_TOKEN = re.compile(rf"<(?:(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|{_COMMENT})", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in "script style textarea title iframe xmp noembed".split()}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
@@ -90,53 +94,79 @@ def _mark(tag: str, attributes: str, inside_article: bool) -> int:
 
 
 class Page:
-    """Blocks of a page in order, each with its path, element, text and links, and the elements' marks."""
+    """Blocks of a page in order, each with its path, element, text and links, and the elements' marks.
+
+    A path is a number, made from its parent's and a tag.  An open element's stack entry holds what texts
+    inside it need, so that the time is linear in the page, however deep its elements lie.
+    """
 
     def __init__(self, source: str):
         self.parent, self.tag, self.mark = [-1], ["#"], [KEPT]
+        self.marked = [0]  # the innermost marked element from each one outwards, 0 for none
         self.blocks: list[dict] = []
-        self._stack = [(0, "", 0, False)]  # element, path, innermost marked element, inside an article
+        self._paths: dict[tuple[int, str], int] = {}
+        # Element, path, stack place of the innermost element that is no inline one, inside an article, inside a link.
+        self._stack = [(0, 0, 0, False, False)]
+        self._places: dict[str, list[int]] = {}  # of each tag's open elements in the stack
         self._open: dict | None = None
-        at = 0
-        for found in _TOKEN.finditer(source):
+        self._n_blocks = 0
+        self._scan(source)
+        self._flush()
+
+    def _scan(self, source: str) -> None:
+        at, token, endless = 0, _TOKEN, set()
+        while found := token.search(source, at):
             if found.start() > at:
                 self._text(source[at : found.start()])
+            if token is _TOKEN and found[4]:
+                at, token = found.start(), _PLAIN_TOKEN
+                continue
             at = found.end()
-            if found[3]:
-                (self._close if found[2] else self._begin)(found[3].lower(), found[4] or "")
+            if not found[2]:
+                continue
+            tag = found[2].lower()
+            if found[1]:
+                self._close(tag)
+                continue
+            if tag in _RAW_END and tag not in endless:
+                end = _RAW_END[tag].search(source, at)
+                if end or tag in ("script", "style"):
+                    at = end.start() if end else len(source)
+                    continue
+                endless.add(tag)
+            self._begin(tag, found[3])
         if at < len(source):
             self._text(source[at:])
-        self._flush()
 
-    def _flush(self) -> None:
+    def _flush(self, whole: bool = True) -> None:
+        """Ends the open block, or only its part before a change of marks."""
         if self._open is not None:
             block, self._open = self._open, None
-            block["text"] = " ".join("".join(block["text"]).split())
+            raw = "".join(block["text"])
+            block["text"] = " ".join(raw.split())
+            block["spaced"] = raw[:1].isspace(), raw[-1:].isspace()
             if block["text"]:
                 self.blocks.append(block)
+        self._n_blocks += whole
 
     def _text(self, raw: str) -> None:
-        element, path, furniture, _ = self._stack[-1]
+        element, path, outer, _, linked = self._stack[-1]
+        marked = self.marked[element]
         text = html.unescape(raw) if "&" in raw else raw
+        if self._open is not None and marked != self._open["marked"]:
+            self._flush(whole=False)
         if self._open is None:
-            if not text or text.isspace():
+            if not text or text.isspace() and not (self.blocks and self.blocks[-1]["block"] == self._n_blocks):
                 return
-            self._open = {"text": [], "path": path, "element": self._holder(), "marked": furniture, "linked": 0}
-        elif furniture != self._open["marked"]:
-            self._flush()
-            return self._text(raw)
+            holder = self._stack[outer][0]
+            self._open = {"text": [], "path": path, "element": holder, "marked": marked, "linked": 0, "block": self._n_blocks}
         self._open["text"].append(text)
-        if "/a" in path and any(self.tag[e] == "a" for e, *_ in self._stack):
+        if linked:
             self._open["linked"] += len(text.strip())
 
-    def _holder(self) -> int:
-        """The innermost element that is no inline one."""
-        for element, *_ in reversed(self._stack):
-            if self.tag[element] not in INLINE:
-                return element
-        return 0
-
     def _pop(self, to: int) -> None:
+        for element, *_ in reversed(self._stack[to:]):
+            self._places[self.tag[element]].pop()
         del self._stack[to:]
 
     def _begin(self, tag: str, attributes: str) -> None:
@@ -147,45 +177,51 @@ class Page:
                 return
         else:
             self._flush()
+            if tag == "body":  # ends the head, whether or not that was closed
+                for head in ("head", "title"):
+                    if self._places.get(head):
+                        self._pop(self._places[head][0])
             # A new block ends an open paragraph; items end their like in the same list or table.
             ends = CLOSES.get(tag, ())
-            for i in range(len(self._stack) - 1, 0, -1):
-                open_tag = self.tag[self._stack[i][0]]
+            at = self._stack[-1][2]
+            while at > 0:
+                open_tag, before = self.tag[self._stack[at][0]], self._stack[at - 1][2]
                 if open_tag == "p" or open_tag in ends:
-                    self._pop(i)
+                    self._pop(at)
                     if open_tag == "p" and not ends:
                         break
-                elif open_tag not in INLINE and not (ends and open_tag in ("td", "th", "dd", "dt")):
+                elif not (ends and open_tag in ("td", "th", "dd", "dt")):
                     break
-        if tag in VOID or attributes.rstrip().endswith("/") and tag in ("img", "hr"):
+                at = before
+        if tag in VOID:
             return
-        element, path, furniture, article = self._stack[-1]
+        element, path, outer, article, linked = self._stack[-1]
         article = article or tag in ("article", "main")
+        mark = KEPT
         if tag not in ("html", "body", "main", "article"):
             mark = GONE if tag in DROPPED or tag == "header" and not article else _mark(tag, attributes, article) if attributes else KEPT
-            if mark:
-                furniture = len(self.tag)
-        else:
-            mark = KEPT
+        new = len(self.tag)
         self.parent.append(element)
         self.tag.append(tag)
         self.mark.append(mark)
-        self._stack.append((len(self.tag) - 1, f"{path}/{tag}", furniture, article))
+        self.marked.append(new if mark else self.marked[element])
+        path = self._paths.setdefault((path, tag), len(self._paths) + 1)
+        place = len(self._stack)
+        self._places.setdefault(tag, []).append(place)
+        self._stack.append((new, path, outer if tag in INLINE else place, article, linked or tag == "a"))
 
-    def _close(self, tag: str, _: str) -> None:
+    def _close(self, tag: str) -> None:
         if tag not in INLINE:
             self._flush()
-        for i in range(len(self._stack) - 1, 0, -1):
-            open_tag = self.tag[self._stack[i][0]]
-            if open_tag == tag:
-                return self._pop(i)
-            if tag in INLINE and open_tag not in INLINE:
-                return
+        places = self._places.get(tag)
+        # An inline element is ended inside its block only.
+        if places and (tag not in INLINE or places[-1] > self._stack[-1][2]):
+            self._pop(places[-1])
 
 
 def path_scores(blocks: list[dict]) -> np.ndarray:
     """The fused, smoothed ratio of each block's path."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for b in blocks:
         s = sums.setdefault(b["path"], [0, 0, 0])
         s[0] += max(0, len(b["text"]) - 2 * b["linked"])
@@ -205,31 +241,31 @@ def unmarked(page: Page) -> list[dict]:
     doubtful one counts unless its element has a twentieth of the text, half of that or more on
     paths above the mean ratio.
     """
-    around: dict[int, list[int]] = {0: []}
-
-    def marked(element: int) -> list[int]:
-        """Marked elements from this one outwards."""
-        if element not in around:
-            around[element] = ([element] if page.mark[element] else []) + marked_from[element]
-        return around[element]
-
-    marked_from: list[list[int]] = [[]]
-    for e in range(1, len(page.tag)):
-        marked_from.append(marked(page.parent[e]))
-    blocks = [b for b in page.blocks if all(page.mark[e] != GONE for e in marked(b["marked"]))]
+    outer = lambda e: page.marked[page.parent[e]]
+    furniture = [e for e in range(1, len(page.tag)) if page.mark[e]]  # outer ones come first
+
+    def outside(blocks: list[dict], gone: set[int]) -> list[dict]:
+        for e in furniture:
+            if outer(e) in gone:
+                gone.add(e)
+        return [b for b in blocks if b["marked"] not in gone]
+
+    blocks = outside(page.blocks, {e for e in furniture if page.mark[e] == GONE})
     if not any(b["marked"] for b in blocks):
         return blocks
     own = lambda b: max(0, len(b["text"]) - b["linked"])
 
     def without(blocks: list[dict], mark: int, released) -> list[dict]:
-        sums: dict[int, np.ndarray] = {}
+        sums = {e: np.zeros(2) for e in furniture}
         score = path_scores(blocks)
         for b, high in zip(blocks, score >= score.mean() if len(score) else []):
-            for e in marked(b["marked"]):
-                sums[e] = sums.get(e, np.zeros(2)) + [own(b), own(b) * high]
+            if b["marked"]:
+                sums[b["marked"]] += [own(b), own(b) * high]
+        for e in reversed(furniture):
+            if outer(e):
+                sums[outer(e)] += sums[e]
         whole = sum(map(own, blocks))
-        gone = {e for e, (text, above) in sums.items() if page.mark[e] == mark and not released(text, above, whole)}
-        return [b for b in blocks if gone.isdisjoint(marked(b["marked"]))]
+        return outside(blocks, {e for e in furniture if page.mark[e] == mark and not released(*sums[e], whole)})
 
     blocks = without(blocks, NAMED, lambda text, above, whole: text > 0.8 * whole)
     return without(blocks, DOUBTFUL, lambda text, above, whole: text >= 0.05 * whole and text > 0 and above >= 0.5 * text) if blocks else []
@@ -238,7 +274,7 @@ def unmarked(page: Page) -> list[dict]:
 def link_runs(blocks: list[dict]) -> list[bool]:
     """Whether each block is of a run of three or more blocks, over 60 % links each, on one path whose
     sums are low: under 25 characters a block, links included, and under one mark for two blocks."""
-    sums: dict[str, list[int]] = {}
+    sums: dict[int, list[int]] = {}
     for b in blocks:
         s = sums.setdefault(b["path"], [0, 0, 0])
         s[0] += len(b["text"])
@@ -253,34 +289,81 @@ def link_runs(blocks: list[dict]) -> list[bool]:
     return out
 
 
-def main_blocks(source: str) -> list[str]:
-    """The article's blocks in page order."""
-    page = Page(source)
-    blocks = unmarked(page)
-    if not blocks:
-        return []
+def article_blocks(page: Page, blocks: list[dict]) -> list[dict]:
+    """The blocks of the article.
+
+    From the root down to the child with four fifths of the content's weight, until there is none or an
+    ``article`` is reached.  What stands beside that child stays if its text is mostly on content paths.
+    Below ``body``, headings, paragraphs and unlinked lists beside it stay too; at ``body`` headings do if
+    the child has none of the first degree.  Outside of an ``article`` or ``main`` on this way, only
+    such a heading stays.
+    """
     score = path_scores(blocks)
     content = score >= score.mean() * 0.5
-    weight = np.zeros(len(page.tag))
+    n = len(page.tag)
+    # Of each element and what is inside: weight, characters, those on content paths, those of links, top headings.
+    sums = np.zeros((n, 5))
     for b, s, c in zip(blocks, score, content):
-        if c:
-            weight[b["element"]] += s
+        size = len(b["text"])
+        sums[b["element"]] += [s * c, size, size * c, b["linked"], page.tag[b["element"]] == "h1"]
     children: dict[int, list[int]] = {}
-    for e in range(len(page.tag) - 1, 0, -1):
-        weight[page.parent[e]] += weight[e]
+    for e in range(n - 1, 0, -1):
+        sums[page.parent[e]] += sums[e]
         children.setdefault(page.parent[e], []).append(e)
-    article, whole = 0, weight[0]
-    while True:
-        heavy = [e for e in children.get(article, ()) if weight[e] >= 0.8 * whole and page.tag[e] not in TEXT_TAGS | INLINE]
+    way = [0]
+    while page.tag[way[-1]] != "article":
+        heavy = [e for e in children.get(way[-1], ()) if sums[e, 0] >= 0.8 * sums[0, 0] and page.tag[e] not in TEXT_TAGS | INLINE]
         if not heavy:
             break
-        article = heavy[0]
-    inside = np.zeros(len(page.tag), bool)
-    inside[article] = True
-    for e in range(article + 1, len(page.tag)):
-        inside[e] = inside[page.parent[e]]
-    blocks = [b for b in blocks if inside[b["element"]]]
-    return [b["text"] for b, menu in zip(blocks, link_runs(blocks)) if not menu]
+        way.append(heavy[0])
+    named = next((i for i, e in enumerate(way) if page.tag[e] in ("article", "main")), 0)
+
+    def beside(step: int, e: int) -> bool:
+        """Whether an element beside the way stays."""
+        inner = way[step + 1]
+        _, size, on_paths, linked, _ = sums[e]
+        if not size:
+            return False
+        if page.tag[e] in HEADINGS and not sums[inner, 4]:
+            return True
+        if step < named:
+            return False
+        if on_paths > 0.5 * size and linked < 0.5 * size:
+            return True
+        return page.tag[way[step]] not in ("#", "html", "body") and page.tag[e] in RUNNING and linked < 0.5 * size
+
+    inside = np.zeros(n, bool)
+    inside[way[-1]] = True
+    own_text = set()  # elements of the way whose own text stays
+    for step, e in enumerate(way[:-1]):
+        for other in children[e]:
+            if other != way[step + 1]:
+                inside[other] = beside(step, other)
+        if step >= named and page.tag[e] not in ("#", "html", "body"):
+            own_text.add(e)
+    on_way = set(way[:-1])
+    for e in range(1, n):
+        if page.parent[e] not in on_way:
+            inside[e] |= inside[page.parent[e]]
+    loose = lambda b, c: b["element"] in own_text or b["element"] in on_way and c and not named
+    return [b for b, c in zip(blocks, content) if inside[b["element"]] or loose(b, c)]
+
+
+def main_blocks(source: str) -> list[str]:
+    """The article's blocks in page order."""
+    page = Page(source)
+    blocks = unmarked(page)
+    if not blocks:
+        return []
+    blocks = article_blocks(page, blocks)
+    blocks = [b for b, menu in zip(blocks, link_runs(blocks)) if not menu]
+    out: list[str] = []
+    for before, b in zip([None, *blocks], blocks):
+        if before is not None and before["block"] == b["block"]:  # a marked part between them went
+            out[-1] += (" " if before["spaced"][1] or b["spaced"][0] else "") + b["text"]
+        else:
+            out.append(b["text"])
+    return out
 
 
 def main_text(pages: DataFrame, column: str = "html") -> DataFrame:
