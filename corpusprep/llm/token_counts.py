@@ -9,6 +9,7 @@ prefix to prefix are kept, so a truncation or budget question is a running sum,
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from corpusprep.llm.words import chunks, text_bytes, word_hashes
 
 SPACE = "▁"
 BASE = 0x9E3779B97F4A7C15  # of the hash of a run of characters, modulo 2^64
+FEW = 64  # fewer chunks of like lengths than this are counted one after the other
+KNOWN_PAIRS = 500_000  # entries of the table that goes with that
 _COUNTERS: dict[str, "PrefixCounter"] = {}
 
 
@@ -50,6 +53,12 @@ class PrefixCounter:
         self.none = len(self.pieces)  # before the first piece
         self.bytes = self.none + 1  # a character that falls back to bytes
         self.pairs, self.agree = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.number = {piece: i for i, piece in enumerate(self.pieces)}
+        self.fits: dict[int, bool] = {}
+        sizes: dict[str, set[int]] = {}
+        for piece in self.pieces:
+            sizes.setdefault(piece[-1], set()).add(len(piece))
+        self.sizes = {c: sorted(x, reverse=True) for c, x in sizes.items()}  # of the pieces with this last character
         self.cache = SpanCache(self._steps_of, np.int8)
 
     @staticmethod
@@ -70,6 +79,11 @@ class PrefixCounter:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts == [x for x in (left, right) if x]
 
+    def _may_follow(self, key: int) -> bool:
+        left, right = divmod(key, self.bytes + 1)
+        name = lambda i: self.pieces[i] if i < self.none else ""
+        return self._apart("" if left == self.bytes else name(left), name(right))
+
     def _agreeing(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether ``piece`` may follow ``before``, from the table of pairs."""
         key = before * (self.bytes + 1) + piece
@@ -78,11 +92,7 @@ class PrefixCounter:
         known[known] = self.pairs[at[known]] == key[known]
         if not known.all():
             new = np.unique(key[~known])
-            name = lambda i: self.pieces[i] if i < self.none else ""
-            found = [
-                left == self.bytes and self._apart("", name(right)) or left != self.bytes and self._apart(name(left), name(right))
-                for left, right in (divmod(k, self.bytes + 1) for k in new.tolist())
-            ]
+            found = [self._may_follow(k) for k in new.tolist()]
             held = slice(0, len(self.pairs) if len(self.pairs) < 2_000_000 else 0)
             pairs = np.concatenate([self.pairs[held], new])
             order = np.argsort(pairs, kind="stable")
@@ -126,6 +136,33 @@ class PrefixCounter:
                     break
         return count, inside
 
+    def counts_along(self, text: str) -> np.ndarray:
+        """As ``counts``, of one text: character by character, for long texts that have few beside them."""
+        number, sizes, fits, base = self.number, self.sizes, self.fits, self.bytes + 1
+        last, count = array("i", [self.none]), array("i", [0])
+        for end, c in enumerate(text, 1):
+            for size in sizes.get(c, ()):
+                if size > end:
+                    continue
+                piece = number.get(text[end - size : end])
+                if piece is None:
+                    continue
+                key = last[end - size] * base + piece
+                fit = fits.get(key)
+                if fit is None:
+                    if len(fits) >= KNOWN_PAIRS:
+                        fits.clear()
+                    fit = fits[key] = self._may_follow(key)
+                if fit:
+                    last.append(piece)
+                    count.append(count[end - size] + 1)
+                    break
+            else:
+                lone = c not in number
+                last.append(self.bytes if lone else self.none)
+                count.append(count[end - 1] + len(c.encode()) if lone else 0)
+        return np.array(count, np.int64)
+
     def _steps_of(self, spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Steps of the counts, for chunks that begin with a space; each fits one signed byte."""
         sizes = np.array([len(x) for x in spans], np.int64)
@@ -136,7 +173,16 @@ class PrefixCounter:
             most = 2 * sizes[order[at]] + 8
             some = order[at : min(at + 16384, int(np.searchsorted(sizes[order], most, side="right")))]
             whole = self.model.encode([spans[i][1:] for i in some], num_threads=1)
-            count, inside = self.counts([spans[i].replace(" ", SPACE) for i in some])
+            marked = [spans[i].replace(" ", SPACE) for i in some]
+            if len(some) < FEW:
+                each = [self.counts_along(x) for x in marked]
+                for row, (i, found) in enumerate(zip(some, each)):
+                    if found[-1] != (len(whole[row]) if sizes[i] > 1 else 1):
+                        each[row] = self._by_library(spans[i])
+                flat += [np.diff(x).astype(np.int8) for x in each]
+                at += len(some)
+                continue
+            count, inside = self.counts(marked)
             expected = np.where(sizes[some] > 1, [len(x) for x in whole], 1)
             for row in np.flatnonzero(count[np.arange(len(some)), sizes[some]] != expected):
                 by_library = self._by_library(spans[some[row]])

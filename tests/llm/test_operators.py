@@ -167,6 +167,31 @@ def test_prefix_counts_equal_the_library_at_every_prefix(docs, none):
     assert token_counts.prefix_counts(none, path).count() == 0
 
 
+def test_texts_without_spaces_equal_the_library_in_linear_time():
+    import base64
+    import time
+
+    counter = token_counts.PrefixCounter(tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x4E00 + 900)) for _ in range(20_000))
+    texts = [cjk, base64.b64encode(rng.randbytes(30_000)).decode(), "ab" * 9_000, "é😀x" * 3_000, "letters" * 4_000, "▁" * 500]
+    counter.counts_along(" warm")
+    for text in texts:
+        at = time.process_time()
+        steps, sizes = counter._steps_of([" " + text])
+        assert time.process_time() - at < 8
+        counts = np.cumsum(steps, dtype=np.int64)[1:]
+        assert sizes.tolist() == [len(text) + 1]
+        for k in [1, 2, 3, 50, 199, len(text) // 2, len(text)]:
+            if k <= len(text):
+                assert counts[k - 1] == len(counter.model.encode(text[:k]))
+    # The two ways agree at every prefix.
+    some = ["▁" + t[:300] for t in texts]
+    table, _ = counter.counts(some)
+    for row, text in zip(table, some):
+        assert (row[: len(text) + 1] == counter.counts_along(text)).all()
+
+
 def test_main_text(spark):
     page = (
         "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><ul><li><a href='/x'>Home</a></ul></nav>"
