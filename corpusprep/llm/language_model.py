@@ -4,9 +4,10 @@ P(word | history) = P(class | history) * P(branch | class, history) * ... down t
 for rare words, a spelling group.  Every factor is a softmax over hashed features of the node and of
 the three words before: the last one, the last two, and the second and third last alone (skips).
 Only the rare word within its spelling group comes from smoothed counts.  Counts are taken
-over all training texts by Spark; the softmax is trained in rounds, each over all positions of
-another part of the training texts, whose tasks send their weight changes to be averaged; texts are
-scored in numpy batches, and counts of rare words meet them in a join.
+over all training texts by Spark.  Texts are then cut into words once more and stored as item numbers,
+two bytes a token; the softmax is trained in rounds, each over all positions of another part of the
+training texts, whose tasks send their weight changes to be averaged; texts are scored in numpy
+batches, and counts of rare words meet them in a join.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ CLASSES = 32  # also the branches of a node below
 ALONE = 24  # branches of a large node that are its most frequent items; the others share the rest
 FEATURE_BITS = (14, 16)  # a feature row for 128 training tokens, within these
 ROUNDS = 4
-BATCH = 1024
-RATE = 0.1
+BATCH = 2048
+RATE = 0.8
+BOUND = 12.0  # greatest size of a weight: four of them leave a softmax far from overflow without its maximum
+TASK_TOKENS = 1 << 23  # tokens of a learning task where there are more of them than cores
 
 
 @dataclass
@@ -124,28 +127,79 @@ def before(values: np.ndarray, rows: np.ndarray, steps: int, none: int) -> np.nd
     return np.where(at >= start, values[np.maximum(at, 0)], none)
 
 
-def neighbour_counts(texts: DataFrame, words: Vocabulary) -> np.ndarray:
-    """How often each item follows each of the ``CONTEXT`` most frequent ones within three words."""
-    given = texts.sparkSession.sparkContext.broadcast(words)
+def encoded(rows: DataFrame, words: Vocabulary) -> DataFrame:
+    """Every text of ``_id, _train, _round, _text`` as ``items``, 16-bit item numbers, with what its
+    frequent words (``known``, ``seen``) and other words (``rare``) give to the base score."""
+    given = rows.sparkSession.sparkContext.broadcast(words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = given.value
-        total = np.zeros(vocabulary.items * CONTEXT, np.int64)
+        logs = np.log10(vocabulary.counts + 1.0)
         for batch in batches:
             for part in chunks(batch, "_text"):
-                hashes, groups, rows = tokens_of(part.column("_text"))
-                items = items_of(vocabulary, vocabulary.find(hashes), groups)
+                hashes, groups, bounds = tokens_of(part.column("_text"))
+                at = vocabulary.find(hashes)
+                known = at >= 0
+                seen = np.where(known, logs[at] if len(logs) else 0.0, 0.0)
+                sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[bounds])
+                items = items_of(vocabulary, at, groups).astype(np.uint16)
+                rare_at = np.concatenate([[0], np.cumsum(~known)])[bounds]
+                offsets = pa.py_buffer((2 * bounds).astype(np.int64).tobytes())
+                packed = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, offsets, pa.py_buffer(items.tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("_id"),
+                        part.column("_train"),
+                        part.column("_round"),
+                        pa.array(np.diff(bounds)),
+                        pa.array(sums(known.astype(np.int64))),
+                        pa.array(sums(seen)),
+                        pa.ListArray.from_arrays(pa.array(rare_at.astype(np.int32)), pa.array(hashes[~known].view(np.int64))),
+                        packed.cast(pa.binary()),
+                    ],
+                    names=["_id", "_train", "_round", "n_tokens", "known", "seen", "rare", "items"],
+                )
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.select("_id", "_train", "_round", "_text").mapInArrow(
+        work,
+        f"_id {kind}, _train boolean, _round bigint, n_tokens bigint, known bigint, seen double, rare array<bigint>, items binary",
+    )
+
+
+def item_chunks(batch: pa.RecordBatch, limit: int = 1 << 17) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """``(slice, items, bounds)`` of an encoded batch, about ``limit`` tokens each; a longer text stands alone."""
+    if not batch.num_rows:
+        return
+    column = batch.column("items").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    items = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].view(np.uint16)
+    bounds = (bounds - bounds[0]) // 2
+    cuts = np.flatnonzero(np.diff(np.cumsum(np.diff(bounds)) // limit)) + 1
+    for s, e in zip([0, *cuts], [*cuts, batch.num_rows]):
+        yield batch.slice(int(s), int(e - s)), items[bounds[s] : bounds[e]].astype(np.int64), bounds[s : e + 1] - bounds[s]
+
+
+def neighbour_counts(texts: DataFrame, words: Vocabulary) -> np.ndarray:
+    """How often each item follows each of the ``CONTEXT`` most frequent ones within three words."""
+    n, last = words.items, min(CONTEXT, words.own)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n * CONTEXT, np.int64)
+        for batch in batches:
+            for _, items, rows in item_chunks(batch):
                 for steps in (1, 2, 3):
-                    past = before(items, rows, steps, vocabulary.items)
-                    near = past < min(CONTEXT, vocabulary.own)
+                    past = before(items, rows, steps, n)
+                    near = past < last
                     total += np.bincount(items[near] * CONTEXT + past[near], minlength=len(total))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "c"])
 
     table = texts.mapInArrow(work, "cell bigint, c bigint").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
-    out = np.zeros(words.items * CONTEXT)
+    out = np.zeros(n * CONTEXT)
     out[table["cell"].to_numpy()] = table["c"].to_numpy()
-    return out.reshape(words.items, CONTEXT)
+    return out.reshape(n, CONTEXT)
 
 
 def classes_of(near: np.ndarray) -> np.ndarray:
@@ -221,16 +275,26 @@ def softmax(share: np.ndarray, weights: np.ndarray, found: np.ndarray) -> tuple[
     logits = share
     for rows in found:
         logits += weights.take(rows, 0)
-    top = logits
-    while top.shape[1] > 1:
-        top = np.maximum(top[:, : top.shape[1] // 2], top[:, top.shape[1] // 2 :])
-    logits -= top
     powers = np.exp(logits)
     return logits, powers, powers @ np.ones(powers.shape[1], np.float32)
 
 
-def _gradient(share: np.ndarray, weights: np.ndarray, found: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Touched features and the gradient of the log-likelihood for each."""
+def folded(rows: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``rows`` that start at ``head``: each run's second half is added to its
+    first until one row is left.  ``rows`` is overwritten."""
+    sizes = np.diff(head, append=len(rows))
+    start, sizes = head[sizes > 1], sizes[sizes > 1]
+    while len(start):
+        half = (sizes + 1) >> 1
+        moved = sizes - half
+        to = np.repeat(start - np.cumsum(moved) + moved, moved) + np.arange(moved.sum())
+        rows[to] += rows.take(to + np.repeat(half, moved), 0)
+        start, sizes = start[half > 1], half[half > 1]
+    return rows.take(head, 0)
+
+
+def gradient(share: np.ndarray, weights: np.ndarray, found: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Touched feature rows, the gradient of the log-likelihood for each, and their occurrences."""
     _, slope, sums = softmax(share, weights, found)
     slope /= -sums[:, None]
     n = len(target)
@@ -238,59 +302,73 @@ def _gradient(share: np.ndarray, weights: np.ndarray, found: np.ndarray, target:
     order = np.sort((found * (1 << 32) + np.arange(n)).ravel())
     flat = order >> 32
     head = np.flatnonzero(np.diff(flat, prepend=-1))
-    return flat[head], np.add.reduceat(slope.take(order & 0xFFFFFFFF, 0), head, axis=0)
-
-
-def train(texts: DataFrame, words: Vocabulary, tree: Tree, bits: int) -> np.ndarray:
-    """Weights ``(features, branches)`` after ``ROUNDS`` rounds over ``_round, _text``."""
+    return flat[head], folded(slope.take(order & 0xFFFFFFFF, 0), head), np.diff(head, append=len(order))
+
+
+def learn(items: np.ndarray, rows: np.ndarray, none: int, paths: Tree, weights: np.ndarray, speed: np.ndarray, seen: np.ndarray, width: int) -> None:
+    """Changes ``weights`` along the gradient of every position; each feature row has one pace, by
+    the squares of its past gradients in ``speed``; ``seen`` counts the uses of blocks of ``width`` rows."""
+    bits = len(weights).bit_length() - 1
+    keys = histories(items, rows, none)
+    for s in range(0, len(items), BATCH):
+        at, node, branch = paths.steps(items[s : s + BATCH])
+        found = features_of(keys[:, s + at], node, bits)
+        touched, slope, uses = gradient(paths.share.take(node, 0), weights, found, branch)
+        paced = speed.take(touched) + np.einsum("ij,ij->i", slope, slope)
+        speed[touched] = paced
+        slope *= (RATE / np.sqrt(paced))[:, None]
+        slope += weights.take(touched, 0)
+        weights[touched] = np.clip(slope, -BOUND, BOUND, out=slope)
+        seen += np.bincount(touched // width, uses, len(seen))
+
+
+def train(texts: DataFrame, words: Vocabulary, tree: Tree, bits: int, tokens: int) -> np.ndarray:
+    """Weights ``(features, branches)`` after ``ROUNDS`` rounds over ``_round, items`` of ``tokens`` in all.
+
+    A round has as many tasks as cores, or one for ``TASK_TOKENS`` where that is more, so that
+    what the tasks send stays small beside what they read.  Weights and paces are averaged after a
+    round, by the uses of their block in each task, and the next one goes on from there.
+    """
     context = texts.sparkSession.sparkContext
-    weights = np.zeros((1 << bits, CLASSES), np.float32)
+    weights, paces = np.zeros((1 << bits, CLASSES), np.float32), np.ones(1 << bits, np.float32)
     width = 64  # features in one sent block
+    none = words.items
+    tasks = max(context.defaultParallelism, tokens // ROUNDS // TASK_TOKENS)
     for r in range(ROUNDS):
-        given = context.broadcast((words, tree, weights))
+        given = context.broadcast((tree, weights, paces))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, paths, start = given.value  # noqa: B023
-            now, speed = start.copy(), np.full(start.shape, 1.0, np.float32)
+            paths, start, speed = given.value  # noqa: B023
+            now, speed = start.copy(), speed.copy()
             seen = np.zeros(len(start) // width)
             for batch in batches:
-                for part in chunks(batch, "_text"):
-                    hashes, groups, rows = tokens_of(part.column("_text"))
-                    items = items_of(vocabulary, vocabulary.find(hashes), groups)
-                    keys = histories(items, rows, vocabulary.items)
-                    for s in range(0, len(items), BATCH):
-                        at, node, branch = paths.steps(items[s : s + BATCH])
-                        found = features_of(keys[:, s + at], node, bits)
-                        touched, slope = _gradient(paths.share.take(node, 0), now, found, branch)
-                        paced = speed.take(touched, 0) + slope**2
-                        speed[touched] = paced
-                        now[touched] += RATE * slope / np.sqrt(paced)
-                        seen += np.bincount(found.ravel() // width, minlength=len(seen))
+                for _, items, rows in item_chunks(batch):
+                    learn(items, rows, none, paths, now, speed, seen, width)
             blocks = np.flatnonzero(seen)
-            change = (now - start).reshape(len(seen), -1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks), pa.array(seen[blocks]), pa.array([change[b].astype(np.float16).tobytes() for b in blocks], pa.binary())],
-                names=["block", "seen", "change"],
-            )
+            change = (now - start).reshape(len(seen), -1)[blocks].astype(np.float16)
+            pace = speed.reshape(len(seen), -1)[blocks]
+            packed = [pa.array([row.tobytes() for row in part], pa.binary()) for part in (change, pace)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(seen[blocks]), *packed], names=["block", "seen", "change", "pace"])
 
         def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Blocks are whole in a partition; each holds one running sum.
             sums: dict[int, list] = {}
             for batch in batches:
-                for block, n, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "seen", "change"))):
-                    change = n * np.frombuffer(raw, np.float16).astype(np.float32)
-                    old = sums.get(block)
-                    sums[block] = [n, change] if old is None else [old[0] + n, old[1] + change]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int64()), pa.array([(c / n).astype(np.float32).tobytes() for n, c in sums.values()], pa.binary())],
-                names=["block", "change"],
-            )
-
-        sent = texts.filter(F.col("_round") == r).select("_text").mapInArrow(work, "block bigint, seen double, change binary")
-        table = sent.repartition("block").mapInArrow(averaged, "block bigint, change binary").toArrow()
-        weights = weights.copy()
-        for block, raw in zip(table["block"].to_pylist(), table["change"].to_pylist()):
-            weights[block * width : (block + 1) * width] += np.frombuffer(raw, np.float32).reshape(width, -1)
+                for block, n, *raw in zip(*(batch.column(c).to_pylist() for c in ("block", "seen", "change", "pace"))):
+                    change, pace = (n * np.frombuffer(x, kind).astype(np.float64) for x, kind in zip(raw, (np.float16, np.float32)))
+                    old = sums.get(block, (0, 0, 0))
+                    sums[block] = [old[0] + n, old[1] + change, old[2] + pace]
+            packed = [pa.array([(x[k] / x[0]).astype(np.float32).tobytes() for x in sums.values()], pa.binary()) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *packed], names=["block", "change", "pace"])
+
+        part = texts.filter(F.col("_round") == r).select("items").coalesce(tasks)
+        sent = part.mapInArrow(work, "block bigint, seen double, change binary, pace binary")
+        table = sent.repartition("block").mapInArrow(averaged, "block bigint, change binary, pace binary").toArrow()
+        weights, paces = weights.copy(), paces.copy()
+        for block, change, pace in zip(*(table[c].to_pylist() for c in ("block", "change", "pace"))):
+            rows = slice(block * width, (block + 1) * width)
+            weights[rows] += np.frombuffer(change, np.float32).reshape(width, -1)
+            paces[rows] = np.frombuffer(pace, np.float32)
     return weights
 
 
@@ -316,6 +394,44 @@ def item_totals(counts: DataFrame, words: Vocabulary) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
+@dataclass
+class Model:
+    """Words, paths and weights; ``inside`` has the log10 mass of every item."""
+
+    words: Vocabulary
+    tree: Tree
+    weights: np.ndarray
+    inside: np.ndarray
+
+    def log10s(self, items: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Log10 of every token's item after the words before it in its text."""
+        bits = len(self.weights).bit_length() - 1
+        keys = histories(items, rows, self.words.items)
+        out = np.empty(len(items))
+        for s in range(0, len(items), BATCH):
+            step, node, branch = self.tree.steps(items[s : s + BATCH])
+            logits, _, over = softmax(self.tree.share.take(node, 0), self.weights, features_of(keys[:, s + step], node, bits))
+            reached = logits[np.arange(len(branch)), branch] - np.log(over)
+            out[s : s + BATCH] = np.bincount(step, reached, len(items[s : s + BATCH]))
+        return out / np.log(10)
+
+
+def fit(rows: DataFrame) -> tuple[Model, DataFrame, DataFrame, int, int]:
+    """``(model, table, counts, tokens, types)`` of ``_id, _train, _round, _text``: the model learned from
+    the training texts, all texts encoded and the training texts' token counts, both stored."""
+    counts = stored(token_counts(rows.filter("_train").select("_text")))
+    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("h")).first()
+    words = frequent_words(counts, types)
+    table = stored(encoded(rows, words).withColumn("_row", F.monotonically_increasing_id()))
+    texts = table.filter("_train").select("_round", "items")
+    item_class = classes_of(neighbour_counts(texts.select("items"), words))
+    tokens, kinds = item_totals(counts, words)
+    mass = tokens + np.where(np.arange(words.items) < words.own, 1, kinds + 1)
+    tree = tree_of(item_class, mass)
+    bits = int(np.clip(np.ceil(np.log2(total / 128 + 1)), *FEATURE_BITS))
+    return Model(words, tree, train(texts, words, tree, bits, total), np.log10(mass)), table, counts, total, types
+
+
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -333,63 +449,26 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.pmod(F.xxhash64(F.lit(3), F.col(doc_id)), F.lit(ROUNDS)).alias("_round"),
         F.col(text).alias("_text"),
     )
-    texts = rows.filter("_train").select("_round", "_text")
-    counts = stored(token_counts(texts.select("_text")))
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("h")).first()
-    words = frequent_words(counts, types)
-    item_class = classes_of(neighbour_counts(texts.select("_text"), words))
-    tokens, kinds = item_totals(counts, words)
-    mass = tokens + np.where(np.arange(words.items) < words.own, 1, kinds + 1)
-    tree = tree_of(item_class, mass)
-    bits = int(np.clip(np.ceil(np.log2(total / 128 + 1)), *FEATURE_BITS))
-    weights = train(texts, words, tree, bits)
-    given = spark.sparkContext.broadcast((words, tree, weights, np.log10(mass)))
+    model, table, counts, total, types = fit(rows)
+    given = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, paths, w, inside = given.value
-        logs = np.log10(vocabulary.counts + 1.0)
+        fitted = given.value
         for batch in batches:
-            for part in chunks(batch, "_text"):
-                hashes, groups, bounds = tokens_of(part.column("_text"))
-                at = vocabulary.find(hashes)
-                items = items_of(vocabulary, at, groups)
-                keys = histories(items, bounds, vocabulary.items)
-                chosen = np.empty(len(items))
-                for s in range(0, len(items), BATCH):
-                    step, node, branch = paths.steps(items[s : s + BATCH])
-                    logits, _, over = softmax(paths.share.take(node, 0), w, features_of(keys[:, s + step], node, bits))
-                    reached = logits[np.arange(len(branch)), branch] - np.log(over)
-                    chosen[s : s + BATCH] = np.bincount(step, reached, len(items[s : s + BATCH]))
-                known = at >= 0
-                seen = np.where(known, logs[at] if len(logs) else 0.0, 0.0)
-                sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[bounds])
-                rare = hashes[~known].view(np.int64)
-                rare_at = np.concatenate([[0], np.cumsum(~known)])[bounds]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("_id"),
-                        part.column("_train"),
-                        pa.array(np.diff(bounds)),
-                        pa.array(sums(known.astype(np.int64))),
-                        pa.array(sums(seen)),
-                        pa.array(sums(chosen / np.log(10) - inside[items])),
-                        pa.ListArray.from_arrays(pa.array(rare_at.astype(np.int32)), pa.array(rare)),
-                    ],
-                    names=["_id", "_train", "n_tokens", "known", "seen", "model", "rare"],
-                )
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    scored = rows.select("_id", "_train", "_text").mapInArrow(
-        work,
-        f"_id {kind}, _train boolean, n_tokens bigint, known bigint, seen double, model double, rare array<bigint>",
-    )
-    scored = stored(scored.withColumn("_row", F.monotonically_increasing_id()))
-    rare = scored.select("_row", F.explode("rare").alias("h")).groupBy("_row", "h").agg(F.count(F.lit(1)).alias("n"))
+            for part, items, bounds in item_chunks(batch):
+                chosen = fitted.log10s(items, bounds) - fitted.inside[items]
+                model = np.diff(np.concatenate([[0], np.cumsum(chosen)])[bounds])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(model)], names=[*kept, "model"])
+
+    kept = ["_row", "_id", "_train", "n_tokens", "known", "seen"]
+    fields = ", ".join(f"{c} {table.schema[c].dataType.simpleString()}" for c in kept)
+    scored = table.select(*kept, "items").mapInArrow(work, f"{fields}, model double")
+    rare = table.select("_row", F.explode("rare").alias("h")).groupBy("_row", "h").agg(F.count(F.lit(1)).alias("n"))
     rare = rare.join(counts.select("h", "c"), "h").groupBy("_row").agg(
         F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_seen")
     )
     seen = F.col("seen") + F.coalesce("rare_seen", F.lit(0.0))
-    return scored.drop("rare").join(rare, "_row", "left").select(
+    return scored.join(rare, "_row", "left").select(
         "_id",
         (~F.col("_train")).alias("held_out"),
         "n_tokens",

@@ -291,6 +291,59 @@ def test_language_model_tells_words_of_a_class_apart(spark):
         assert r.score / r.n_tokens > -0.3 and r.base_score / r.n_tokens < -2
 
 
+def test_language_model_gradient_sums_every_occurrence():
+    rng = np.random.default_rng(8)
+    n, size = 700, 64
+    found = np.minimum(rng.zipf(1.3, (4, n)) - 1, size - 1)
+    weights = rng.normal(size=(size, 32)).astype(np.float32)
+    share = np.log(rng.dirichlet(np.ones(32), n)).astype(np.float32)
+    target = rng.integers(0, 32, n)
+    expected, uses = np.zeros((size, 32)), np.zeros(size)
+    for i in range(n):
+        logits = [share[i, b] + sum(float(weights[found[k, i], b]) for k in range(4)) for b in range(32)]
+        over = sum(np.exp(x) for x in logits)
+        for k in range(4):
+            uses[found[k, i]] += 1
+            for b in range(32):
+                expected[found[k, i], b] += (b == target[i]) - np.exp(logits[b]) / over
+    touched, slope, times = language_model.gradient(share.copy(), weights, found, target)
+    assert touched.tolist() == np.flatnonzero(uses).tolist() and times.tolist() == uses[touched].astype(int).tolist()
+    assert np.allclose(slope, expected[touched], atol=1e-3)
+
+
+def test_language_model_scores_are_those_of_a_plain_softmax(spark):
+    # Scores of small texts by loops over tokens, nodes and branches, from the fitted weights.
+    texts = ["the cat sat", "", None, "a dog sat on the mat", "The CAT ran", "zebra unseen words"] * 30
+    rows = spark.createDataFrame([(i, not i % 7 == 2, i % 4, t) for i, t in enumerate(texts)], "_id bigint, _train boolean, _round bigint, _text string")
+    model, table, counts, total, types = language_model.fit(rows)
+    tree, words, bits = model.tree, model.words, len(model.weights).bit_length() - 1
+    assert np.abs(model.weights).max() > 0.05
+    got = {r._id: r for r in table.collect()}
+    for i in range(12):
+        items = np.frombuffer(got[i].items, np.uint16).astype(int)
+        assert len(items) == got[i].n_tokens == len((texts[i] or "").split()) + 1
+        expected = []
+        for k, item in enumerate(items):
+            past = [int(items[k - s]) if k >= s else words.items for s in (1, 2, 3)]
+            kinds = [past[0], past[1] * 65537 + past[0], past[1], past[2]]
+            log = 0.0
+            for step in range(tree.start[item], tree.start[item + 1]):
+                node = int(tree.node[step])
+                keys = [np.array([(v * 8 + j + node * 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64) for j, v in enumerate(kinds)]
+                feature = [int(language_model.mix(key)[0] >> np.uint64(64 - bits)) for key in keys]
+                logits = [float(tree.share[node, b]) + sum(float(model.weights[f, b]) for f in feature) for b in range(32)]
+                log += logits[tree.branch[step]] - np.log(sum(np.exp(x) for x in logits))
+            expected.append(log / np.log(10))
+        assert np.allclose(model.log10s(items, np.array([0, len(items)])), expected, atol=1e-4)
+    # After any history the items' probabilities sum to one.
+    every = np.arange(words.items)
+    at, node, branch = tree.steps(every)
+    keys = np.repeat(language_model.histories(np.array([3, 1, 2, 0]), np.array([0, 4]), words.items)[:, 3:], len(at), 1)
+    logits, _, over = language_model.softmax(tree.share.take(node, 0), model.weights, language_model.features_of(keys, node, bits))
+    reached = np.bincount(at, logits[np.arange(len(at)), branch] - np.log(over), words.items)
+    assert abs(np.exp(reached).sum() - 1) < 1e-3
+
+
 def test_language_model_tree_reaches_every_item_by_its_share():
     rng = np.random.default_rng(3)
     mass, item_class = rng.integers(1, 1000, 5000).astype(float), np.minimum(rng.integers(0, 60, 5000), 31)
