@@ -29,10 +29,11 @@ OWN = (8192, 16384)  # of them, words that are items themselves: an eighth of al
 GROUPS = 4096  # items of all other words, by first and last letters
 CONTEXT = 64  # most frequent items, for the classes
 CLASSES = 32  # also the branches of a node below
-ALONE = 24  # branches of a large node that are its most frequent items; the others share the rest
+ALONE = 12  # branches of a large node that are its most frequent items; the others share the rest
 FEATURE_BITS = (14, 16)  # a feature row for 128 training tokens, within these
 ROUNDS = 4
-BATCH = 2048
+BATCH = 1024  # tokens of a gradient step
+SCORED = 2048  # tokens scored at a time
 RATE = 0.8
 BOUND = 12.0  # greatest size of a weight: four of them leave a softmax far from overflow without its maximum
 TASK_TOKENS = 1 << 23  # tokens of a learning task where there are more of them than cores
@@ -47,6 +48,13 @@ class Vocabulary:
     item: np.ndarray
     own: int
 
+    def __post_init__(self) -> None:
+        # The most frequent word of each value of the first bits is found at once; -1: there is none.
+        self.shift = np.uint64(64 - max(4, (4 * len(self.hashes)).bit_length()))
+        self.first = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        order = np.argsort(self.counts, kind="stable")
+        self.first[self.hashes[order] >> self.shift] = order
+
     @property
     def items(self) -> int:
         return self.own + GROUPS
@@ -55,8 +63,11 @@ class Vocabulary:
         """Place of each hash, or -1."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        at = self.first[hashes >> self.shift].astype(np.int64)
+        left = np.flatnonzero((at >= 0) & (self.hashes[at] != hashes))
+        rest = np.minimum(np.searchsorted(self.hashes, hashes[left]), len(self.hashes) - 1)
+        at[left] = np.where(self.hashes[rest] == hashes[left], rest, -1)
+        return at
 
 
 def is_training(doc_id: Column) -> Column:
@@ -87,16 +98,22 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
+        size = 0
         out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2])], names=["h", "g", "c"])
         for batch in batches:
             for part in chunks(batch, "_text"):
                 hashes, groups, _ = tokens_of(part.column("_text"))
                 if len(hashes):
-                    held = [summed([*held, (hashes, groups, np.ones(len(hashes), np.int64))])]
-                if held and len(held[0][0]) > 1_000_000:
-                    yield out(held.pop())
+                    held.append(summed([(hashes, groups, np.ones(len(hashes), np.int64))]))
+                    size += len(held[-1][0])
+                if size > 2_000_000:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > 1_000_000:
+                        yield out(held.pop())
+                        size = 0
         if held:
-            yield out(held.pop())
+            yield out(summed(held))
 
     rows = texts.mapInArrow(work, "h bigint, g bigint, c bigint")
     return rows.groupBy("h").agg(F.min("g").alias("g"), F.sum("c").alias("c"))
@@ -188,11 +205,10 @@ def neighbour_counts(texts: DataFrame, words: Vocabulary) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n * CONTEXT, np.int64)
         for batch in batches:
-            for _, items, rows in item_chunks(batch):
-                for steps in (1, 2, 3):
-                    past = before(items, rows, steps, n)
-                    near = past < last
-                    total += np.bincount(items[near] * CONTEXT + past[near], minlength=len(total))
+            for _, items, rows in item_chunks(batch, 1 << 20):
+                past = np.stack([before(items, rows, steps, n) for steps in (1, 2, 3)])
+                near = past < last
+                total += np.bincount((items * CONTEXT + past)[near], minlength=len(total))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "c"])
 
@@ -408,11 +424,11 @@ class Model:
         bits = len(self.weights).bit_length() - 1
         keys = histories(items, rows, self.words.items)
         out = np.empty(len(items))
-        for s in range(0, len(items), BATCH):
-            step, node, branch = self.tree.steps(items[s : s + BATCH])
+        for s in range(0, len(items), SCORED):
+            step, node, branch = self.tree.steps(items[s : s + SCORED])
             logits, _, over = softmax(self.tree.share.take(node, 0), self.weights, features_of(keys[:, s + step], node, bits))
             reached = logits[np.arange(len(branch)), branch] - np.log(over)
-            out[s : s + BATCH] = np.bincount(step, reached, len(items[s : s + BATCH]))
+            out[s : s + SCORED] = np.bincount(step, reached, len(items[s : s + SCORED]))
         return out / np.log(10)
 
 
