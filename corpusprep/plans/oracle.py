@@ -594,7 +594,7 @@ _WIN_RELS = (
     *_windows(100, 50),
     """rel AS (SELECT a.doc_id, a.tok_ind AS st, b.tok_ind AS ot, a.token AS subject, b.token AS object, a.cs AS sc,
     b.cs + length(b.token) AS oc
-  FROM toks a JOIN toks b ON b.doc_id = a.doc_id AND b.tok_ind = a.tok_ind + 3 WHERE length(a.token) >= 8)""",
+  FROM toks a JOIN toks b ON b.doc_id = a.doc_id AND b.tok_ind = a.tok_ind + 3)""",
     """inside AS (SELECT win.doc_id, win, subject, object, st - start AS st, ot + 1 - start AS ot, sc - c0 AS sc, oc - c0 AS oc
   FROM win JOIN rel ON rel.doc_id = win.doc_id AND st >= start AND ot + 1 <= start + 100)""",
 )

@@ -110,8 +110,7 @@ def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents as samples; every word of eight or more characters is related to the third
-    word after it."""
+    """Whole documents as samples; every word is related to the third word after it."""
 
     def relations(toks: Column) -> Column:
         span = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
@@ -128,9 +127,7 @@ def long_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                 span(i + 3, i + 4).alias("obj_tok_span"),
             )
 
-        return F.filter(
-            F.transform(toks, one), lambda r: (F.length(r["subject"]) >= 8) & r["object"].isNotNull()
-        )
+        return F.filter(F.transform(toks, one), lambda r: r["object"].isNotNull())
 
     return documents(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("id"),
