@@ -296,7 +296,7 @@ _ANNS = (
     CASE WHEN tok_ind % 13 = 0 THEN 'description' ELSE 'title' END AS src,
     cs + CASE WHEN tok_ind % 7 = 0 THEN 1 ELSE 0 END AS s,
     cs + length(token) + CASE WHEN tok_ind % 11 = 0 AND nw IS NOT NULL THEN 1 + length(nw) ELSE 0 END AS e
-  FROM nxt WHERE length(token) >= 4)""",
+  FROM nxt)""",
 )
 
 

@@ -70,7 +70,7 @@ def part_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with noisy annotations: one per word of four or more characters.
+    """Lines with noisy annotations: one per word.
 
     Some start one character late, some run over the next word, some belong to a description.
     """
@@ -91,7 +91,7 @@ def annotated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit(0).alias("line_idx"),
             ).cast(ANNOTATION)
 
-        return F.filter(F.transform(toks, one), lambda a: F.length(a["attribute_value"]) >= 4)
+        return F.transform(toks, one)
 
     return doc_lines(spark, sf_dir).withColumn("anns", A.let(A.space_tokens(F.col("title")), annotate))
 
