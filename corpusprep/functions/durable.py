@@ -22,17 +22,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{warehouse}/_shared"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
     This runs a job.  What follows starts from the files: nothing is computed again when several
     branches read the frame or an executor is lost, and each branch reads only its columns.
     The files of a session stand in one folder of its own, which goes when the session's JVM ends.
+    A writer and a reader hold a file's row group, which ends at ``group_bytes`` (or a hundred rows
+    more): name it where rows are large.
     """
     spark = df.sparkSession
     own = f"{shared_folder(spark)}/stored-{spark.sparkContext.applicationId}"
     path = f"{own}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    sized = {"parquet.block.size": group_bytes} if group_bytes else {}
+    df.write.options(compression="zstd", **sized).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(own)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,7 +17,8 @@ from corpusprep.functions import arrays as A
 from corpusprep.functions.durable import stored
 from corpusprep.operators.text import words_and_punctuation
 
-POSTINGS = 1 << 14  # of a block, unless one document has more
+POSTINGS, DOCUMENTS = 1 << 14, 1 << 10  # of a block, unless one document has more postings
+READ = 1 << 23  # bytes of an index file's row group, or a hundred blocks: what a writer or reader holds
 QUERIES, QUERY_TERMS = 512, 8192  # evaluated at a time; a longer query stands alone
 INDEX = (
     "n_docs bigint, n_texts bigint, n_tokens bigint, doc_ids array<{id}>, lengths array<int>, terms array<string>,"
@@ -105,14 +106,15 @@ def build_index(docs: DataFrame) -> DataFrame:
             begin = np.concatenate([[0], np.cumsum(sizes)])
             terms, tfs = batch.column("terms").flatten(), batch.column("tfs").flatten().to_numpy()
             n = batch.column("n").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(begin[1:] // POSTINGS)) + 1), batch.num_rows]
+            full = np.diff(begin[1:] // POSTINGS, prepend=0) + (np.arange(batch.num_rows) % DOCUMENTS == 0)
+            cuts = [0, *np.flatnonzero(full), batch.num_rows]
             for s, e in zip(cuts, cuts[1:]):
                 if s < e:
                     span = slice(begin[s], begin[e])
                     made = _block(batch.column("id")[s:e], n[s:e], sizes[s:e], terms[begin[s] : begin[e]], tfs[span])
                     yield pa.RecordBatch.from_arrays(made, names=names)
 
-    return stored(counted.mapInArrow(work, schema))
+    return stored(counted.mapInArrow(work, schema), READ)
 
 
 def _asked_blocks(queries: DataFrame) -> Iterator[tuple[list, list[dict[str, int]]]]:

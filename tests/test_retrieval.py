@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,16 @@ def test_at_most_k_rows_of_a_query_leave_a_task(spark):
     rows = retrieval._searched(retrieval.build_index(d), q, 5, Params(), None)
     most = rows.groupBy(F.spark_partition_id(), "_q").count().agg(F.max("count")).first()[0]
     assert most == 5
+
+
+def test_index_blocks_and_row_groups_are_bounded(spark, monkeypatch):
+    """Short texts share a block only up to a number of them, and readers hold a row group of few blocks."""
+    monkeypatch.setattr(retrieval, "READ", 1 << 10)
+    monkeypatch.setattr(retrieval, "DOCUMENTS", 5)
+    rows = [(i, ["w", f"t{i}"]) for i in range(1003)]
+    index = retrieval.build_index(spark.createDataFrame(rows, "doc_id bigint, tokens array<string>").coalesce(1))
+    assert index.agg(F.max("n_docs"), F.sum("n_docs")).first() == (5, 1003)
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in index.inputFiles()]
+    assert max(f.metadata.row_group(g).num_rows for f in files for g in range(f.num_row_groups)) <= 100
+    best = retrieval.search(index, spark.createDataFrame([(1, ["t7"])], "query_id int, tokens array<string>"), 3).collect()
+    assert [r.doc_id for r in best] == [7]
