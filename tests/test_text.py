@@ -146,3 +146,18 @@ def test_bm25_equals_formula(spark):
     pairs = spark.createDataFrame([(9, 3), (9, 4)], "query_id int, doc_id int")
     assert {r.doc_id: round(r.score, 6) for r in retrieval.score_pairs(pairs, scores).collect()} == {3: 0.0, 4: round(score(["b"]), 6)}
     assert retrieval.top_documents(scores, 2).select(F.max("rank")).first()[0] == 2
+
+
+def test_char_ngrams_are_counted_outside_of_row_expressions(spark, monkeypatch):
+    """Nulls, repeated and missing ids, astral characters and alphabets past 63 bits; no expression of every gram's text."""
+    wide = "".join(chr(0x4E00 + i * 7919 % 9000) for i in range(900)) * 2
+    rows = [(1, None), (2, ""), (3, "abcdefgh"), (4, "abababababab😀😀x"), (4, "abababababab😀😀x"), (None, "é\n" * 9), (5, wide)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    monkeypatch.setattr(ngrams, "CHARACTERS", 40)
+    want = Counter()
+    for i, t in rows:
+        one = Counter(t[p : p + j] for j in range(1, 8) for p in range(max(len(t) - 9 - j, 0))) if t else {}
+        want.update((i, g, n, round(n / len(t), 9)) for g, n in one.items())
+    found = ngrams.char_ngrams(df, "id", num=7)
+    assert Counter((r.id, r.gram, r.cnt, round(r.freq, 9)) for r in found.collect()) == want
+    assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
