@@ -161,3 +161,12 @@ def test_char_ngrams_are_counted_outside_of_row_expressions(spark, monkeypatch):
     found = ngrams.char_ngrams(df, "id", num=7)
     assert Counter((r.id, r.gram, r.cnt, round(r.freq, 9)) for r in found.collect()) == want
     assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
+
+
+def test_decode_base64_removes_other_characters_in_one_pass(spark):
+    raw = "Zürich\n" * 999
+    broken = base64.encodebytes(raw.encode()).decode().replace("\n", "\r\n")
+    df = spark.createDataFrame([(broken,), ("#" + broken,), ("YWJj====",), ("a=b=",), (None,)], "t string")
+    found = text.decode_base64_column(df, "t")
+    assert [r.t for r in found.collect()] == [raw, raw, " ", " ", " "]
+    assert "regexp_replace" not in found._jdf.queryExecution().toString()
