@@ -337,6 +337,19 @@ def attach_token_spans(df: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- windows
+_NUMBERED = "array<struct<s:int,i:int,odd:boolean>>"
+
+
+def _first_at(starts: Column, bound: Column) -> Column:
+    """How many of the ascending ``starts`` are smaller than ``bound``, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(29, -1, -1)])
+
+    def step(pos: Column, half: Column) -> Column:
+        return F.when(F.get(starts, pos + half - 1) < bound, pos + half).otherwise(pos)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def sliding_windows(
     df: DataFrame,
     max_len: int,
@@ -362,6 +375,12 @@ def sliding_windows(
     if data_type == "test":
         labels = []
     names = {c: _fields(df, c) for c in labels}
+    rebased = {
+        "entity_list": ("tok_span", "char_span"),
+        "relation_list": ("subj_tok_span", "obj_tok_span", "subj_char_span", "obj_char_span"),
+    }
+    token_sides = {c: [x for x in spans if x.endswith("tok_span")] for c, spans in rebased.items()}
+    looked_up = [c for c in labels if c in rebased]
 
     def word_starts(toks: Column) -> Column:
         """For every token the nearest token at or before it that begins a word."""
@@ -382,16 +401,30 @@ def sliding_windows(
             lambda m: F.filter(m, lambda s, k: (k == 0) | (F.get(m, k - 1) + max_len <= F.size(toks))),
         )
 
-    def window(toks: Column, start: Column, win: Column) -> Column:
+    def placements(col: str) -> Column:
+        """Numbers ``at`` of the labels by their first span's start, and of those that end before it."""
+        span = lambda x: x[token_sides[col][0]]
+        numbered = F.transform(
+            col, lambda x, i: F.struct(span(x)["s"].alias("s"), i.alias("i"), (span(x)["s"] > span(x)["e"]).alias("odd"))
+        )
+
+        def split(rows: Column) -> Column:
+            return A.let(
+                F.sort_array(F.filter(rows, lambda r: ~r["odd"])),
+                lambda plain: F.struct(
+                    F.transform(plain, lambda r: r["s"]).alias("starts"),
+                    F.transform(plain, lambda r: r["i"]).alias("at"),
+                    F.transform(F.filter(rows, lambda r: r["odd"]), lambda r: r["i"]).alias("odd"),
+                ),
+            )
+
+        return A.let(F.coalesce(numbered.cast(_NUMBERED), F.array().cast(_NUMBERED)), split)
+
+    def window(toks: Column, placed: Column | None, start: Column, win: Column) -> Column:
         end = start + max_len
         cs = F.get(toks, start)["cs"]
         ce = F.get(toks, F.least(end, F.size(toks)) - 1)["ce"]
         within = lambda span: (span["s"] >= start) & (span["e"] <= end)
-        rebased = {
-            "entity_list": ("tok_span", "char_span"),
-            "relation_list": ("subj_tok_span", "obj_tok_span", "subj_char_span", "obj_char_span"),
-        }
-
         def label(col: str) -> Column:
             if col == "event_list":
                 return F.transform(
@@ -403,14 +436,18 @@ def sliding_windows(
                     ),
                 )
             spans = rebased[col]
-            token_side = [x for x in spans if x.endswith("tok_span")]
+            token_side = token_sides[col]
 
             def inside(x: Column) -> Column:
                 checks = [within(x[n]) for n in token_side]
                 return checks[0] if len(checks) == 1 else checks[0] & checks[1]
 
+            near = placed[f"_{col}"]
+            low, high = _first_at(near["starts"], start), _first_at(near["starts"], end + 1)
+            numbers = F.concat(F.slice(near["at"], low + 1, high - low), near["odd"])
+            found = F.filter(F.transform(F.sort_array(numbers), lambda i: F.get(F.col(col), i)), inside)
             return F.transform(
-                F.filter(col, inside),
+                F.when(F.col(col).isNotNull(), found),
                 lambda x: _patched(
                     x, names[col], **{n: _shift(x[n], start if n in token_side else cs) for n in spans}
                 ),
@@ -425,8 +462,11 @@ def sliding_windows(
         )
 
     def windows(toks: Column) -> Column:
+        made = lambda placed: F.transform(starts(toks), lambda s, k: window(toks, placed, s, k))
+        if not looked_up:
+            return F.when(F.size(toks) > 0, made(None))
         return F.when(
-            F.size(toks) > 0, F.transform(starts(toks), lambda s, k: window(toks, s, k))
+            F.size(toks) > 0, A.let(F.struct(*[placements(c).alias(f"_{c}") for c in looked_up]), made)
         )
 
     toks = A.space_tokens(text) if tokens is None else F.col(tokens)

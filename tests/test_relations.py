@@ -164,3 +164,19 @@ def test_windows_rebase_labels_but_not_events(spark):
     (e,) = second.event_list
     assert tuple(e.trigger_tok_span) == (3, 4)
     assert [tuple(a.tok_span) for a in e.argument_list] == [(2, 3)]
+
+
+def test_windows_look_their_relations_up(spark):
+    """Every window keeps the order of the list, also of spans that end before they begin; none walks the whole list."""
+    span = lambda s, e: (s, e)
+    rels = [("x", "p", "y", span(0, 1), span(0, 1), span(s, e), span(s, s + 1)) for s, e in [(6, 7), (2, 3), (9, 8), (2, 1), (0, 1), (7, 8)]]
+    sp = "struct<s:int,e:int>"
+    schema = (
+        "id string, text string, relation_list array<struct<subject:string,predicate:string,object:string,"
+        f"subj_char_span:{sp},obj_char_span:{sp},subj_tok_span:{sp},obj_tok_span:{sp}>>"
+    )
+    df = spark.createDataFrame([("a", " ".join("abcdefghij"), rels), ("b", "a b", None)], schema)
+    out = rel.sliding_windows(df, 4, 2)
+    found = {(r.id, r.win): r.relation_list and [x.subj_tok_span.s + r.tok_offset for x in r.relation_list] for r in out.collect()}
+    assert found == {("a", 0): [2, 2, 0], ("a", 1): [2, 2], ("a", 2): [6, 7], ("a", 3): [6, 9, 7], ("b", 0): None}
+    assert "_relation_list" in out._jdf.queryExecution().analyzed().toString()
