@@ -2,7 +2,7 @@
 
 A row is one item: ``item_id, title, anns array<struct<attribute_value, attribute_type, source,
 score, start_idx, end_idx, line_idx>>``.  Repair, de-overlap and tagging are ordered scans over
-the item's own array, so they run inside the row and shuffle nothing.
+the item's own array (``spans``), so they run inside the task and shuffle nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusprep.functions import arrays as A
 from corpusprep.functions import patterns as P
 from corpusprep.functions.ranks import random_key, with_cut
+from corpusprep.operators import spans as span_steps
 
 ANNOTATION = (
     "struct<attribute_value:string,attribute_type:string,source:string,score:double,"
@@ -187,88 +188,10 @@ def _indexed_start(text: Column, paged: Column, index: Column, target: Column) -
     return A.let(F.regexp_extract_all(target, F.lit(_RUNS), F.lit(0)), search)
 
 
-def _repaired(title: Column, anns: Column, strict: bool) -> Column:
-    """Sorted distinct annotations with repaired offsets, without the title ones beyond repair."""
-    # Struct order is the sort order: original line, start, end, then type and value for ties.
-    ordered = A.sorted_set(
-        F.transform(
-            anns,
-            lambda a: F.struct(
-                a["line_idx"].alias("line"),
-                a["start_idx"].alias("s"),
-                a["end_idx"].alias("e"),
-                a["attribute_type"].alias("typ"),
-                a["attribute_value"].alias("val"),
-                a["source"].alias("src"),
-                a["score"].alias("score"),
-            ),
-        )
-    )
-
-    def fix(searchable: Column, a: Column) -> Column:
-        def at(txt: Column, start: Column, end: Column) -> Column:
-            return F.struct(
-                txt.alias("txt"),
-                a["typ"].alias("typ"),
-                start.alias("s"),
-                end.alias("e"),
-                a["line"].alias("line"),
-                a["src"].alias("src"),
-            )
-
-        def hit(target: Column, otherwise: Column | None = None) -> Column:
-            def placed(start: Column) -> Column:
-                found = F.when(start >= 0, at(target, start, start + F.length(target)))
-                return found if otherwise is None else found.when(F.length(target) > 0, otherwise)
-
-            return A.let(_whole_word_start(title, searchable, target), placed)
-
-        def with_slice(piece: Column) -> Column:
-            as_given = (a["src"] != "title") | (a["val"] == piece)
-            return F.when(as_given, at(piece, a["s"], a["e"])).otherwise(hit(a["val"], hit(piece)))
-
-        return A.let(A.page_slice(title, searchable["paged"], a["s"], a["e"]), with_slice)
-
-    def usable(x: Column) -> Column:
-        if strict:
-            return x.isNotNull()
-        return x.isNotNull() & ((x["src"] != "title") | (F.length(x["txt"]) > 0))
-
-    return A.let(
-        _searchable(title),
-        lambda t: F.filter(F.transform(ordered, lambda a: fix(t, a)), usable),
-    )
-
-
 def _title_only(anns: Column) -> Column:
     return F.filter(anns, lambda a: a["source"] == "title")
 
 
-def _deoverlapped(repaired: Column, mode: str) -> Column:
-    """The annotations an ordered scan keeps; only title annotations overlap.
-
-    The state is the end (and type) that decides about the next annotation.
-    """
-    start = F.struct(F.lit(-1).alias("line"), F.lit(-1).alias("e"), F.lit("").alias("typ"))
-
-    def dropped(st: Column, x: Column) -> Column:
-        overlaps = (x["src"] == "title") & (st["line"] >= x["line"]) & (x["s"] < st["e"])
-        return overlaps if mode == "strict" else overlaps & (st["typ"] == x["typ"]) & (st["e"] >= x["e"])
-
-    def step(st: Column, x: Column) -> Column:
-        stays = (x["src"] != "title") if mode == "strict" else (x["src"] != "title") | dropped(st, x)
-        moved = F.struct(x["line"].alias("line"), x["e"].alias("e"), x["typ"].alias("typ"))
-        return F.when(stays, st).otherwise(moved)
-
-    def kept(anns: Column) -> Column:
-        keep = A.scan(
-            anns, start, "struct<line:int,e:int,typ:string>", step, lambda st, x: ~dropped(st, x), "boolean"
-        )
-        return A.let(keep, lambda flags: F.filter(anns, lambda x, i: F.get(flags, i)))
-
-    return A.let(repaired, kept)
-
-
 def _mode_is_strict(mode: str) -> bool:
     if mode not in ("default", "strict"):
         raise ValueError(f"unknown mode {mode!r}; default or strict")
@@ -290,23 +213,7 @@ def repair_and_deoverlap(
     still moves the end.
     """
     strict = _mode_is_strict(mode)
-    fixed = _repaired(F.col(title), _title_only(_valid(F.col(anns), types, strict)), strict)
-
-    by_position = A.sorted_set(
-        F.transform(
-            _deoverlapped(fixed, mode),
-            lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["typ"].alias("typ"), x["txt"].alias("txt")),
-        )
-    )
-    tagged = F.transform(
-        by_position,
-        lambda x: F.struct(
-            x["txt"].alias("indexed_text"),
-            x["typ"].alias("attribute_type"),
-            x["s"].alias("start_idx"),
-            x["e"].alias("end_idx"),
-        ),
-    )
+    tagged = span_steps.tagged(strict)(F.col(title), _title_only(_valid(F.col(anns), types, strict)))
     return df.withColumn("tagged", tagged)
 
 
@@ -363,9 +270,9 @@ def count_source_type(
     counted; in ``strict`` mode dropped overlaps are.
     """
     strict = _mode_is_strict(mode)
-    fixed = _repaired(F.col(title), _valid(F.col(anns), types, strict), strict)
+    repaired = span_steps.repaired(strict, deoverlap=not strict)
     label = lambda x: F.concat_ws("-", x["src"], x["typ"])
-    counted = fixed if strict else _deoverlapped(fixed, mode)
+    counted = repaired(F.col(title), _valid(F.col(anns), types, strict))
     return A.unnest(df, [], F.transform(counted, label), "source_type").groupBy("source_type").agg(
         F.count(F.lit(1)).alias("count")
     )
@@ -560,63 +467,7 @@ def bio_tags(
         raise ValueError(f"unknown scheme {scheme!r}; BIO or BIOSE")
     if order not in ("type", "position"):
         raise ValueError(f"unknown order {order!r}; type or position")
-    text = F.col(title)
-
-    def sort_key(t: Column) -> Column:
-        typ, first, last = t["attribute_type"].alias("typ"), t["start_idx"].alias("s"), (-t["end_idx"]).alias("ne")
-        keys = (typ, first, last) if order == "type" else (first, last, typ)
-        return F.struct(*keys, t["end_idx"].alias("e"))
-
-    def non_overlapping(ordered: Column) -> Column:
-        keep = A.scan(
-            ordered,
-            F.lit(0),
-            "int",
-            lambda end, x: F.when(x["s"] >= end, x["e"]).otherwise(end),
-            lambda end, x: x["s"] >= end,
-            "boolean",
-        )
-        return A.let(keep, lambda flags: F.filter(ordered, lambda x, i: F.get(flags, i)))
-
-    accepted = A.let(F.sort_array(F.transform(spans_col, sort_key)), non_overlapping)
-
-    def words(piece: Column) -> Column:
-        return F.regexp_extract_all(piece, F.lit(P.WORD_OR_SYMBOL), F.lit(0))
-
-    def outside(piece: Column) -> Column:
-        return F.transform(words(piece), lambda w: F.struct(w.alias("word"), F.lit("O").alias("tag")))
-
-    def position(ws: Column, i: Column) -> Column:
-        if scheme == "BIO":
-            return F.when(i == 0, "B").otherwise("I")
-        return (
-            F.when(F.size(ws) == 1, "S").when(i == 0, "B").when(i == F.size(ws) - 1, "E").otherwise("I")
-        )
-
-    def inside(paged: Column, sp: Column) -> Column:
-        return A.let(
-            words(A.page_slice(text, paged, sp["s"], sp["e"])),
-            lambda ws: F.transform(
-                ws,
-                lambda w, i: F.struct(
-                    w.alias("word"), F.concat(position(ws, i), F.lit("-"), tag_name(sp["typ"])).alias("tag")
-                ),
-            ),
-        )
-
-    def all_tags(acc: Column, paged: Column) -> Column:
-        end_before = lambda i: F.coalesce(F.get(acc, i - 1)["e"], F.lit(0))
-        gap = lambda i, stop: outside(A.page_slice(text, paged, end_before(i), stop))
-        parts = F.transform(acc, lambda sp, i: F.concat(gap(i, sp["s"]), inside(paged, sp)))
-        return F.struct(
-            F.concat(F.flatten(parts), gap(F.size(acc), F.length(text))).alias("tags"),
-            (F.size(spans_col) - F.size(acc)).cast("bigint").alias("num_overlap"),
-        )
-
-    tagged = A.let(
-        F.struct(accepted.alias("acc"), A.pages(text).alias("paged")),
-        lambda t: all_tags(t["acc"], t["paged"]),
-    )
+    tagged = span_steps.bio(scheme, order)(F.col(title), F.col(spans_col))
     return df.withColumn("_bio", tagged).select(
         *[F.col(c) for c in df.columns], F.col("_bio.tags").alias("tags"), F.col("_bio.num_overlap").alias("num_overlap")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusprep.functions import arrays as A
 from corpusprep.operators import annotate as an
+from corpusprep.operators import spans as span_steps
 from corpusprep.plans import training_sets as jobs
 
 ITEM = f"item_id bigint, title string, anns array<{an.ANNOTATION}>"
@@ -206,3 +207,23 @@ def test_jobs_split_all_rows_and_keep_none_empty(spark, build):
     assert {r.is_test for r in out} == {True, False}
     if build is jobs.build_multi_value_set:
         assert len(out) == sum(1 for _, a in rows if a)
+
+
+@pytest.mark.parametrize("scanned", [4096, 0])
+def test_span_steps_know_missing_values(monkeypatch, scanned):
+    monkeypatch.setattr(span_steps, "SCANNED", scanned)
+    ann = lambda v, s, e, src="title", typ="A": (0, s, e, typ, v, src, 1.0)
+    fixed = lambda title, rows, strict=False: span_steps._repair(title, rows, strict)
+    assert fixed("red shoe", [ann("shoe", 5, 9), ann("red", 0, 3)]) == [("red", "A", 0, 3, 0, "title"), ("shoe", "A", 4, 8, 0, "title")]
+    assert fixed(None, [ann("x", 0, 3), ann("x", 0, 3, "description")]) == [("", "A", 0, 3, 0, "description")]
+    assert fixed("red", [ann("", 0, None)], True) == [("", "A", 0, None, 0, "title")]
+    assert fixed("red", [ann("red", 0, 3, None), ann("zz", 0, 3, None)]) == [("red", "A", 0, 3, 0, None)] * 2
+    kept = span_steps._kept([("a", "A", 0, 4, None, "title"), ("b", "A", 2, 3, 0, "title"), ("c", "A", 5, 6, 0, "title")], True)
+    assert [k[0] for k in kept] == ["a", "c"]  # whether "b" overlaps is unknown
+    assert span_steps._tags("a b", [("b", None, 2, 3)], False, True) == ([("a", "O"), ("b", None)], 0)
+
+
+def test_repair_and_tags_run_outside_of_row_expressions(spark):
+    df = an.bio_tags(an.repair_and_deoverlap(items(spark, ("red shoe", [("red", "A", 0, 3)]))))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
