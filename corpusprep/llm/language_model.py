@@ -12,6 +12,7 @@ batches, and counts of rare words meet them in a join.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +30,13 @@ OWN = (8192, 16384)  # of them, words that are items themselves: an eighth of al
 GROUPS = 4096  # items of all other words, by first and last letters
 CONTEXT = 64  # most frequent items, for the classes
 CLASSES = 32  # also the branches of a node below
-ALONE = 12  # branches of a large node that are its most frequent items; the others share the rest
+ALONE = 96  # an item with more than this part of all tokens is a class of its own
 FEATURE_BITS = (14, 16)  # a feature row for 128 training tokens, within these
 ROUNDS = 4
 BATCH = 1024  # tokens of a gradient step
-SCORED = 2048  # tokens scored at a time
+SCORED = 4096  # tokens scored at a time
 RATE = 0.8
+LAYERS = 16  # rows of a run that are added one after the other
 BOUND = 12.0  # greatest size of a weight: four of them leave a softmax far from overflow without its maximum
 TASK_TOKENS = 1 << 23  # tokens of a learning task where there are more of them than cores
 
@@ -92,9 +94,11 @@ def token_counts(texts: DataFrame) -> DataFrame:
     """``h, g, c``: every distinct token of ``_text`` with its group and count."""
 
     def summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h, g, c = (np.concatenate(x) for x in zip(*parts))
-        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        return unique, g[first], np.bincount(inverse, c).astype(np.int64)
+        h, g, c = (np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+        order = np.argsort(h)
+        h = h.take(order)
+        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        return h.take(head), g.take(order.take(head)), np.add.reduceat(c.take(order), head)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -218,18 +222,23 @@ def neighbour_counts(texts: DataFrame, words: Vocabulary) -> np.ndarray:
     return out.reshape(n, CONTEXT)
 
 
-def classes_of(near: np.ndarray) -> np.ndarray:
-    """Items grouped by what they follow: weighted k-means on square roots of shares."""
+def classes_of(near: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Items grouped by what they follow: weighted k-means on square roots of shares.  Items of more than
+    a share of 1 / ``ALONE``, half of the classes at most, are classes of their own."""
+    alone = np.argsort(-mass, kind="stable")[: CLASSES // 2]
+    alone = alone[mass[alone] * ALONE > mass.sum()]
     weight = near.sum(1)
-    points = np.sqrt((near + 0.02 * (near.sum(0) + 1) / (weight.sum() + CONTEXT)) / (weight + 0.02)[:, None])
+    weight[alone] = 0
+    points = np.sqrt((near + 0.02 * (near.sum(0) + 1) / (near.sum() + CONTEXT)) / (near.sum(1) + 0.02)[:, None])
     heavy = np.argsort(-weight, kind="stable")
-    centres = points[heavy[:CLASSES]].copy()
+    centres = points[heavy[: CLASSES - len(alone)]].copy()
     for _ in range(20):
         chosen = np.argmin((centres**2).sum(1) - 2 * points @ centres.T, 1)
-        for c in range(CLASSES):
+        for c in range(len(centres)):
             mine = (chosen == c) & (weight > 0)
             if mine.any():
                 centres[c] = np.average(points[mine], axis=0, weights=weight[mine])
+    chosen[alone] = len(centres) + np.arange(len(alone))
     return chosen
 
 
@@ -252,23 +261,34 @@ class Tree:
         return at, self.node[entry], self.branch[entry]
 
 
+def joined(part: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, list]:
+    """``(items, branches)`` of a subtree over ``part``: the rarest ``CLASSES`` items or subtrees become one
+    until one is left, which gives the shortest mean path; only the first joins fewer."""
+    heap = [(m, k, part[k : k + 1], []) for k, m in enumerate(mass[part].tolist())]
+    heapq.heapify(heap)
+    number, size = len(heap), (len(heap) - 2) % (CLASSES - 1) + 2
+    while len(heap) > 1:
+        taken = [heapq.heappop(heap) for _ in range(size)][::-1]
+        below = np.concatenate([t[2] for t in taken])
+        heapq.heappush(heap, (sum(t[0] for t in taken), number, below, [t[2:] for t in taken]))
+        number, size = number + 1, CLASSES
+    return heap[0][2:] if heap else (part, [])
+
+
 def tree_of(item_class: np.ndarray, mass: np.ndarray) -> Tree:
-    """The classes below the root, and below each class its items, the frequent ones at once."""
+    """The classes below the root, and below each class its items, the more frequent the nearer."""
     paths: list[list[tuple[int, int]]] = [[] for _ in mass]
-    order = np.argsort(-mass, kind="stable")
-    todo = [[order[item_class[order] == c] for c in range(CLASSES)]]
+    todo = [[joined(np.flatnonzero(item_class == c), mass) for c in range(CLASSES)]]
     shares = []
     while todo:
         parts, node = todo.pop(), len(shares)
-        sums = np.array([mass[p].sum() for p in parts] + [0.0] * (CLASSES - len(parts)))
+        sums = np.array([mass[items].sum() for items, _ in parts] + [0.0] * (CLASSES - len(parts)))
         shares.append(np.where(sums > 0, np.log(np.maximum(sums, 1e-9) / sums.sum()), -1e4))
-        for branch, part in enumerate(parts):
-            for i in part:
+        for branch, (items, branches) in enumerate(parts):
+            for i in items:
                 paths[i].append((node, branch))
-            if 1 < len(part) <= CLASSES:
-                todo.append([part[k : k + 1] for k in range(len(part))])
-            elif len(part) > CLASSES:
-                todo.append([part[k : k + 1] for k in range(ALONE)] + np.array_split(part[ALONE:], CLASSES - ALONE))
+            if branches:
+                todo.append(branches)
     flat = np.array([step for path in paths for step in path], np.int64).reshape(-1, 2)
     start = np.concatenate([[0], np.cumsum([len(path) for path in paths])]).astype(np.int64)
     return Tree(start, flat[:, 0].copy(), flat[:, 1].copy(), np.array(shares, np.float32))
@@ -288,37 +308,70 @@ def features_of(keys: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
 
 def softmax(share: np.ndarray, weights: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(logits, powers, sums)`` from the branches' log shares, which are overwritten."""
-    logits = share
-    for rows in found:
-        logits += weights.take(rows, 0)
+    logits = raised(share, weights, found)
     powers = np.exp(logits)
-    return logits, powers, powers @ np.ones(powers.shape[1], np.float32)
+    return logits, powers, row_sums(powers)
+
+
+def raised(share: np.ndarray, weights: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """``share``, overwritten by the logits."""
+    for rows in found:
+        share += weights.take(rows, 0)
+    return share
+
+
+def row_sums(powers: np.ndarray) -> np.ndarray:
+    return powers @ np.ones(powers.shape[1], np.float32)
 
 
-def folded(rows: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """Sums of the runs of ``rows`` that start at ``head``: each run's second half is added to its
-    first until one row is left.  ``rows`` is overwritten."""
-    sizes = np.diff(head, append=len(rows))
-    start, sizes = head[sizes > 1], sizes[sizes > 1]
-    while len(start):
-        half = (sizes + 1) >> 1
-        moved = sizes - half
-        to = np.repeat(start - np.cumsum(moved) + moved, moved) + np.arange(moved.sum())
-        rows[to] += rows.take(to + np.repeat(half, moved), 0)
-        start, sizes = start[half > 1], half[half > 1]
-    return rows.take(head, 0)
+def run_sums(values: np.ndarray, order: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``values[order]`` over the runs that start at ``head``.
+
+    Most runs are one row.  The others are added up longest first, so that the runs with a j-th row
+    are a prefix and each addition is one of whole slices; what is past ``LAYERS`` rows goes at once.
+    """
+    sizes = np.diff(head, append=len(order))
+    sums = values.take(order.take(head), 0)
+    many = np.flatnonzero(sizes > 1)
+    if not len(many):
+        return sums
+    many = many.take(np.argsort(-sizes.take(many)))
+    size, start, part = sizes.take(many), head.take(many), sums.take(many, 0)
+    longer = np.searchsorted(-size, -np.arange(LAYERS + 1))  # runs of more than 0, 1, ... rows
+    for j in range(1, LAYERS):
+        part[: longer[j]] += values.take(order.take(start[: longer[j]] + j), 0)
+        if not longer[j + 1]:
+            break
+    if n := longer[LAYERS]:
+        rest = size[:n] - LAYERS
+        first = np.cumsum(rest) - rest
+        at = np.arange(rest.sum()) + np.repeat(start[:n] + LAYERS - first, rest)
+        part[:n] += np.add.reduceat(values.take(order.take(at), 0), first, 0)
+    as_cells(sums)[many] = as_cells(part)
+    return sums
+
+
+def as_cells(rows: np.ndarray) -> np.ndarray:
+    """Rows as single values: numpy sets chosen ones of them much faster than rows."""
+    return rows.view(f"V{rows.strides[0]}")[:, 0]
 
 
 def gradient(share: np.ndarray, weights: np.ndarray, found: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Touched feature rows, the gradient of the log-likelihood for each, and their occurrences."""
-    _, slope, sums = softmax(share, weights, found)
-    slope /= -sums[:, None]
+    slope = raised(share, weights, found)
+    np.exp(slope, out=slope)
+    slope *= (-1 / row_sums(slope))[:, None]
     n = len(target)
     slope[np.arange(n), target] += 1
-    order = np.sort((found * (1 << 32) + np.arange(n)).ravel())
-    flat = order >> 32
-    head = np.flatnonzero(np.diff(flat, prepend=-1))
-    return flat[head], folded(slope.take(order & 0xFFFFFFFF, 0), head), np.diff(head, append=len(order))
+    # Feature row and step in one number; half the size sorts in half the time.
+    bits = n.bit_length()
+    kind = np.uint32 if len(weights) << bits <= 1 << 32 else np.uint64
+    order = ((found.astype(kind) << kind(bits)) | np.arange(n, dtype=kind)).ravel()
+    order.sort()
+    flat = order >> kind(bits)
+    head = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    uses = np.diff(head, append=len(order))
+    return flat.take(head).astype(np.int64), run_sums(slope, (order & kind((1 << bits) - 1)).astype(np.int64), head), uses
 
 
 def learn(items: np.ndarray, rows: np.ndarray, none: int, paths: Tree, weights: np.ndarray, speed: np.ndarray, seen: np.ndarray, width: int) -> None:
@@ -326,15 +379,16 @@ def learn(items: np.ndarray, rows: np.ndarray, none: int, paths: Tree, weights:
     the squares of its past gradients in ``speed``; ``seen`` counts the uses of blocks of ``width`` rows."""
     bits = len(weights).bit_length() - 1
     keys = histories(items, rows, none)
+    cells = as_cells(weights)
     for s in range(0, len(items), BATCH):
         at, node, branch = paths.steps(items[s : s + BATCH])
-        found = features_of(keys[:, s + at], node, bits)
+        found = features_of(keys[:, s : s + BATCH].take(at, 1), node, bits)
         touched, slope, uses = gradient(paths.share.take(node, 0), weights, found, branch)
         paced = speed.take(touched) + np.einsum("ij,ij->i", slope, slope)
         speed[touched] = paced
         slope *= (RATE / np.sqrt(paced))[:, None]
         slope += weights.take(touched, 0)
-        weights[touched] = np.clip(slope, -BOUND, BOUND, out=slope)
+        cells[touched] = as_cells(np.clip(slope, -BOUND, BOUND, out=slope))
         seen += np.bincount(touched // width, uses, len(seen))
 
 
@@ -426,8 +480,10 @@ class Model:
         out = np.empty(len(items))
         for s in range(0, len(items), SCORED):
             step, node, branch = self.tree.steps(items[s : s + SCORED])
-            logits, _, over = softmax(self.tree.share.take(node, 0), self.weights, features_of(keys[:, s + step], node, bits))
-            reached = logits[np.arange(len(branch)), branch] - np.log(over)
+            found = features_of(keys[:, s : s + SCORED].take(step, 1), node, bits)
+            logits = raised(self.tree.share.take(node, 0), self.weights, found)
+            reached = logits[np.arange(len(branch)), branch]
+            reached -= np.log(row_sums(np.exp(logits, out=logits)))
             out[s : s + SCORED] = np.bincount(step, reached, len(items[s : s + SCORED]))
         return out / np.log(10)
 
@@ -440,10 +496,10 @@ def fit(rows: DataFrame) -> tuple[Model, DataFrame, DataFrame, int, int]:
     words = frequent_words(counts, types)
     table = stored(encoded(rows, words).withColumn("_row", F.monotonically_increasing_id()))
     texts = table.filter("_train").select("_round", "items")
-    item_class = classes_of(neighbour_counts(texts.select("items"), words))
+    near = neighbour_counts(texts.select("items"), words)
     tokens, kinds = item_totals(counts, words)
     mass = tokens + np.where(np.arange(words.items) < words.own, 1, kinds + 1)
-    tree = tree_of(item_class, mass)
+    tree = tree_of(classes_of(near, mass), mass)
     bits = int(np.clip(np.ceil(np.log2(total / 128 + 1)), *FEATURE_BITS))
     return Model(words, tree, train(texts, words, tree, bits, total), np.log10(mass)), table, counts, total, types
 
