@@ -7,12 +7,18 @@ inside the row; only a caller-supplied token table needs a join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.functions import arrays as A
 from corpusprep.functions import patterns as P
 from corpusprep.operators.sampling import with_ordinal
+from corpusprep.operators.spans import texts
 from corpusprep.operators.text import squeezed
 
 SPAN = "struct<s:int,e:int>"
@@ -171,6 +177,38 @@ def entity_spans(text: Column, entity: Column, ignore_subword: bool = True) -> C
     )
 
 
+def _word_spans(column: pa.Array, names: pa.Array) -> pa.Array:
+    """``entity_spans`` between spaces of every name of a row; null names have none, a null text null ones."""
+    starts, sizes, missing = [], [], []
+    inner, outer, none = [0], [0], []
+    for text, entities in zip(texts(column), names.to_pylist()):
+        none.append(entities is None)
+        padded = None if text is None else f" {text} "
+        known: dict[str | None, list[int]] = {None: []}
+        for name in entities or ():
+            missing.append(padded is None and name is not None)
+            if padded is not None and name not in known:
+                known[name] = _found(padded, f" {name} ")
+            found = known.get(name, [])
+            starts += found
+            sizes += [len(name or "")] * len(found)
+            inner.append(len(starts))
+        outer.append(len(inner) - 1)
+    first = np.array(starts, np.int32)
+    span = pa.StructArray.from_arrays([pa.array(first), pa.array(first + np.array(sizes, np.int32))], ["s", "e"])
+    each = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), span, mask=pa.array(missing, pa.bool_()))
+    return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), each, mask=pa.array(none, pa.bool_()))
+
+
+def _found(text: str, target: str) -> list[int]:
+    """Starts of the occurrences of ``target``, left to right, none inside another."""
+    out, at = [], text.find(target)
+    while at >= 0:
+        out.append(at)
+        at = text.find(target, at + len(target))
+    return out
+
+
 def attach_char_spans(df: DataFrame, ignore_subword: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(samples, miss)``: one relation per pair of subject and object occurrences.
 
@@ -178,12 +216,20 @@ def attach_char_spans(df: DataFrame, ignore_subword: bool = True) -> tuple[DataF
     with fewer relations than before.
     """
 
-    def located(rel: Column) -> Column:
+    names = F.flatten(F.transform("relation_list", lambda r: F.array(r["subject"], r["object"])))
+    places = df
+    if ignore_subword:
+        places = A.once(df.withColumn("_places", F.arrow_udf(_word_spans, f"array<array<{SPAN}>>")("text", names)), "_places")
+
+    def spans(rel: Column, name: str, at: Column) -> Column:
+        return F.get("_places", at) if ignore_subword else entity_spans(F.col("text"), rel[name], False)
+
+    def located(rel: Column, i: Column) -> Column:
         return A.let(
-            entity_spans(F.col("text"), rel["object"], ignore_subword),
+            spans(rel, "object", 2 * i + 1),
             lambda objs: F.flatten(
                 F.transform(
-                    entity_spans(F.col("text"), rel["subject"], ignore_subword),
+                    spans(rel, "subject", 2 * i),
                     lambda ss: F.transform(
                         objs,
                         lambda os: F.struct(
@@ -198,7 +244,7 @@ def attach_char_spans(df: DataFrame, ignore_subword: bool = True) -> tuple[DataF
             ),
         )
 
-    found = df.withColumn("_rels", F.flatten(F.transform("relation_list", located)))
+    found = places.withColumn("_rels", F.flatten(F.transform("relation_list", located))).drop("_places")
     miss = found.filter(F.size("_rels") < F.size("relation_list")).drop("_rels")
     out = found.withColumn("relation_list", F.col("_rels")).drop("_rels")
     if "entity_list" in df.columns:
@@ -256,11 +302,136 @@ def token_spans(spans: DataFrame, tokens: DataFrame, keys: tuple[str, ...] = ("i
     )
 
 
+_PACK = 1 << 16  # tokens of a packed row
+_INTS = ("tok_ind", "cs", "ce")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Successive tokens of one id as one row, cut where a batch ends and every ``_PACK`` tokens."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("id")
+        new = pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
+        head = np.flatnonzero(np.concatenate([[True], new.astype(bool)]))
+        run = np.arange(len(ids)) - np.repeat(head, np.diff(head, append=len(ids)))
+        head = np.flatnonzero(run % _PACK == 0)
+        bounds = pa.array(np.append(head, len(ids)), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, batch.column(c)) for c in _INTS]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(head)), *lists], names=["id", *_INTS])
+
+
+NONE = 1 << 33  # stands for a missing position; no token is there
+
+
+def _key(group: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One number that orders by group and position."""
+    return (group << 36) + (np.clip(at, -NONE, NONE) + (1 << 34))
+
+
+def _covering(of: np.ndarray, tok: np.ndarray, group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest of the tokens of its group over each character, or -1.  Tokens are columns of
+    ``tok_ind, cs, ce`` in the groups ``of``."""
+    some = tok[2] > tok[1]
+    of, tok = of[some], tok[:, some]
+    order = np.lexsort((tok[0], tok[2], tok[1], of))
+    of, (ind, cs, ce) = of.take(order), tok.take(order, 1)
+    first = np.searchsorted(_key(of, ce), _key(group, at), "right")
+    past = np.searchsorted(_key(of, cs), _key(group, at), "right")
+    hit = np.flatnonzero(first < past)
+    low, high = np.full(len(at), -1), np.full(len(at), -1)
+    low[hit], high[hit] = ind.take(first[hit]), ind.take(past[hit] - 1)
+    back = (of[1:] == of[:-1]) & ((ce[1:] < ce[:-1]) | (ind[1:] < ind[:-1]))
+    for g in np.unique(of[1:][back]):
+        # Tokens that lie inside each other or count backwards: each is painted over the stretches it covers.
+        mine, asked = slice(*np.searchsorted(of, [g, g + 1])), np.flatnonzero(group == g)
+        low[asked], high[asked] = _painted(ind[mine], cs[mine], ce[mine], at[asked])
+    return low, high
+
+
+def _painted(ind: np.ndarray, cs: np.ndarray, ce: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cuts = np.unique(np.concatenate([cs, ce]))
+    lows, highs = np.full(len(cuts) + 1, -1), np.full(len(cuts) + 1, -1)
+    begin, end = np.searchsorted(cuts, cs) + 1, np.searchsorted(cuts, ce) + 1
+    rank = np.argsort(ind, kind="stable")
+    for k in rank:
+        highs[begin[k] : end[k]] = ind[k]
+    for k in rank[::-1]:
+        lows[begin[k] : end[k]] = ind[k]
+    place = np.searchsorted(cuts, at, "right")
+    return lows[place], highs[place]
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists' values in one array, and the length of each; a null list is empty."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    return pc.fill_null(column.flatten(), NONE).to_numpy(), lengths
+
+
+def _answers(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """``id, _tok`` from all rows of some ids, in order of the id."""
+    ids = rows.column("id")
+    new = np.concatenate([[True], pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)])
+    group = np.cumsum(new) - 1
+    token, lengths = zip(*(_flat(rows.column(c)) for c in _INTS))
+    ends, counts = zip(*(_flat(rows.column(c)) for c in ("s", "e")))
+    of, asking = np.repeat(group, lengths[0]), np.repeat(group, counts[0])
+    low, _ = _covering(of, np.stack(token), asking, ends[0])
+    _, high = _covering(of, np.stack(token), asking, ends[1] - (ends[1] < NONE))
+    most = np.zeros(group[-1] + 1, np.int64)
+    np.maximum.at(most, group, counts[0])
+    bounds = np.concatenate([[0], np.cumsum(most)])
+    place = bounds[asking] + np.arange(len(asking)) - np.repeat(np.cumsum(counts[0]) - counts[0], counts[0])
+    ts, te = np.full(bounds[-1], NONE), np.full(bounds[-1], -1)
+    np.minimum.at(ts, place, np.where(low < 0, NONE, low))
+    np.maximum.at(te, place, np.where(high < 0, -1, high + 1))
+    spans = pa.StructArray.from_arrays([pa.array(np.where(ts == NONE, -1, ts), pa.int32()), pa.array(te, pa.int32())], ["s", "e"])
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spans)
+    return pa.RecordBatch.from_arrays([ids.filter(pa.array(new.astype(bool))), lists], names=["id", "_tok"])
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_answers`` of sorted rows; the last id of a batch waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("id")
+        if held and held[-1].column("id")[-1] != ids[0]:
+            yield _answers(_joined(held))
+            held = []
+        cut = pc.index(ids, ids[-1]).as_py()
+        if cut:
+            yield _answers(_joined([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield _answers(_joined(held))
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.concat_batches(batches) if len(batches) > 1 else batches[0]
+
+
+def _aligned(samples: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``(id, _tok)``: the token spans of the ``_spans`` of every id by their number; ids that repeat share
+    their tokens, and their spans of one number give the lowest start and the highest end."""
+    kind = samples.schema["id"].dataType.simpleString()
+    ints = ", ".join(f"{c} array<bigint>" for c in _INTS)
+    packs = tokens.filter("id IS NOT NULL").select(F.col("id").cast(kind).alias("id"), *(F.col(c).cast("bigint").alias(c) for c in _INTS))
+    packs = packs.filter("tok_ind IS NOT NULL AND cs IS NOT NULL AND ce IS NOT NULL").mapInArrow(_packed, f"id {kind}, {ints}")
+    ends = lambda c: F.transform("_spans", lambda x: x[c].cast("bigint"))
+    spans = samples.filter("id IS NOT NULL").select("id", ends("s").alias("s"), ends("e").alias("e"))
+    both = packs.unionByName(spans, allowMissingColumns=True).repartition("id").sortWithinPartitions("id")
+    return both.mapInArrow(_align, f"id {kind}, _tok array<{SPAN}>")
+
+
 def attach_token_spans(df: DataFrame, tokens: DataFrame) -> DataFrame:
     """Adds ``subj_tok_span``, ``obj_tok_span``, ``tok_span``, ``trigger_tok_span`` from character spans.
 
     ``tokens`` is ``(id, tok_ind, token, cs, ce)`` from any tokeniser.  All character spans of a
-    sample are numbered in one list, aligned by ``token_spans`` and put back by number.
+    sample are numbered in one list, aligned as by ``token_spans`` and put back by number.  A sample's
+    spans and tokens, packed by the task that makes them, meet as a few rows of integers.
     """
     empty = F.array().cast(f"array<{SPAN}>")
     has_ent, has_ev = "entity_list" in df.columns, "event_list" in df.columns
@@ -281,18 +452,7 @@ def attach_token_spans(df: DataFrame, tokens: DataFrame) -> DataFrame:
         else empty
     )
     all_spans = F.concat(*[F.coalesce(c, empty) for c in (rel_spans, ent_spans, ev_spans)])
-    flat = A.unnest_pos(df, ["id"], all_spans, "span_no", "sp").select("id", "span_no", "sp.*")
-    aligned = (
-        token_spans(flat, tokens)
-        .groupBy("id")
-        .agg(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("span_no", "ts", "te"))),
-                lambda x: F.struct(x["ts"].alias("s"), x["te"].alias("e")),
-            ).alias("_tok")
-        )
-    )
-    joined = df.join(aligned, "id", "left")
+    joined = df.join(_aligned(df.select("id", all_spans.alias("_spans")), tokens), "id", "left")
     at = lambda i: F.get("_tok", i)
     rel_names = _fields(df, "relation_list")
     out = joined.withColumn(

@@ -5,7 +5,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,10 @@ from pyspark.sql import types as T
 from corpusprep.functions import arrays as A
 from corpusprep.functions import patterns as P
 from corpusprep.functions.ranks import random_key
+from corpusprep.operators.spans import texts
+
+
+TOKENS = "array<struct<tok_ind:int,token:string,cs:int,ce:int>>"
 
 
 # ---------------------------------------------------------------- column forms
@@ -134,7 +140,26 @@ def tokenize(
 
 def whitespace_tokens(df: DataFrame, id_col: str, col: str = "text") -> DataFrame:
     """Rows ``(id, tok_ind, token, cs, ce)``: single-space split with character offsets."""
-    return A.unnest(df, [id_col], A.space_tokens(F.col(col)), "t").select(id_col, "t.*")
+    tokens = F.arrow_udf(_space_tokens, TOKENS)(F.col(col).cast("string"))
+    return A.unnest(df, [id_col], tokens, "t").select(id_col, "t.*")
+
+
+def _space_tokens(column: pa.Array) -> pa.Array:
+    """``A.space_tokens`` of a batch: positions are running sums of the pieces' lengths."""
+    pieces: list[str] = []
+    bounds = [0]
+    for text in texts(column):
+        if text is not None:
+            pieces += text.split(" ")
+        bounds.append(len(pieces))
+    bounds = np.array(bounds, np.int32)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    past = np.concatenate([[0], np.cumsum(sizes + 1)])
+    first = np.repeat(bounds[:-1], np.diff(bounds))
+    start = past[:-1] - past[first]
+    number = np.arange(len(pieces)) - first
+    values = [pa.array(number, pa.int32()), pa.array(pieces, pa.string()), pa.array(start, pa.int32()), pa.array(start + sizes, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(values, ["tok_ind", "token", "cs", "ce"]))
 
 
 def build_vocab(lines: DataFrame) -> DataFrame:

@@ -116,6 +116,41 @@ def test_attach_token_spans_covers_all_lists(spark):
     assert [tuple(a.tok_span) for a in r.event_list[0].argument_list] == [(0, 1), (1, 3)]
 
 
+def test_attach_token_spans_equals_token_spans_on_any_tokens(spark):
+    """Nested, empty, shared and unordered tokens, spans without ends, ids that repeat, ids without tokens or null."""
+    rng = random.Random(4)
+    ids = [str(i // 2 if i < 6 else i) for i in range(40)] + [None]
+    span = lambda: rng.choice([None, (None, 3), (2, None)]) if rng.random() < 0.1 else (rng.randint(0, 200), rng.randint(0, 200))
+    rows = [(i, "x", [("a", span(), span()) for _ in range(rng.randint(0, 5))] if rng.random() < 0.9 else None) for i in ids]
+    toks = []
+    for i in [*dict.fromkeys(ids[:36]), None]:
+        at = 0
+        for k in range(rng.randint(0, 60)):
+            size = rng.randint(0, 6)
+            toks.append((i, rng.randint(0, 9) if i in ("3", "9") else k, "t", at, at + size * (30 if i == "8" else 1)))
+            at += size + 1 if rng.random() < 0.9 else 0
+    rng.shuffle(toks)
+    df = spark.createDataFrame(rows, f"id string, text string, relation_list array<struct<subject:string,subj_char_span:{SPAN},obj_char_span:{SPAN}>>")
+    tokens = spark.createDataFrame(toks, "id string, tok_ind int, token string, cs int, ce int")
+    flat = [(i, 2 * k + j, *(x or (None, None))) for i, _, rels in rows for k, r in enumerate(rels or ()) for j, x in enumerate(r[1:])]
+    spans = spark.createDataFrame(flat, "id string, span_no int, s int, e int")
+    expected = {(r.id, r.span_no): (r.ts, r.te) for r in rel.token_spans(spans, tokens).collect() if r.id is not None}
+    got = rel.attach_token_spans(df, tokens)
+    found = [((r.id, 2 * k + j), x) for r in got.collect() for k, q in enumerate(r.relation_list or ()) for j, x in enumerate((q.subj_tok_span, q.obj_tok_span))]
+    assert len(found) == len(flat) and {k: tuple(x) for k, x in found if x} == expected
+    assert all(x is None for (i, _), x in found if i is None)
+
+
+def test_attach_token_spans_moves_a_row_for_a_sample(spark, tmp_path):
+    """A sample's 3,000 tokens and 2,000 spans meet as packed rows, none for each token or span."""
+    df = spark.createDataFrame([(str(i), "a b " * 1500) for i in range(4)], "id string, text string").repartition(2)
+    spans = F.expr("transform(sequence(0, 999), i -> struct(named_struct('s', 4 * i, 'e', 4 * i + 1) as subj_char_span, named_struct('s', 4 * i + 2, 'e', 4 * i + 3) as obj_char_span))")
+    got = rel.attach_token_spans(df.withColumn("relation_list", spans.cast(f"array<struct<subj_char_span:{SPAN},obj_char_span:{SPAN}>>")), text.whitespace_tokens(df, "id"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan.split("MapInArrow")[0] and plan.count("Generate") == 1
+    assert all([tuple(r.subj_tok_span), tuple(r.obj_tok_span)] == [(2 * k, 2 * k + 1), (2 * k + 1, 2 * k + 2)] for x in got.collect() for k, r in enumerate(x.relation_list))
+
+
 def starts(spark, n, max_len, stride):
     df = spark.createDataFrame([("1", " ".join(f"t{i}" for i in range(n)))], "id string, text string")
     return [r.tok_offset for r in rel.sliding_windows(df, max_len, stride, "test").orderBy("win").collect()]
