@@ -32,6 +32,7 @@ CONTEXT = 64  # most frequent items, for the classes
 CLASSES = 32  # also the branches of a node below
 ALONE = 96  # an item with more than this part of all tokens is a class of its own
 FEATURE_BITS = (14, 16)  # a feature row for 128 training tokens, within these
+TEXT = 1 << 18  # bytes of text cut into words at a time
 ROUNDS = 4
 BATCH = 1024  # tokens of a gradient step
 SCORED = 4096  # tokens scored at a time
@@ -105,7 +106,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
         size = 0
         out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2])], names=["h", "g", "c"])
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, "_text", TEXT):
                 hashes, groups, _ = tokens_of(part.column("_text"))
                 if len(hashes):
                     held.append(summed([(hashes, groups, np.ones(len(hashes), np.int64))]))
@@ -143,9 +144,11 @@ def items_of(words: Vocabulary, at: np.ndarray, groups: np.ndarray) -> np.ndarra
 
 def before(values: np.ndarray, rows: np.ndarray, steps: int, none: int) -> np.ndarray:
     """The value ``steps`` tokens earlier in the same text, or ``none``."""
-    start = np.repeat(rows[:-1], np.diff(rows))
-    at = np.arange(len(values)) - steps
-    return np.where(at >= start, values[np.maximum(at, 0)], none)
+    out = np.empty_like(values)
+    out[steps:] = values[: max(len(values) - steps, 0)]
+    first = rows[:-1, None] + np.arange(steps)
+    out[first[first < rows[1:, None]]] = none
+    return out
 
 
 def encoded(rows: DataFrame, words: Vocabulary) -> DataFrame:
@@ -157,7 +160,7 @@ def encoded(rows: DataFrame, words: Vocabulary) -> DataFrame:
         vocabulary = given.value
         logs = np.log10(vocabulary.counts + 1.0)
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, "_text", TEXT):
                 hashes, groups, bounds = tokens_of(part.column("_text"))
                 at = vocabulary.find(hashes)
                 known = at >= 0
@@ -209,10 +212,11 @@ def neighbour_counts(texts: DataFrame, words: Vocabulary) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n * CONTEXT, np.int64)
         for batch in batches:
-            for _, items, rows in item_chunks(batch, 1 << 20):
-                past = np.stack([before(items, rows, steps, n) for steps in (1, 2, 3)])
-                near = past < last
-                total += np.bincount((items * CONTEXT + past)[near], minlength=len(total))
+            for _, items, rows in item_chunks(batch):
+                for steps in (1, 2, 3):
+                    past = before(items, rows, steps, n)
+                    near = np.flatnonzero(past < last)
+                    np.add.at(total, items.take(near) * CONTEXT + past.take(near), 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "c"])
 
