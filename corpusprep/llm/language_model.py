@@ -500,7 +500,9 @@ def fit(rows: DataFrame) -> tuple[Model, DataFrame, DataFrame, int, int]:
     words = frequent_words(counts, types)
     table = stored(encoded(rows, words).withColumn("_row", F.monotonically_increasing_id()))
     texts = table.filter("_train").select("_round", "items")
-    near = neighbour_counts(texts.select("items"), words)
+    # Every task sends all cells it has seen, so there are no more tasks than learning would take.
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, total // TASK_TOKENS)
+    near = neighbour_counts(texts.select("items").coalesce(tasks), words)
     tokens, kinds = item_totals(counts, words)
     mass = tokens + np.where(np.arange(words.items) < words.own, 1, kinds + 1)
     tree = tree_of(classes_of(near, mass), mass)

@@ -42,6 +42,25 @@ def test_hashes_of_long_texts_are_those_of_their_words_in_little_memory():
     assert peak_of(lambda: words.word_hashes(data, starts[own], ends[own])) < 4 * 8 * own.sum() + (3 << 20)
 
 
+def test_neighbours_are_counted_in_no_more_tasks_than_cores(spark, monkeypatch):
+    rows = spark.range(0, 64, numPartitions=16).selectExpr("id _id", "id % 7 != 2 _train", "id % 4 _round", "concat('a b c ', id, ' a b') _text")
+    split, counted, seen = spark.conf.get("spark.sql.files.maxPartitionBytes"), language_model.neighbour_counts, []
+
+    def watched(texts, vocabulary):
+        seen.append((texts.rdd.getNumPartitions(), texts.count()))
+        return counted(texts, vocabulary)
+
+    monkeypatch.setattr(language_model, "neighbour_counts", watched)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        language_model.fit(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen[0][0] <= spark.sparkContext.defaultParallelism and seen[0][1] == rows.filter("_train").count()
+
+
 def test_neighbour_counts_are_those_of_a_plain_loop(spark):
     rng = np.random.default_rng(6)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, n).clip(max=300)) for n in [0, 1, 2, 3, *rng.integers(4, 60, 80)]]
