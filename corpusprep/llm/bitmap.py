@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from corpusprep.functions.durable import stored
 
 MOST = 1 << 24  # bits: 2 MB
+FEW = 1 << 15  # rows of a few bytes that every task can hold: 256 KB a column
+
+
+def few(rows: int) -> bool:
+    """Whether a table of longs is better sent to every task than shuffled; either way the rows are the same."""
+    return rows <= FEW
 
 
 def _bit(value: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(bits))
 
 
+def _bits(values: int) -> int:
+    return max(1 << 12, min(MOST, 1 << (16 * max(values, 1) - 1).bit_length()))
+
+
 def bitmap(values: DataFrame, column: str, bits: int | None = None) -> tuple[Column, int]:
     """A scalar array of longs with a bit set for every value, and its number of bits.
 
@@ -21,7 +31,7 @@ def bitmap(values: DataFrame, column: str, bits: int | None = None) -> tuple[Col
     filtered still meets the exact join.
     """
     if bits is None:
-        bits = max(1 << 12, min(MOST, 1 << (16 * max(values.count(), 1) - 1).bit_length()))
+        bits = _bits(values.count())
     at = _bit(F.col(column), bits)
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))
     pages = values.groupBy(F.shiftright(at, 6).alias("page")).agg(F.bit_or(one).alias("bits"))
@@ -39,5 +49,12 @@ def listed(value: Column, array: Column, bits: int) -> Column:
 
 
 def likely(rows: DataFrame, column: str, values: DataFrame, of: str) -> DataFrame:
-    """The rows whose ``column`` is among ``values``, and few others: what a join would find."""
-    return rows.filter(listed(F.col(column), *bitmap(values.select(of), of)))
+    """The rows whose ``column`` is among ``values``, and few others: what a join would find.
+
+    Few values are sent themselves, which takes no shuffle; else their bitmap.
+    """
+    values = values.select(F.col(of).alias("_listed"))
+    n = values.count()
+    if few(n):
+        return rows.join(F.broadcast(values), F.col(column) == F.col("_listed"), "left_semi")
+    return rows.filter(listed(F.col(column), *bitmap(values, "_listed", _bits(n))))

@@ -156,19 +156,19 @@ def _filtered(pairs: DataFrame, columns: list[str], keep: Callable[[pa.RecordBat
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` that may reach the threshold by their registers, with the estimate."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
-    joined = pairs.join(likely(side("a"), "a", pairs, "a"), "a").join(likely(side("b"), "b", pairs, "b"), "b")
+    """Pairs ``a, b`` that may reach the threshold by their registers, with both weights and the estimate."""
+    side = lambda x: classes.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "w", "regs")])
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def keep(part: pa.RecordBatch) -> np.ndarray:
         regs = [
-            np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("r_a", "r_b")
+            np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b")
         ]
         n = [part.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b")]
         found = similarity(*regs, *n)
         return np.where(found >= least_estimate(threshold, np.minimum(*n)), found, np.nan)
 
-    return _filtered(joined, ["a", "b"], keep)
+    return _filtered(joined, ["a", "b", "w_a", "w_b"], keep)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -295,24 +295,25 @@ def class_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], perc
     size = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     shared = stored(likely(rows, "key", size, "key").join(size, "key"))
     small, large = shared.filter(F.col("size") <= SMALL), shared.filter(F.col("size") > SMALL)
-    weight = stored(shared.groupBy("rep").agg(F.sum("size").alias("w"), F.max("size").alias("widest")))
+    weight = shared.groupBy("rep").agg(F.sum("size").alias("w"), F.max("size").alias("widest"))
+    known = stored(likely(classes.select("rep", "n", "regs"), "rep", shared, "rep").join(weight, "rep"))
     # Of a large bucket the class that meets most others in all its buckets.
-    central = large.join(weight, "rep").groupBy("key").agg(
+    central = large.join(known.select("rep", "w"), "rep").groupBy("key").agg(
         F.max_by(F.struct("rep", "n"), F.struct("w", -F.col("rep"))).alias("c")
-    ).select("key", "c.rep", "c.n")
+    ).select("key", F.col("c.rep").alias("c_rep"), F.col("c.n").alias("c_n"))
     near = _pairs(small, small, "key", percent)
-    star = _pairs(large, central, "key", percent).unionAll(_pairs(central, large, "key", percent))
-    found = estimated(stored(near.unionAll(star).distinct()), classes, percent / 100)
-    side = lambda x: weight.select(F.col("rep").alias(x), F.struct("w", -F.col("rep")).alias(f"w_{x}"))
-    found = stored(found.join(side("a"), "a").join(side("b"), "b"))
-    up = F.col("w_a") > F.col("w_b")
-    members = weight.filter(F.col("widest") > SMALL).select("rep")
-    held = found.select(F.col("a").alias("rep")).unionAll(found.select(F.col("b").alias("rep"))).unionAll(members)
+    star = large.join(central, "key").filter(
+        (F.col("rep") != F.col("c_rep")) & (F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent)
+    ).select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b"))
+    found = stored(estimated(stored(near.unionAll(star).distinct()), known, percent / 100))
+    up = F.struct("w_a", -F.col("a")) > F.struct("w_b", -F.col("b"))
+    members = known.filter(F.col("widest") > SMALL).select("rep", "n")
+    held = found.select(F.col("a").alias("rep")).unionAll(found.select(F.col("b").alias("rep"))).unionAll(members.select("rep"))
     full = stored(sets(stored(held.distinct())))
     # First every class with its likeliest partner of more weight: that joins most copies.
     first = stored(
-        found.select(F.when(up, F.col("b")).otherwise(F.col("a")).alias("low"), F.when(up, F.col("a")).otherwise(F.col("b")).alias("high"), F.when(up, F.col("w_a")).otherwise(F.col("w_b")).alias("w"), "score")
-        .groupBy("low").agg(F.max_by("high", F.struct("score", "w")).alias("high"))
+        found.select(F.when(up, F.col("b")).otherwise(F.col("a")).alias("low"), F.when(up, F.col("a")).otherwise(F.col("b")).alias("high"), F.greatest("w_a", "w_b").alias("w"), "score")
+        .groupBy("low").agg(F.max_by("high", F.struct("score", "w", -F.col("high"))).alias("high"))
         .select(F.col("low").alias("a"), F.col("high").alias("b"))
     )
     links = stored(confirmed(first, full, percent))
@@ -322,8 +323,7 @@ def class_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], perc
     # Then pairs that are still apart, and exactly those of large buckets that were not paired.
     apart = found.join(group("a"), "a", "left").join(group("b"), "b", "left").filter(of("a") != of("b")).select("a", "b")
     open_members = (
-        members.join(classes.select("rep", "n"), "rep")
-        .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+        members.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select(F.col("rep").alias("_id"), "n", F.coalesce("component", "rep").alias("group"))
     )
     rest = stored(apart.unionAll(rare_shingle_pairs(open_members, full, percent)).distinct())

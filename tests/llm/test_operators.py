@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusprep.llm import (
+    bitmap,
     components,
     decontaminate,
     dual_tree,
@@ -464,6 +465,68 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {(r.node, r.component) for r in got} == {(i, 0) for i in range(101)} | {(i, 500) for i in [500, *range(600, 650)]}
 
 
+def _smallest(edges):
+    least = {x: x for e in edges for x in e}
+    while True:
+        before = dict(least)
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            return least
+
+
+@pytest.mark.parametrize("rows", [bitmap.FEW, 0])
+def test_components_of_any_links_sent_or_shuffled(spark, monkeypatch, rows):
+    monkeypatch.setattr(bitmap, "FEW", rows)
+    rng = random.Random(3)
+    edges = [(900, i) for i in range(800, 830)] + [(i, (i * 7 + 3) % 40 + 300) for i in range(300, 340)]
+    edges += [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(2, 1), (1, 2)]
+    edges = [(a, b) for a, b in edges if a != b]
+    got = components.smallest_reachable(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted(_smallest(edges).items())
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    assert components.smallest_reachable(none).collect() == []
+
+
+def test_few_links_take_few_tasks(spark):
+    partitions = 40
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint").coalesce(1)
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        for k, v in zip(kept, (str(partitions), "false")):
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("components", "few links")
+        components.smallest_reachable(edges).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+    infos = [tracker.getStageInfo(s) for s in stages]
+    assert 0 < sum(i.numCompletedTasks for i in infos if i) < 8 * partitions
+
+
+@pytest.mark.parametrize("rows", [bitmap.FEW, 0])
+def test_likely_rows_sent_or_mapped(spark, monkeypatch, rows):
+    monkeypatch.setattr(bitmap, "FEW", rows)
+    table = spark.createDataFrame([(i, i * 3, str(i)) for i in range(1000)], "x bigint, key bigint, y string")
+    values = spark.createDataFrame([(30,), (30,), (2997,), (7,)], "key bigint")
+    got = bitmap.likely(table, "key", values, "key")
+    assert got.columns == ["x", "key", "y"]
+    found = sorted(r.x for r in got.collect())
+    assert {10, 999} <= set(found) and len(found) == len(set(found)) < 40
+
+
+def test_near_duplicates_when_nothing_is_few(spark, monkeypatch):
+    rows = [(i, t) for i, t in ROWS if i is not None and i < 110]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    take = lambda: sorted(tuple(r) for r in near_dup.near_duplicates(frame, width=3, percent=85).collect())
+    sent = take()
+    monkeypatch.setattr(bitmap, "FEW", 0)
+    assert take() == sent
+
+
 def test_kept_digest_is_of_the_text(docs):
     row = line_dedup.keep_bitmaps(docs).filter("doc_id = 3").select("text", F.sha2(line_dedup.kept_text(F.col("text"), F.col("keep_runs")), 256)).first()
     assert row[1] == hashlib.sha256(row[0].encode()).hexdigest()
