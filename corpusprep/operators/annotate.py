@@ -188,10 +188,6 @@ def _indexed_start(text: Column, paged: Column, index: Column, target: Column) -
     return A.let(F.regexp_extract_all(target, F.lit(_RUNS), F.lit(0)), search)
 
 
-def _title_only(anns: Column) -> Column:
-    return F.filter(anns, lambda a: a["source"] == "title")
-
-
 def _mode_is_strict(mode: str) -> bool:
     if mode not in ("default", "strict"):
         raise ValueError(f"unknown mode {mode!r}; default or strict")
@@ -213,7 +209,7 @@ def repair_and_deoverlap(
     still moves the end.
     """
     strict = _mode_is_strict(mode)
-    tagged = span_steps.tagged(strict)(F.col(title), _title_only(_valid(F.col(anns), types, strict)))
+    tagged = span_steps.tagged(strict, None if types is None else list(types))(F.col(title), F.col(anns))
     return df.withColumn("tagged", tagged)
 
 

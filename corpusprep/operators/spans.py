@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from corpusprep.operators import span_columns
+
 SCANNED = 4096  # longest title, in characters, in which a value is searched from its start
 PAGE = 512  # slices of a missing title are empty up to this size and missing beyond it
 REPAIRED = "array<struct<txt:string,typ:string,s:int,e:int,line:int,src:string>>"
@@ -97,12 +99,6 @@ class Title:
 
     def _places(self, target: str) -> Iterator[int]:
         text = self.text
-        if len(text) <= SCANNED:
-            at = text.find(target)
-            while at >= 0:
-                yield at
-                at = text.find(target, at + 1)
-            return
         if self.runs is None:
             self.runs = {}
             for m in _RUN.finditer(text):
@@ -112,13 +108,34 @@ class Title:
             if at >= ahead and text.startswith(target, at - ahead):
                 yield at - ahead
 
+    def _scanned(self, target: str) -> int:
+        text, n = self.text, len(target)
+        at = text.find(target)
+        if at < 0:
+            return -1
+        head, tail, last = _is_word(target[0]), _is_word(target[-1]), len(text) - n
+        while at >= 0:
+            # A word begins or ends where a word character meets another character or the title's end.
+            ahead = at > 0 and (c := text[at - 1]) != " " and (c.isalnum() or c == "_")
+            if ahead != head:
+                behind = at < last and (c := text[at + n]) != " " and (c.isalnum() or c == "_")
+                if behind != tail:
+                    return at
+            at = text.find(target, at + 1)
+        return -1
+
     def first(self, target: str | None) -> int:
         if not target:
             return -1
-        if target not in self.known:
+        found = self.known.get(target)
+        if found is None:
             n, text = len(target), self.text
-            self.known[target] = next((p for p in self._places(target) if _edge(text, p) and _edge(text, p + n)), -1)
-        return self.known[target]
+            if len(text) <= SCANNED:
+                found = self._scanned(target)
+            else:
+                found = next((p for p in self._places(target) if _edge(text, p) and _edge(text, p + n)), -1)
+            self.known[target] = found
+        return found
 
 
 # ---------------------------------------------------------------- repair
@@ -232,16 +249,23 @@ def repaired(strict: bool, deoverlap: bool):
     return repaired_spans
 
 
-def tagged(strict: bool):
-    """``(title, anns) -> tagged``: repaired, without overlaps, by position."""
+def tagged(strict: bool, types: list[str] | None):
+    """``(title, anns) -> tagged``: valid title annotations, repaired, without overlaps, by position."""
 
-    @F.arrow_udf(TAGGED)
-    def tagged_spans(title: pa.Array, anns: pa.Array) -> pa.Array:
-        def one(text: str | None, rows: list[tuple] | None) -> list[tuple] | None:
-            return None if rows is None else _by_position(_deoverlapped(_repair(text, rows, strict), strict))
+    def one(text: str | None, rows: list[tuple] | None) -> list[tuple] | None:
+        return None if rows is None else _by_position(_deoverlapped(_repair(text, rows, strict), strict))
 
+    def loops(title: pa.Array, anns: pa.ListArray) -> pa.ListArray:
         return list_array((one(t, a) for t, a in _items(title, anns)), _SPAN)
 
+    def columns(title: pa.Array, anns: pa.ListArray) -> pa.ListArray:
+        return span_columns.tagged(title, anns, strict, Title)
+
+    @F.arrow_udf(TAGGED)
+    def tagged_spans(title: pa.Array, anns: pa.Array) -> pa.Array:
+        own = lambda rows: span_columns.title_spans(rows, types, strict)
+        return span_columns.by_items(span_columns.valid(title), anns, span_columns.plain_annotations, columns, loops, own)
+
     return tagged_spans
 
 
@@ -313,8 +337,7 @@ def _tags(title: str | None, spans: list[tuple], biose: bool, by_type: bool) ->
 def bio(scheme: str, order: str):
     """``(title, spans) -> tags, num_overlap``."""
 
-    @F.arrow_udf(BIO)
-    def bio_of_spans(title: pa.Array, spans: pa.Array) -> pa.Array:
+    def loops(title: pa.Array, spans: pa.ListArray) -> pa.StructArray:
         found = [
             (None, None) if rows is None else _tags(text, rows, scheme == "BIOSE", order == "type")
             for text, rows in zip(texts(title), lists(spans, [n for n, _ in _SPAN]))
@@ -322,4 +345,11 @@ def bio(scheme: str, order: str):
         tags = list_array((t for t, _ in found), [("word", _TEXT), ("tag", _TEXT)])
         return pa.StructArray.from_arrays([tags, pa.array([n for _, n in found], pa.int64())], ["tags", "num_overlap"])
 
+    def columns(title: pa.Array, spans: pa.ListArray) -> pa.StructArray:
+        return span_columns.bio(title, spans, scheme == "BIOSE", order == "type")
+
+    @F.arrow_udf(BIO)
+    def bio_of_spans(title: pa.Array, spans: pa.Array) -> pa.Array:
+        return span_columns.by_items(span_columns.valid(title), spans, span_columns.plain_spans, columns, loops)
+
     return bio_of_spans
