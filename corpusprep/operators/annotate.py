@@ -8,12 +8,15 @@ the item's own array (``spans``), so they run inside the task and shuffle nothin
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusprep.functions import arrays as A
 from corpusprep.functions import patterns as P
+from corpusprep.functions.durable import stored
+from corpusprep.functions.marks import ROW, numbered, value_filter, with_marks
 from corpusprep.functions.ranks import random_key, with_cut
 from corpusprep.operators import spans as span_steps
 
@@ -216,19 +219,26 @@ def repair_and_deoverlap(
 def drop_empty_and_duplicate(df: DataFrame, id_col: str = "item_id") -> DataFrame:
     """Drop rows without annotations; of equal (annotation set, title) keep the smallest id.
 
-    Copies collapse in the map-side combine, so a group of copies of any size costs one row per
-    task.  Columns other than id, title and tagged come from the surviving row.  A computed
-    ``tagged`` is evaluated by the filter too: store it first.
+    Rows are compared by 128 bits of title and annotations, and the survivors are marked by their numbers, so
+    that titles and annotations are not shuffled.  Copies collapse in the map-side combine.  Columns other than
+    id, title and tagged come from the surviving row.  Without row numbers the frame is stored first.
     """
-    others = [c for c in df.columns if c not in (id_col, "title", "tagged")]
-    survivor = F.min_by(F.struct(*others), id_col).alias("_rest") if others else None
-    grouped = (
-        df.filter(F.size("tagged") > 0)
-        .withColumn("tagged", F.sort_array("tagged"))
-        .groupBy("title", "tagged")
-        .agg(F.min(id_col).alias(id_col), *([survivor] if others else []))
+    held = numbered(df)
+    ordered = F.sort_array("tagged")
+    tagged = held.filter(F.size("tagged") > 0).select(ROW, id_col, "title", ordered.alias("_t"))
+    known = [F.array_contains(F.col("_t")[c], v) for c, v in (("indexed_text", ""), ("attribute_type", ""), ("start_idx", -1), ("end_idx", -1))]
+    # Hashes pass over missing values; where there may be one, its place counts too.
+    missing = ~F.coalesce(~reduce(Column.__or__, known), F.lit(False))
+    content = [F.isnull("title"), F.col("title"), F.col("_t"), F.when(missing, F.to_json("_t"))]
+    survivors = (
+        tagged.select(ROW, id_col, *[F.xxhash64(F.lit(k), *content).alias(f"_h{k}") for k in (1, 2)])
+        .groupBy("_h1", "_h2")
+        .agg(F.min(F.struct(F.isnull(id_col), id_col, ROW)).alias("_first"))
+        .select(f"_first.{ROW}")
     )
-    return grouped.select(*[F.col(f"_rest.{c}").alias(c) if c in others else F.col(c) for c in df.columns])
+    rest = {c: F.when(F.col(id_col).isNotNull(), F.col(c)) for c in df.columns if c not in (id_col, "title", "tagged", ROW)}
+    kept = with_marks(held, survivors, "_kept").filter("_kept")
+    return kept.withColumns(rest | {"tagged": ordered}).select(*df.columns)
 
 
 # ---------------------------------------------------------------- counts
@@ -387,7 +397,8 @@ def select_rare_values(counts: DataFrame, ratio: float = 0.2, threshold: int = 4
     value, so that the rank of millions of once-seen values is spread over hash buckets.
     """
     ranges, depth = _rare_depth(counts, ratio, threshold)
-    reached = ranges.withColumn("_k", depth - F.col("start")).filter(F.col("_k") >= 1)
+    # A few rows, stored so that their size is known: the counts need no shuffle to meet them.
+    reached = stored(ranges.withColumn("_k", depth - F.col("start")).filter(F.col("_k") >= 1))
     low = counts.filter(F.col("count") < threshold).join(reached, ["attr_type", "count"])
     chosen = ["attr_type", "value_content", "count"]
     whole = low.filter(F.col("n") <= F.col("_k")).select(chosen)
@@ -399,7 +410,7 @@ def select_rare_values(counts: DataFrame, ratio: float = 0.2, threshold: int = 4
 
 def small_type_values(counts: DataFrame, threshold: int) -> DataFrame:
     """``(attr_type, value_content)`` of the small types: fewer than ``4 * threshold`` per type."""
-    return counts.join(small_types(counts, threshold), "attr_type", "left_semi").select(
+    return counts.join(stored(small_types(counts, threshold)), "attr_type", "left_semi").select(
         "attr_type", "value_content"
     )
 
@@ -415,23 +426,32 @@ def flag_new_value(
     """Adds ``is_test``: some span has a rare value, or is of a small type and its draw is below ``p``.
 
     ``small`` lists the values of the small types.  Rare and small values are one table joined by
-    (type, value): a type alone would be a join key that holds a third of all spans.
+    (type, value): a type alone would be a join key that holds a third of all spans.  Only spans that pass a
+    filter made from these values are shuffled, and rows are marked by their numbers.  Without row numbers the
+    frame is stored first.
     """
     limit = F.lit(int(p * 2**32)).cast("bigint")
     draw = random_key(seed, F.concat_ws(":", id_col, "attribute_type", "start_idx", "end_idx"))
-    marked = (
+    value = ["attribute_type", "indexed_text"]
+    marked = stored(
         rare.select("attr_type", "value_content", F.lit(True).alias("_rare"))
         .unionByName(small.select("attr_type", "value_content", F.lit(False).alias("_rare")))
         .withColumnsRenamed({"attr_type": "attribute_type", "value_content": "indexed_text"})
     )
+    held = numbered(df)
+    passes = value_filter(marked, value, marked.count())
+    lucky = F.conv(F.substring(draw, 1, 8), 16, 10).cast("bigint") < limit
     hits = (
-        spans(df, id_col)
-        .join(marked, ["attribute_type", "indexed_text"])
-        .filter(F.col("_rare") | (F.conv(F.substring(draw, 1, 8), 16, 10).cast("bigint") < limit))
-        .select(id_col, F.lit(True).alias("_hit"))
+        spans(held, id_col)
+        .filter(passes(*[F.col(c) for c in value]))
+        .select(id_col, *value, lucky.alias("_lucky"))
+        .join(marked, value)
+        .filter(F.col("_rare") | F.col("_lucky"))
+        .select(id_col)
         .distinct()
     )
-    return df.join(hits, id_col, "left").withColumn("is_test", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    rows = held.select(ROW, id_col).join(hits, id_col, "left_semi").select(ROW)
+    return with_marks(held, rows, "is_test").select(*df.columns, "is_test")
 
 
 def new_value_split(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
