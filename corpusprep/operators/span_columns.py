@@ -142,7 +142,7 @@ class Titles:
         return same
 
 
-def _pieces(title: pa.Array) -> Iterator[tuple[int, int]]:
+def pieces(title: pa.Array) -> Iterator[tuple[int, int]]:
     """First item and number of items whose titles have about ``PIECE`` bytes together, one item at least."""
     ends = offsets(pc.fill_null(pc.binary_length(title), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -157,7 +157,7 @@ def by_items(
 ) -> pa.Array:
     """``columns`` of the items that are ``plain``, ``loops`` of the others, in their order; both get the ``chosen`` rows."""
     done = []
-    for at, n in _pieces(title):
+    for at, n in pieces(title):
         texts, lists = title.slice(at, n), chosen(rows.slice(at, n))
         easy = plain(texts, lists)
         if easy.all():
