@@ -7,6 +7,7 @@ through the loops of ``spans``, whose results these are.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow.compute as pc
 PIECE = 1 << 17  # bytes of titles whose characters are held as columns at a time
 _WORD, _SPACE, _SYMBOL = 1, 2, 3
 _KINDS = np.zeros(0x110000, np.uint8)  # of characters, filled in as they occur
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
 
 
 # ---------------------------------------------------------------- columns of a batch
@@ -152,6 +154,16 @@ def pieces(title: pa.Array) -> Iterator[tuple[int, int]]:
         at = upto
 
 
+def joined(parts: list[pa.Array]) -> pa.Array:
+    """The parts as one array; what making them took goes back to the system, as several workers wait side by side."""
+    whole = pa.concat_arrays(parts)
+    parts.clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+    return whole
+
+
 def by_items(
     title: pa.Array, rows: pa.ListArray, plain: Callable, columns: Callable, loops: Callable, chosen: Callable = lambda lists: lists
 ) -> pa.Array:
@@ -167,7 +179,7 @@ def by_items(
         parts = [f(texts.take(pa.array(ids)), lists.take(pa.array(ids))) for f, ids in ((columns, own), (loops, other)) if len(ids)]
         back = np.argsort(np.concatenate([own, other]), kind="stable")
         done.append(pa.concat_arrays(parts).take(pa.array(back)))
-    return pa.concat_arrays(done) if done else loops(title, chosen(rows))
+    return joined(done) if done else loops(title, chosen(rows))
 
 
 def _all_of(items: np.ndarray, good: np.ndarray, n: int) -> np.ndarray:
